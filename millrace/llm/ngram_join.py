@@ -23,6 +23,8 @@ from .store import fits, keep
 N = 3
 THRESHOLD = 0.5
 BANDS, ROWS = 32, 3
+#: N-grams of a group of candidates that one task takes.
+GROUP_BYTES = 96 << 20
 _rng = np.random.default_rng(31)
 _MUL = (_rng.integers(1, 1 << 32, size=(BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, size=(BANDS * ROWS, 1), dtype=np.uint64).astype(np.uint32)
@@ -138,16 +140,27 @@ class Trie:
                     todo.append((node, overlap))
 
 
+def matches(a: int, probe: np.ndarray, ids: list[int], sets: list[np.ndarray], threshold: float):
+    """(b, jaccard) of the probe's candidates, by one traversal of their trie."""
+    for k, o in Trie(sets).search(probe, threshold):
+        yield ids[k], o / (len(probe) + len(sets[k]) - o)
+
+
 def _join(threshold):
+    """One group: rows (id, grams, partners); an entry is searched for among its partners."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        a = table.column("a")[0].as_py()
-        probe = sets[ids.index(a)]
-        others = [k for k, x in enumerate(ids) if x != a]
-        trie = Trie([sets[k] for k in others])
-        out = [(ids[others[k]], o / (len(probe) + len(sets[others[k]]) - o)) for k, o in trie.search(probe, threshold)]
-        return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array([x for x, _ in out], pa.int64()), "jaccard": pa.array([j for _, j in out], pa.float64())})
+        sets = {k: np.frombuffer(x, np.uint64) for k, x in zip(table.column("id").to_pylist(), table.column("grams").to_pylist())}
+        a, b, jaccard = [], [], []
+        for one, partners in zip(table.column("id").to_pylist(), table.column("partners").to_pylist()):
+            some = sorted({p for p in partners or () if p != one and p in sets})
+            if not some:
+                continue
+            for other, j in matches(one, sets[one], some, [sets[p] for p in some], threshold):
+                a.append(one)
+                b.append(other)
+                jaccard.append(j)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(jaccard, pa.float64())})
 
     return run
 
@@ -173,7 +186,7 @@ def _batched(it, rows: int = 1 << 16):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _run(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _run(docs: DataFrame, n: int, threshold: float, most_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
     """Entries (id, ids, size) and matching pairs of entries (a, b, jaccard)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     sets = own.mapInArrow(_sets(n), "doc_id long, f1 long, f2 long, size int, keys array<long>")
@@ -189,12 +202,26 @@ def _run(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFram
     if fits(wanted, 16):
         wanted = F.broadcast(wanted)
     grams = keep(own.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "text").mapInArrow(_blobs(n), "id long, grams binary"), "set-grams").dropDuplicates(["id"])
-    both = pairs.select("a", F.col("b").alias("id")).union(pairs.select("a", F.col("a").alias("id")).distinct()).join(grams, "id")
-    found = keep(both.groupBy("a").applyInArrow(_join(threshold), "a long, b long, jaccard double"), "set-matches")
+    # Candidates that hang together go to one task, each set once. Where such a
+    # component is too large for a task, each entry's candidates go to a group of
+    # their own instead; the result is the same.
+    parts = connected_components(pairs).select(F.col("node").alias("id"), "root").join(size, "id")
+    large = parts.groupBy("root").agg(F.sum(F.col("size").cast("long") * 8).alias("bytes")).where(F.col("bytes") > most_bytes).select("root")
+    parts = keep(parts.join(large.withColumn("large", F.lit(True)), "root", "left").select("id", "root", F.coalesce("large", F.lit(False)).alias("large")), "set-groups")
+    partners = pairs.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("partners"))
+    rows = parts.join(grams, "id").join(partners, "id", "left")
+    shape = "a long, b long, jaccard double"
+    found = rows.where("not large").select("root", "id", "grams", "partners").groupBy("root").applyInArrow(_join(threshold), shape)
+    if not large.isEmpty():
+        alone = rows.where("large and partners is not null").select(F.col("id").alias("root"), "id", "grams", "partners")
+        others = rows.where("large").select("id", "grams").join(pairs.select(F.col("b").alias("id"), F.col("a").alias("root")), "id")
+        some = alone.unionByName(others.select("root", "id", "grams", F.lit(None).cast("array<long>").alias("partners")))
+        found = found.unionByName(some.groupBy("root").applyInArrow(_join(threshold), shape))
+    found = keep(found, "set-matches")
     return entries, found
 
 
-def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most_bytes: int = GROUP_BYTES) -> DataFrame:
     """All pairs of documents whose n-gram sets have Jaccard >= ``threshold``.
 
     Documents with equal sets share an entry, so that thousands of copies don't
@@ -210,7 +237,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Dat
     each text is an entry under the same id and one of them is compared. Other
     columns are ignored. An empty table gives no rows.
     """
-    entries, found = _run(docs, n, threshold)
+    entries, found = _run(docs, n, threshold, most_bytes)
     of = entries.select("id", "ids")
     same = of.where("size(ids) > 1").select(F.col("id").alias("a"), F.col("ids").alias("a_ids"), F.col("id").alias("b"), F.col("ids").alias("b_ids"), F.lit(1.0).alias("jaccard"))
     near = found.join(of.select(F.col("id").alias("a"), F.col("ids").alias("a_ids")), "a").join(of.select(F.col("id").alias("b"), F.col("ids").alias("b_ids")), "b")
