@@ -1,6 +1,469 @@
-"""Queries of the engine's own operators over the driver's tables."""
+"""Queries of the engine's own operators over the driver's tables, and the same in SQL."""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import normalize as N
+from .functions import strings as S
+from .functions import tokens as T
+from .operators import flow, vision
+from .operators.tokenizers import CodePoints, Merges
+from .plans import catalog
+from .plans.tasks import TextTask
+from .shared import shared_folder
+from .ship import ship
+from .sources import archives, captions, text
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_WS = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}\x{0b}]+"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '\A{_WS}|{_WS}\z', '', 'g')"
+
+
+_LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents)"
+EOS = CodePoints()["</s>"]
+LENGTH = 1024
+
+
+# scans, shards and batches
+@query(f"SELECT doc_id, CAST(idx AS INTEGER) AS idx, {_strip('line')} AS value FROM {_LINES} WHERE length({_strip('line')}) > 0")
+def text_line_scan(t):
+    return text.split_lines(t("documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN length(text) > 0 AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS n_lines FROM documents")
+def line_count(t):
+    return t("documents").select("doc_id", S.line_count(F.col("text")).alias("n_lines"))
+
+
+@query("SELECT CAST(doc_id % 4 AS INTEGER) AS rank, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def rank_shard(t):
+    return t("documents").groupBy(flow.rank_of(F.col("doc_id"), 4).alias("rank")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT CAST((l_orderkey % 6) // 3 AS INTEGER) AS rank, CAST((l_orderkey % 6) % 3 AS INTEGER) AS worker, count(*) AS n, max(l_orderkey) AS last FROM lineitem GROUP BY ALL")
+def worker_shard(t):
+    rank, worker = flow.worker_of(F.col("l_orderkey"), 2, 3)
+    return t("lineitem").groupBy(rank.alias("rank"), worker.alias("worker")).agg(F.count(F.lit(1)).alias("n"), F.max("l_orderkey").alias("last"))
+
+
+@query("""WITH s AS (SELECT source, CAST((row_number() OVER (ORDER BY source) - 1) % 4 AS INTEGER) AS rank FROM (SELECT DISTINCT source FROM documents))
+ SELECT rank, count(*) AS n, count(DISTINCT source) AS files FROM documents JOIN s USING (source) GROUP BY rank""")
+def file_shard(t):
+    docs = t("documents")
+    plan = flow.shard_plan([r[0] for r in docs.select("source").distinct().orderBy("source").collect()], 4)  # a source is a file
+    ranks = docs.sparkSession.createDataFrame([(s, k) for k, (files, _, _) in enumerate(plan) for s in files], "source string, rank int")
+    return docs.join(F.broadcast(ranks), "source").groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("files"))
+
+
+@query("SELECT doc_id // 128 AS batch, count(*) AS size FROM documents GROUP BY 1")
+def batch_assign(t):
+    return t("documents").groupBy(flow.batch_of(F.col("doc_id"), 128).alias("batch")).agg(F.count(F.lit(1)).alias("size"))
+
+
+_BATCHES = "(SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 128 AS batch FROM events)"
+
+
+@query(f"""WITH e AS {_BATCHES}, s AS (SELECT batch, count(*) AS size FROM e GROUP BY 1),
+ k AS (SELECT batch, sum(size) OVER (ORDER BY batch) AS running, sum(size) OVER () AS total FROM s)
+ SELECT event_id, event_type FROM e JOIN k USING (batch) WHERE running <= total * 0.6""")
+def ratio_cut(t):
+    return flow.ratio_cut(t("events").select("event_id", "event_type"), ["event_id"], 128, 0.6)
+
+
+@query(f"SELECT batch, size, CAST(sum(size) OVER (ORDER BY batch) AS BIGINT) AS running FROM (SELECT batch, count(*) AS size FROM {_BATCHES} GROUP BY 1)")
+def running_progress(t):
+    return flow.running_batches(t("events").select("event_id"), ["event_id"], 128)
+
+
+@query("SELECT source, bool_and(n_chars > 10) AS done FROM documents GROUP BY source")
+def all_ranks_done(t):
+    return flow.all_done(t("documents"), "source", F.col("n_chars") > 10)
+
+
+@query("SELECT doc_id, text FROM documents ORDER BY doc_id DESC LIMIT 1")
+def last_record(t):
+    return flow.tail(t("documents").select("doc_id", "text"), ["doc_id"])
+
+
+# token arrays
+_HEAD = "list_transform(range(1, least(length(text), 64) + 1), lambda i: ord(substring(text, i, 1)))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_resize({_HEAD}, 64, -1), ',') AS ids FROM documents")
+def pad_truncate(t):
+    ids = T.code_points(F.substring("text", 1, 64))
+    return t("documents").select("doc_id", F.array_join(T.pad_or_cut(ids, 64), ",").alias("ids"))
+
+
+@query("SELECT doc_id, array_to_string(list_resize(list_transform(range(1, least(length(text), 63) + 1), lambda i: ord(substring(text, i, 1))), 64, 0), ',') AS ids FROM documents")
+def pad_truncate_spare(t):
+    ids = T.code_points(F.substring("text", 1, 64))
+    return t("documents").select("doc_id", F.array_join(T.pad_or_cut(ids, 64, 0, spare=1), ",").alias("ids"))
+
+
+@query("SELECT doc_id, array_to_string(list_transform(list_transform(range(1, least(length(text), 256) + 1), lambda i: ord(substring(text, i, 1))), lambda x: CASE WHEN x = 10 THEN 0 ELSE x END), ',') AS ids FROM documents")
+def token_replace(t):
+    return t("documents").select("doc_id", F.array_join(T.replace_id(T.code_points(F.substring("text", 1, 256)), 10, 0), ",").alias("ids"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform({_HEAD}, lambda x: x + 8192), ',') AS ids FROM documents")
+def token_offset(t):
+    return t("documents").select("doc_id", F.array_join(T.offset_ids(T.code_points(F.substring("text", 1, 64)), 8192), ",").alias("ids"))
+
+
+_PACK = f"""WITH d AS (SELECT doc_id, text, length(text) + 1 AS n, sum(length(text) + 1) OVER (ORDER BY doc_id) - length(text) - 1 AS base FROM documents),
+ c AS (SELECT base + i - 1 AS pos, CASE WHEN i = n THEN {EOS} ELSE ord(substring(text, i, 1)) END AS id FROM (SELECT text, n, base, unnest(range(1, n + 1)) AS i FROM d))
+ SELECT CAST(pos // {LENGTH} AS BIGINT) AS chunk, CAST(sum(id) AS BIGINT) AS sum_ids, min(id) AS least, max(id) AS most FROM c GROUP BY 1 HAVING count(*) = {LENGTH}"""
+
+
+@query(_PACK)
+def pack_stream(t):
+    packed = flow.pack_stream(t("documents").select("doc_id", "text"), ["doc_id"], T.code_points(F.col("text")), LENGTH, EOS)
+    return packed.select("chunk", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"), F.array_min("tokens").alias("least"), F.array_max("tokens").alias("most"))
+
+
+@query(f"""SELECT source, count(*) AS lines, CAST(sum(length(v) + 1) AS BIGINT) AS tokens, max(length(v)) AS longest
+ FROM (SELECT doc_id, {_strip('line')} AS v FROM {_LINES}) JOIN documents USING (doc_id) WHERE length(v) > 0 GROUP BY source""")
+def text_tokenize_pack(t):
+    docs = t("documents")
+    lines = docs.select("source", F.explode(F.split("text", "\n")).alias("value"))
+    rows = TextTask().encode(lines).select("source", F.size("ids").alias("n"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.sum((F.col("n") + 1).cast("long")).alias("tokens"), F.max("n").cast("long").alias("longest"))
+
+
+@query("SELECT 64 + CAST(sum((s // 8) * (s // 8)) AS INTEGER) AS width FROM (VALUES (128), (256), (512)) v(s)")
+def multiscale_width(t):
+    return t("region").sparkSession.createDataFrame([(T.row_width(64, [256, 512, 128]),)], "width int")
+
+
+@query("""WITH d AS (SELECT doc_id, list_transform(range(1, 65), lambda i: CASE WHEN i <= length(text) THEN ord(substring(text, i, 1)) % 8192 ELSE 0 END) AS c FROM documents)
+ SELECT doc_id, array_to_string([58206, 58193] || c || [58196], ',') AS ids FROM d""")
+def wrap_code(t):
+    codes = F.transform(T.pad_or_cut(T.code_points(F.substring("text", 1, 64)), 64, 0), lambda x: F.pmod(x, F.lit(8192)))
+    return t("documents").select("doc_id", F.array_join(T.IdSpace().wrap(codes), ",").alias("ids"))
+
+
+@query("""SELECT CASE WHEN x >= 58192 THEN 'command' WHEN x < 8192 THEN 'image' ELSE 'text' END AS kind, count(*) AS n, CAST(sum(x) AS BIGINT) AS total
+ FROM (SELECT l_partkey * 7 % 58300 - 1 AS x FROM lineitem) GROUP BY 1""")
+def token_kind(t):
+    rows = t("lineitem").select((F.col("l_partkey") * 7 % 58300 - 1).alias("x"))
+    return rows.groupBy(T.IdSpace().kind(F.col("x")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
+
+
+@query()
+def decode_segments(t):
+    space = T.IdSpace()
+    codes = F.transform(T.code_points(F.substring("text", 1, 64)), lambda x: F.pmod(x, F.lit(8192)))
+    ids = F.concat(codes, F.array(F.lit(space["[EOI1]"])), T.offset_ids(codes, 8192), F.array(F.lit(space["[SEP]"]), F.lit(-1)))
+    rows = t("documents").select("doc_id", F.posexplode(space.segments(ids)).alias("pos", "s"))
+    return rows.select("doc_id", "pos", F.col("s.kind").alias("kind"), F.array_join("s.ids", ",").alias("ids"))
+
+
+@query()
+def parse_query(t):
+    space = T.IdSpace()
+    asked = t("documents").select("doc_id", F.concat(F.lit("[CLS] "), F.element_at(F.split("text", " "), 1), F.lit(" [MASK]*2 [SEP] "), F.col("source")).alias("query"))
+    return asked.select("doc_id", F.array_join(space.parse_udf(CodePoints().encode)("query"), ",").alias("ids"))
+
+
+_MERGES = [("t", "h"), ("th", "e"), ("o", "n"), ("a", "n"), ("e", "r"), ("i", "n")]
+
+
+@query()
+def bpe_encode(t):
+    vocabulary = {c: k for k, c in enumerate(["<pad>", "<unk>", *"abcdefghijklmnopqrstuvwxyz", *("".join(m) for m in _MERGES)])}
+    words = t("documents").select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
+    ids = Merges(vocabulary, _MERGES).column(F.col("word"))
+    return words.select("doc_id", F.size(ids).alias("n")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens"))
+
+
+# merging and splitting
+@query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+ SELECT CAST(least(i // ((n + 7) // 8), 7) AS INTEGER) AS part, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM o GROUP BY 1""")
+def binary_split_parts(t):
+    rows = flow.split_parts(flow.dense_index(t("orders").select("o_orderkey"), ["o_orderkey"]), "idx", 8)
+    return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+
+
+@query("""WITH a AS (SELECT 0 AS part, o_orderkey AS k, 0 AS l FROM orders UNION ALL SELECT 1, l_orderkey, l_linenumber FROM lineitem),
+ i AS (SELECT part, k, row_number() OVER (ORDER BY part, k, l) - 1 AS id FROM a)
+ SELECT CAST(part AS INTEGER) AS part, count(*) AS n, min(id) AS first_id, max(id) AS last_id, CAST(sum(k * (id % 1000)) AS BIGINT) AS mixed FROM i GROUP BY part""")
+def merge_union(t):
+    orders = t("orders").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("l"))
+    items = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"))
+    rows = flow.merge_ordered([orders, items], ["k", "l"])
+    return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("first_id"), F.max("sample_id").alias("last_id"), F.sum(F.col("k") * (F.col("sample_id") % 1000)).alias("mixed"))
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+def caption_last_wins(t):
+    return flow.last_wins(t("conversations"), "conv_id", "text", ["turn"])
+
+
+# normalisers
+def _normalized(rows: DataFrame, fmt: str, *args) -> DataFrame:
+    return rows.select("id", N.FORMATS[fmt](F.col("line"), *args).alias("text")).where("text IS NOT NULL").select("id", F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("hash"))
+
+
+def _out(sql: str) -> str:
+    return f"SELECT id, length(text) AS n, md5(text) AS hash FROM ({sql}) WHERE text IS NOT NULL"
+
+
+@query(_out("SELECT doc_id AS id, CASE WHEN lang <> 'es' THEN text END AS text FROM documents"))
+def normalize_jsonl(t):
+    rows = t("documents").select(F.col("doc_id").alias("id"), F.to_json(F.struct(F.when(F.col("lang") != "es", F.col("text")).alias("text"), "source")).alias("line"))
+    return _normalized(rows, "jsonl")
+
+
+@query(_out(f"""SELECT id, CASE WHEN length(text) > 100 THEN text END AS text FROM (
+ SELECT doc_id AS id, {_strip('title')} || ' ' || CASE WHEN about IS NOT NULL AND about <> '' AND NOT starts_with(text, about) THEN {_strip('about')} || ' ' ELSE '' END || text AS text
+ FROM (SELECT doc_id, text, ' ' || source || chr(9) AS title, CASE lang WHEN 'en' THEN substring(text, 1, 40) WHEN 'fr' THEN chr(160) || substring(text, 3, 20) || chr(10) END AS about FROM documents))"""))
+def normalize_ccnews(t):
+    about = F.when(F.col("lang") == "en", F.substring("text", 1, 40)).when(F.col("lang") == "fr", F.concat(F.lit(" "), F.substring("text", 3, 20), F.lit("\n")))
+    title = F.concat(F.lit(" "), "source", F.lit("\t"))
+    return _normalized(t("documents").select(F.col("doc_id").alias("id"), F.to_json(F.struct(title.alias("title"), about.alias("description"), F.col("text").alias("maintext"))).alias("line")), "ccnews")
+
+
+@query(_out("SELECT doc_id AS id, CASE WHEN n_chars < 200 THEN NULL ELSE CASE WHEN lang = 'de' THEN source ELSE '' END || substring(text, 1, 30) || text END AS text FROM documents"))
+def normalize_baike(t):
+    long = F.col("n_chars") >= 200
+    fields = F.struct(F.when(long & (F.col("lang") == "de"), F.col("source")).alias("title"), F.when(long, F.substring("text", 1, 30)).alias("abstract"), F.when(long, F.col("text")).otherwise("").alias("content"))
+    return _normalized(t("documents").select(F.col("doc_id").alias("id"), F.to_json(fields).alias("line")), "baike")
+
+
+@query(_out("""SELECT doc_id AS id, CASE WHEN length(text) > 100 OR doc_id > 1000 THEN '问题：' || source || CASE WHEN lang = 'en' THEN '' ELSE '问题描述：' || lang END || '回答：' || text END AS text FROM documents"""))
+def normalize_zhihu(t):
+    votes = F.when(F.col("doc_id") > 0, F.col("doc_id").cast("string")).otherwise("")
+    fields = F.struct(F.col("source").alias("q_title"), F.when(F.col("lang") != "en", F.col("lang")).alias("q-content"), F.col("text").alias("ans-content"), votes.alias("ans-up-num"))
+    return _normalized(t("documents").select(F.col("doc_id").alias("id"), F.to_json(fields).alias("line")), "zhihu")
+
+
+@query(_out("""WITH c AS (SELECT conv_id, string_agg(CASE WHEN length(text) > 100 THEN text ELSE '' END, '' ORDER BY turn) FILTER (role = 'assistant') AS others,
+ arg_min(text, turn) FILTER (role = 'user') AS title, arg_max(text, turn) FILTER (role = 'assistant') AS best FROM conversations GROUP BY conv_id)
+ SELECT conv_id AS id, '问题：' || title || '回答：' || CASE WHEN length(best) > 10 THEN best ELSE '' END || coalesce(others, '') AS text FROM c WHERE best IS NOT NULL
+ UNION ALL SELECT conv_id, '问题：' || title || '回答：' || coalesce(others, '') FROM c WHERE best IS NULL"""))
+def normalize_zhidao(t):
+    helper = F.col("role") == "assistant"
+    c = t("conversations").groupBy("conv_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(helper, F.struct("turn", "text")))), lambda x: F.struct(x["text"].alias("content"))).alias("other_answers"),
+        F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("title"),
+        F.max_by(F.when(helper, F.col("text")), F.when(helper, F.col("turn"))).alias("best"),
+    )
+    fields = F.struct("title", F.struct(F.col("best").alias("content")).alias("best_answer"), "other_answers")
+    return _normalized(c.select(F.col("conv_id").alias("id"), F.to_json(fields).alias("line")), "zhidao")
+
+
+@query(_out("SELECT doc_id AS id, CASE WHEN source IN ('src1', 'src2', 'src3') THEN text END AS text FROM documents"))
+def normalize_pile(t):
+    fields = F.struct("text", F.struct(F.when(F.col("lang") != "xx", F.col("source")).alias("pile_set_name")).alias("meta"))
+    return _normalized(t("documents").select(F.col("doc_id").alias("id"), F.to_json(fields).alias("line")), "pile", ("src1", "src2", "src3"))
+
+
+# captions
+_CAP = "(SELECT CAST(doc_id AS VARCHAR) AS key, regexp_replace(substring(text, 1, 40), '[\\t\\r\\n\"]', ' ', 'g') AS text, source, doc_id, lang FROM documents)"
+
+
+def _captions(t):
+    return t("documents").select(F.col("doc_id").cast("string").alias("key"), F.regexp_replace(F.substring("text", 1, 40), '[\\t\\r\\n"]', " ").alias("text"), "source", "doc_id", "lang")
+
+
+def _files(rows: DataFrame, value) -> DataFrame:
+    """One sidecar for each source."""
+    return rows.groupBy("source").agg(value.alias("value")).select(F.lit(0).alias("file_ix"), "value")
+
+
+@query(f"SELECT key, text FROM {_CAP} WHERE length(text) > 1")
+def caption_json_ks(t):
+    files = _files(_captions(t), F.to_json(F.struct(F.collect_list(F.struct(F.col("key").alias("uniqueKey"), F.col("text").alias("cnShortText"))).alias("RECORDS"))))
+    return captions.parse_captions(files, "json_ks")
+
+
+@query(f"SELECT key, text FROM {_CAP}")
+def caption_json(t):
+    entries = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("x"), "key"), F.struct(F.col("key").alias("uniqueKey"), F.col("text").alias("cnShortText")))))
+    return captions.parse_captions(_files(_captions(t), F.to_json(entries)), "json")
+
+
+@query(f"SELECT key, text FROM {_CAP}")
+def caption_dict(t):
+    return captions.parse_captions(_files(_captions(t), F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "text"))))), "dict")
+
+
+@query(f"SELECT key, text FROM {_CAP}")
+def caption_txt(t):
+    lines = _captions(t).select(F.lit(0).alias("file_ix"), F.col("doc_id").alias("pos"), F.concat("key", F.lit(".j\t"), "text").alias("value"))
+    return captions.parse_captions(lines, "txt")
+
+
+@query(f"SELECT key, text FROM {_CAP}")
+def caption_tsv(t):
+    lines = _captions(t).select(F.lit(0).alias("file_ix"), (F.col("doc_id") + 1).alias("pos"), F.concat(F.lit('"'), "key", F.lit('"\t"'), "text", F.lit('"')).alias("value"))
+    return captions.parse_captions(lines, "tsv")
+
+
+@query(f"SELECT key, CASE WHEN lang = 'de' THEN lang WHEN lang = 'en' THEN text ELSE text || '<n>' || lang END AS text FROM {_CAP} WHERE lang <> 'en' OR text <> ''")
+def multilingual_caption_concat(t):
+    record = F.struct(F.col("key").alias("uniqueKey"), F.when(F.col("lang") == "de", "").otherwise(F.col("text")).alias("cnShortText"), F.when(F.col("lang") != "en", F.col("lang")).alias("enShortText"))
+    return captions.parse_captions(_files(_captions(t), F.to_json(F.struct(F.collect_list(record).alias("RECORDS")))), "json_ks", bilingual=True)
+
+
+@query("SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)")
+def caption_lookup_join(t):
+    return t("documents").select("doc_id", "lang").join(t("labels"), "doc_id")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def caption_semi_join(t):
+    return t("documents").select("doc_id", "source").join(t("labels").where("quality = 1"), "doc_id", "left_semi")
+
+
+@query("SELECT page_id, split_part(split_part(url, '/', -1), '.', 1) AS key FROM pages")
+def basename_key(t):
+    return t("pages").select("page_id", S.basename_key("url").alias("key"))
+
+
+# the catalogue
+_STATES = "(SELECT source AS dataset, max(toxic) AS state FROM documents JOIN labels USING (doc_id) WHERE source < 'src5' GROUP BY 1)"
+
+
+def _states(t):
+    return t("documents").where("source < 'src5'").join(t("labels"), "doc_id").groupBy(F.col("source").alias("dataset")).agg(F.max("toxic").alias("state"))
+
+
+@query(f"SELECT dataset, CASE state WHEN 1 THEN 'processed' WHEN 0 THEN 'hanging' ELSE 'unprocessed' END AS state FROM (SELECT DISTINCT source AS dataset FROM documents) LEFT JOIN {_STATES} USING (dataset)")
+def dataset_states(t):
+    return catalog.classify(t("documents").select(F.col("source").alias("dataset")).distinct(), _states(t))
+
+
+@query(f"SELECT dataset FROM {_STATES} WHERE state = 1 AND dataset NOT IN (SELECT source FROM documents WHERE source >= 'src15')")
+def additional_results(t):
+    known = t("documents").where("source >= 'src15'").select(F.col("source").alias("dataset")).distinct()
+    return catalog.classify(known, _states(t)).where("state = 'additional'").select("dataset")
+
+
+@query("SELECT source AS dataset, CAST(sum(n_chars) AS BIGINT) AS bytes, count(*) AS files FROM documents GROUP BY 1")
+def dataset_size_rollup(t):
+    return catalog.size_rollup(t("documents").select(F.col("source").alias("dataset"), F.col("n_chars").alias("bytes")))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE least(p_size, 40) >= 25")
+def min_side_filter(t):
+    return vision.with_side(t("part").withColumn("h", F.lit(40)), "p_size", "h", 25).select("p_partkey", "p_size")
+
+
+# vectors
+_DIST = "list_sum(list_transform(list_zip(v.embedding, c.embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2])))"
+
+
+def _codebook(t) -> DataFrame:
+    return t("embeddings").where("vec_id < 64").select(F.col("vec_id").cast("int").alias("code"), "embedding")
+
+
+@query(f"SELECT vec_id, arg_min(code, (dist, code)) AS code FROM (SELECT v.vec_id, CAST(c.vec_id AS INTEGER) AS code, {_DIST} AS dist FROM embeddings v, embeddings c WHERE c.vec_id < 64) GROUP BY vec_id")
+def vq_nearest_code(t):
+    book = np.array([r["embedding"] for r in _codebook(t).orderBy("code").collect()])  # 64 codewords
+    return vision.quantize(t("embeddings").select("vec_id", "embedding"), "embedding", book).select("vec_id", "code")
+
+
+@query("SELECT v.vec_id, c.vec_id AS code, round(CAST(c.embedding[1] AS DOUBLE), 6) AS first FROM embeddings v JOIN embeddings c ON c.vec_id = v.vec_id % 64")
+def vq_lookup(t):
+    rows = t("embeddings").select("vec_id", (F.col("vec_id") % 64).cast("int").alias("at"))
+    return vision.lookup(rows, "at", _codebook(t)).select("vec_id", F.col("at").cast("long").alias("code"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
+# scalars
+@query("SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 256 AS SMALLINT) AS as_uint8, CAST(((l_orderkey * 1000003) % 4294967296 + 2147483648) % 4294967296 - 2147483648 AS INTEGER) AS as_int32 FROM lineitem")
+def dtype_wrap(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", S.wrap_unsigned_byte(F.col("l_orderkey")).alias("as_uint8"), S.wrap_int(F.col("l_orderkey") * 1000003).alias("as_int32"))
+
+
+@query("SELECT p_partkey, (p_size + 6) // 7 AS per, CAST(p_size * 100 AS DOUBLE) / 50 AS done, p_size IN (1, 2, 4, 8, 16, 32, 64) AS power FROM part")
+def scalar_arithmetic(t):
+    return t("part").select("p_partkey", S.ceil_div("p_size", 7).cast("int").alias("per"), S.percent(F.col("p_size"), F.lit(50)).alias("done"), S.is_power_of_two(F.col("p_size")).alias("power"))
+
+
+@query("SELECT doc_id, regexp_replace(substring(text, 1, 200), '[\\r\\t\\n]', '', 'g') AS title, substring(source, 1, length(source) - 2) AS cut FROM documents")
+def string_functions(t):
+    return t("documents").select("doc_id", S.one_line(F.substring("text", 1, 200)).alias("title"), S.drop_last(F.col("source"), 2).alias("cut"))
+
+
+# files
+@query("SELECT count(*) AS samples, CAST(sum(o_orderkey) AS BIGINT) AS total, CAST(sum(o_orderkey * 2) AS BIGINT) AS doubled FROM orders WHERE o_orderkey < 2147483647")
+def fixedbin_roundtrip(t):
+    orders = t("orders")
+    spark = archives.register(orders.sparkSession)
+    path = shared_folder(spark, "fixedbin")
+    orders.select(F.array("o_orderkey", F.col("o_orderkey") * 2).alias("sample")).write.format("fixedbin").option("dtype", "int32").mode("append").save(path)
+    rows = spark.read.format("fixedbin").option("dtype", "int32").option("length_per_sample", 2).load(path)
+    return rows.agg(F.count(F.lit(1)).alias("samples"), F.sum(F.col("sample")[0].cast("long")).alias("total"), F.sum(F.col("sample")[1].cast("long")).alias("doubled"))
+
+
+@query("SELECT 'doc/' || doc_id || '.txt' AS full_filename, CAST(strlen(text) AS BIGINT) AS file_size, md5(text) AS hash FROM documents")
+def tar_roundtrip(t):
+    docs = t("documents")
+    spark = archives.register(docs.sparkSession)
+    path = shared_folder(spark, "tar")
+    docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("full_filename"), F.col("text").cast("binary").alias("content")).write.format("tar").mode("append").save(path)
+    return spark.read.format("tar").load(path).select("full_filename", "file_size", F.md5("content").alias("hash"))
+
+
+def _zip_parts(path):
+    def run(it):
+        import io
+        import uuid
+        import zipfile
+
+        import pyarrow as pa
+
+        from .sources.files import fs_of
+
+        fs, at = fs_of(path)
+        fs.create_dir(at, recursive=True)
+        names = []
+        for batch in it:
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    z.writestr(key, content)
+            name = f"{at}/{uuid.uuid4().hex}"
+            with fs.open_output_stream(name, compression=None) as f:
+                f.write(buffer.getvalue())
+            names.append((name, name + ".zip"))
+        for part, name in names:
+            fs.move(part, name)
+            yield pa.RecordBatch.from_pydict({"file": [name]})
+
+    return run
+
+
+@query("SELECT 'doc/' || doc_id || '.txt' AS full_filename, CAST(strlen(text) AS BIGINT) AS file_size, md5(text) AS hash FROM documents")
+def zip_scan(t):
+    docs = t("documents")
+    spark = archives.register(docs.sparkSession)
+    path = shared_folder(spark, "zip")
+    names = docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary"))
+    files = [r[0] for r in names.mapInArrow(_zip_parts(path), "file string").collect()]  # one name for each archive
+    return spark.read.format("zip").load(",".join(sorted(files))).select("full_filename", "file_size", F.md5("content").alias("hash"))
