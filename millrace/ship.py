@@ -11,13 +11,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of documents that travel to a Python worker at once.
+BATCH_ROWS = 2000
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package's sources to the executors, once per application.
 
-    Clusters that install the package on every node don't need this.
+    Where the session has Spark's default for rows of an Arrow batch, this
+    lowers it, as rows here are whole documents. Clusters that install the package on every node don't need this.
     """
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
