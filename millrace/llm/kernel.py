@@ -10,6 +10,7 @@ like ASCII punctuation and white space do. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -17,6 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another system's library; memory is then kept
+    _libc = None
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -53,15 +58,8 @@ def powers(base: int, n: int) -> np.ndarray:
     return have
 
 
-def lowered(texts: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
-    """Lower-cased texts without nulls."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string())
-    return pc.utf8_lower(texts.fill_null("") if texts.null_count else texts)
-
-
-def plain(texts: pa.Array) -> pa.LargeStringArray:
+def plain(texts: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
+    """Texts without nulls."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string())
@@ -206,15 +204,23 @@ def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out, first
 
 
-def batches(it, column: str = "text", lower: bool = True, most: int = 1 << 20):
+def release() -> None:
+    """Give freed memory back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def batches(it, column: str = "text", lower: bool = True, most: int = 1 << 18):
     """(record batch slice, bytes, offsets) in slices of about ``most`` bytes."""
     for batch in it:
-        col = batch.column(batch.schema.get_field_index(column))
-        texts = lowered(col) if lower else plain(col)
-        data, offsets = buffers(texts)
-        for lo, hi in slices(offsets, most):
-            a, b = offsets[lo], offsets[hi]
-            yield batch.slice(lo, hi - lo), data[a:b], offsets[lo : hi + 1] - a
+        texts = plain(batch.column(batch.schema.get_field_index(column)))
+        _, raw = buffers(texts)
+        for lo, hi in slices(raw, most):
+            some = texts.slice(lo, hi - lo)
+            data, offsets = buffers(pc.utf8_lower(some) if lower else some)
+            yield batch.slice(lo, hi - lo), data, offsets
+    release()
 
 
 def ints(batch, column: str) -> np.ndarray:

@@ -49,7 +49,7 @@ def _examples(it):
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "y": batch.column(2), "x": pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
 
 
-def ftrl(examples: list[tuple[np.ndarray, int]], alpha=0.15, beta=1.0, l1=1.5, l2=1.0, epochs=4, seed=5, negatives=1.0) -> Model:
+def ftrl(examples: list[tuple[np.ndarray, int]], alpha=1.0, beta=1.0, l1=8.0, l2=1.0, epochs=6, seed=5, negatives=1.0) -> Model:
     """Fit on all but every fifth example; those set the threshold."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
