@@ -91,7 +91,7 @@ def run_task(spark, base):
             else:
                 samples = cls().plan(members, captions)
         if options["saver_type"] == "tar":
-            samples.select("full_filename", "content").write.format("tar").option("prefix", f"{info['name']}.tar.part").option("suffix", ".cogdata").mode("overwrite").save(folder + "/parts")
+            samples.select("full_filename", "content").write.format("tar").option("prefix", f"{info['name']}.tar.part").option("suffix", ".samples").mode("overwrite").save(folder + "/parts")
         else:
             samples.write.format("fixedbin").option("dtype", options["dtype"]).option("prefix", f"{info['name']}.bin.part").mode("overwrite").save(folder + "/parts")
         for name in sorted(os.listdir(folder + "/parts")):

@@ -137,7 +137,7 @@ class Catalog:
     # results
     def part_files(self, task: str, names: Sequence[str] = ()) -> list[str]:
         names = list(names) or self.states(task)["processed"]
-        return [str(p) for n in names for p in sorted((self.task_folder(task) / n).glob("*.cogdata"))]
+        return [str(p) for n in names for p in sorted((self.task_folder(task) / n).glob("*.samples"))]
 
     def merge(self, task: str, names: Sequence[str] = ()) -> Path:
         """All part files in one, by dataset and part; removes earlier splits."""

@@ -285,7 +285,7 @@ class _Commit:
 
 class FixedWriter(_Commit, DataSourceArrowWriter):
     def __init__(self, options, schema, overwrite):
-        self._begin(options, overwrite, options.get("suffix", ".cogdata"))
+        self._begin(options, overwrite, options.get("suffix", ".samples"))
         self.dtype = options.get("dtype", "int32")
         if self.dtype not in DTYPES:
             raise ValueError(f"dtype is {self.dtype!r}; it can be {', '.join(DTYPES)}")

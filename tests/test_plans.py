@@ -81,7 +81,7 @@ def test_catalog(spark, tmp_path):
     def run(info, options, folder):
         if info["name"] == "d2":
             raise RuntimeError("lost")
-        np.arange(500, dtype="<i4").tofile(f"{folder}/{info['name']}.bin.part_0.cogdata")
+        np.arange(500, dtype="<i4").tofile(f"{folder}/{info['name']}.bin.part_0.samples")
 
     assert c.process("t", run, ["d0", "d1"]) == ["d0", "d1"]
     with pytest.raises(RuntimeError):
