@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .store import fits, keep
 
-N = 8
-THRESHOLD = 0.6
+N = 5
+THRESHOLD = 0.5
 
 
 def _item_shingles(n):

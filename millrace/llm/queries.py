@@ -77,8 +77,8 @@ SQL: dict[str, str] = {
     "op5_url_filter": rf"SELECT page_id, url, regexp_matches(lower(trim(url)), '^([a-z][a-z0-9+.-]*://)?([^/:?#]*\.)?({LISTED})\.example\.(com|net|org)([/:?#]|$)') AS listed FROM pages",
     "op6_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-        dg AS (SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + 8], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 7)) AS pos FROM d WHERE len(w) >= 8)),
-        bg AS (SELECT item_id, win, array_to_string(w[pos + 1 : pos + 8], ' ') AS g FROM (SELECT item_id, w, len(w) - 7 AS win, unnest(range(len(w) - 7)) AS pos FROM b WHERE len(w) >= 8)),
+        dg AS (SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + {decontam.N}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - {decontam.N - 1})) AS pos FROM d WHERE len(w) >= {decontam.N})),
+        bg AS (SELECT item_id, win, array_to_string(w[pos + 1 : pos + {decontam.N}], ' ') AS g FROM (SELECT item_id, w, len(w) - {decontam.N - 1} AS win, unnest(range(len(w) - {decontam.N - 1})) AS pos FROM b WHERE len(w) >= {decontam.N})),
         items AS (SELECT item_id, max(win) AS win, count(DISTINCT g) AS n FROM bg GROUP BY item_id),
         hits AS (SELECT DISTINCT doc_id, item_id, pos, dg.g FROM dg JOIN bg USING (g)),
         windows AS (SELECT a.doc_id, a.item_id, a.pos, count(DISTINCT h.g) AS got FROM hits a JOIN items USING (item_id)
