@@ -28,7 +28,7 @@ _FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\
 _ODD = frozenset("\x1c\x1d\x1e\x1f" + "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) in ("No", "Nl")))
 _ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Distinct pieces that a task remembers before it starts anew.
-CACHE = 1 << 20
+CACHE = 300_000
 
 
 def load(path: str) -> dict[bytes, int]:
