@@ -2,16 +2,15 @@
 
 Lines are normalised (lower case, words joined by one space) and compared
 across all documents. Equal normalised lines belong together. A line of at
-least ``fuzzy_bytes`` bytes also gets a 512-bit SimHash of its words; its 16
-blocks are the pigeonholes: two lines within 15 bits of each other agree on a
+least ``fuzzy_bytes`` bytes also gets a 512-bit SimHash of its words; its 24
+blocks are the pigeonholes: two lines within 23 bits of each other agree on a
 block, and most pairs that differ in more still agree on one. Candidates from
 the blocks whose 64-bit sketches are near are verified by edit similarity on
 the whole normalised lines, word by word, connected groups are formed, and one occurrence of
 each group stays: the least (doc_id, line number).
 
-Only ``log2(lines) + 4`` bits of each 32-bit block make its key, and each block
-has length classes with an offset of its own, so the expected number of chance
-partners of a line doesn't grow with the corpus.
+A block's key has ``log2(lines) - 4`` bits, and each block has length classes with an offset of its own, so the expected number of chance partners of a line
+doesn't grow with the corpus. The sketch rejects them in vectorised runs.
 """
 
 import math
@@ -25,11 +24,16 @@ from . import kernel as K
 from .graph import connected_components
 from .store import fits, keep
 
-BLOCKS = 16
+#: Blocks of the 512 bits. One begins every 512 // BLOCKS bits; where a key takes
+#: more bits than that, neighbouring blocks overlap.
+BLOCKS = 24
+#: Each line has about 2^SLACK x BLOCKS chance partners a length class, for the sketch
+#: to reject, at every size of corpus.
+SLACK = 4
 SIMILARITY = 0.9
 FUZZY_BYTES = 48
 #: Bits of the 64-bit sketch in which candidates may differ.
-SKETCH_BITS = 18
+SKETCH_BITS = 17
 _CLASS = math.log(1.5)
 _table: np.ndarray | None = None
 
@@ -43,12 +47,12 @@ def _signs() -> np.ndarray:
 
 
 def simhash(words: K.Words, rows: np.ndarray) -> np.ndarray:
-    """(len(rows), 16) uint32 blocks of the given units.
+    """(len(rows), 16) uint32: 512 bits of each of the given units.
 
     Features are words of four bytes or more, or all words where a unit has
     fewer than four of those.
     """
-    out = np.zeros((len(rows), BLOCKS), np.uint32)
+    out = np.zeros((len(rows), 16), np.uint32)
     if not len(rows):
         return out
     long = words.size >= 4
@@ -109,27 +113,44 @@ def _line_rows(fuzzy_bytes):
     return run
 
 
+def block_keys(blocks: np.ndarray, size: np.ndarray, bits: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(BLOCKS, lines) keys of ``bits`` bits and a length class, and 64-bit sketches."""
+    stride = 512 // BLOCKS
+    every = np.unpackbits(blocks.astype(">u4").view(np.uint8).reshape(len(blocks), 64), axis=1)
+    ends = [j * stride + stride - k for j in range(BLOCKS) for k in (1, 2)]
+    rest = [*ends, *range(BLOCKS * stride, 512)]
+    rest += [j * stride for j in range(64 - len(rest))]
+    sketch = np.ascontiguousarray(np.packbits(every[:, rest], axis=1)).view(np.uint64).ravel()
+    keys = np.empty((BLOCKS, len(blocks)), np.uint64)
+    span = np.log(size) / _CLASS
+    for j in range(BLOCKS):
+        own = np.packbits(every[:, (j * stride + np.arange(bits)) % 512], axis=1)
+        value = np.zeros((len(blocks), 8), np.uint8)
+        value[:, : own.shape[1]] = own
+        kind = np.floor(span + offsets[j]).astype(np.uint64)
+        keys[j] = K.mix(value.view(np.uint64).ravel() | K.U64(j) << K.U64(40) | kind << K.U64(48))
+    return keys, sketch
+
+
+def key_bits(lines: int) -> int:
+    return min(32, max(12, math.ceil(math.log2(max(lines, 2))) - SLACK))
+
+
 def _to_blocks(bits: int, parts: int, fuzzy_bytes: int):
     offsets = np.random.default_rng(7).random(BLOCKS)
 
     def flush(h, size, sig):
-        blocks = sig.view(np.uint32).reshape(len(h), BLOCKS)
-        sketch = np.zeros(len(h), np.uint64)
-        keys = np.empty((BLOCKS, len(h)), np.uint64)
-        span = np.log(size) / _CLASS
-        for j in range(BLOCKS):
-            sketch |= (blocks[:, j] & np.uint32(15)).astype(np.uint64) << K.U64(4 * j)
-            kind = np.floor(span + offsets[j]).astype(np.uint64)
-            keys[j] = K.mix((blocks[:, j] >> np.uint32(32 - bits)).astype(np.uint64) | K.U64(j) << K.U64(32) | kind << K.U64(40))
+        keys, sketch = block_keys(sig.view(np.uint32).reshape(len(h), 16), size, bits, offsets)
         keys = keys.ravel()
-        part = (keys % K.U64(parts)).astype(np.int64)
+        part = (keys % K.U64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
         row = order % len(h)
-        key, hs, sk = (keys[order] >> K.U64(32)).astype(np.uint32), h[row], sketch[row]
+        key = np.ascontiguousarray((keys[order] >> K.U64(40)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3])
+        hs, sk = h[row], sketch[row]
         for p in range(0, parts, 256):
             some = [q for q in range(p, min(parts, p + 256)) if ends[q] < ends[q + 1]]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "key": pa.array([key[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()), "hs": pa.array([hs[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()), "sketch": pa.array([sk[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in (("key", key), ("hs", hs), ("sketch", sk))})
 
     def run(it):
         held, n = [], 0
@@ -139,7 +160,7 @@ def _to_blocks(bits: int, parts: int, fuzzy_bytes: int):
             sig = np.stack([np.asarray(batch.column(2 + k)) for k in range(8)], axis=1)[far]
             held.append((np.asarray(batch.column(0))[far], size[far], sig))
             n += len(sig)
-            if n >= 150_000:
+            if n >= 100_000:
                 yield from flush(*(np.ascontiguousarray(np.concatenate(x)) for x in zip(*held)))
                 held, n = [], 0
         if n:
@@ -150,10 +171,9 @@ def _to_blocks(bits: int, parts: int, fuzzy_bytes: int):
 
 def pairs_in_runs(key: np.ndarray, h: np.ndarray, sketch: np.ndarray, most_bits: int):
     """All pairs of distinct lines with equal keys and near sketches."""
-    order = np.lexsort((h, key))
+    order = np.argsort(key, kind="stable")
     key, h, sketch = key[order], h[order], sketch[order]
-    left = np.arange(len(key) - 1)
-    step = 1
+    left, step = np.arange(len(key) - 1), 1
     while len(left):
         left = left[left + step < len(key)]
         left = left[key[left] == key[left + step]]
@@ -166,7 +186,10 @@ def pairs_in_runs(key: np.ndarray, h: np.ndarray, sketch: np.ndarray, most_bits:
 
 def _match(most_bits: int):
     def run(table: pa.Table) -> pa.Table:
-        key, h, sketch = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("key", np.uint32), ("hs", np.int64), ("sketch", np.uint64)))
+        raw, h, sketch = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("key", np.uint8), ("hs", np.int64), ("sketch", np.uint64)))
+        key = np.zeros((len(h), 4), np.uint8)
+        key[:, :3] = raw.reshape(-1, 3)
+        key = key.view(np.uint32).ravel()
         found = list(pairs_in_runs(key, h, sketch, most_bits))
         if not found:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -200,8 +223,7 @@ def _removals(docs: DataFrame, similarity: float, fuzzy_bytes: int) -> DataFrame
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk")).where("text is not null")
     lines = keep(keyed.mapInArrow(_line_rows(fuzzy_bytes), "dk long, doc_id long, line int, h long, size int, " + ", ".join(f"s{k} long" for k in range(8))), "lines")
     n = lines.count()
-    bits = min(32, max(14, math.ceil(math.log2(max(n, 2))) + 4))
-    parts = max(8, -(-n * BLOCKS // 1_000_000))
+    bits, parts = key_bits(n), max(8, -(-n * BLOCKS // 1_000_000))
     distinct = lines.where(F.col("size") >= fuzzy_bytes).groupBy("h").agg(F.first("size"), *[F.first(f"s{k}") for k in range(8)])
     blocks = distinct.mapInArrow(_to_blocks(bits, parts, fuzzy_bytes), "part int, key binary, hs binary, sketch binary")
     pairs = keep(blocks.groupBy("part").applyInArrow(_match(SKETCH_BITS), "a long, b long").distinct(), "line-pairs")
