@@ -23,5 +23,5 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if _own is None:
             _own = tempfile.mkdtemp(prefix="millrace-files-")
             atexit.register(shutil.rmtree, _own, ignore_errors=True)
-        root = _own
+        root = "file://" + _own
     return f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex[:12]}"
