@@ -6,34 +6,14 @@ executor then costs its own tasks and never a recomputation from the source.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own: str | None = None
-
-
-def shared(spark: SparkSession) -> str:
-    """The cluster's shared folder. A local session without one gets a folder of
-    its own, removed at exit; a cluster without one is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    global _own
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(shutil.rmtree, _own, ignore_errors=True)
-    return "file://" + _own
+from millrace.shared import shared_folder
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder's path; nothing is created yet."""
-    return f"{shared(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+    return shared_folder(spark, name)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
