@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from . import kernel as K
 from .quality_rules import _CLASS, _LOWER
-from .samples import labelled
+from .samples import labelled, skew
 from .toxicity import best_threshold
 
 PER_CLASS = 1500
@@ -82,8 +82,9 @@ class Net:
         return [x.T @ dp + l2 * self.w, dp.sum(axis=0), h.T @ dt, h.T @ dsg, (t * s).T @ de, do]
 
 
-def train(bags: list[np.ndarray], y: np.ndarray, epochs=12, batch=64, rate=0.004, seed=3) -> Net:
-    """Adam on the log loss of documents; every fifth one only sets the threshold."""
+def train(bags: list[np.ndarray], y: np.ndarray, epochs=12, batch=64, rate=0.004, seed=3, goods=1.0) -> Net:
+    """Adam on the log loss of documents; every fifth one only sets the threshold,
+    each good one counting ``goods`` times."""
     rng = np.random.default_rng(seed)
     f = BUCKETS + KINDS
     net = Net(rng.normal(0, f**-0.5, (f, WIDTH)), np.zeros(WIDTH), rng.normal(0, WIDTH**-0.5, (WIDTH, GATE)), rng.normal(0, WIDTH**-0.5, (WIDTH, GATE)), np.zeros(GATE), np.zeros(WIDTH + 1))
@@ -109,7 +110,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, epochs=12, batch=64, rate=0.004
     for name in "wbvuao":
         setattr(net, name, getattr(net, name).astype(np.float32))
     if len(held):
-        net.threshold = -best_threshold(-np.concatenate([net.forward(*pack(held[lo : lo + 256]))[0] for lo in range(0, len(held), 256)]), 1 - y[held])
+        net.threshold = -best_threshold(-np.concatenate([net.forward(*pack(held[lo : lo + 256]))[0] for lo in range(0, len(held), 256)]), 1 - y[held], goods)
     return net
 
 
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net:
     """A net from at most 2 x ``per_class`` labelled documents, all passages of each."""
     rows = labelled(docs, labels, "quality", per_class).mapInArrow(_examples, "doc_id long, y int, x binary").toArrow().sort_by([("doc_id", "ascending")])
     bags = [np.frombuffer(x, np.float16).reshape(-1, BUCKETS + KINDS).astype(np.float32) for x in rows.column("x").to_pylist()]
-    return train(bags, rows.column("y").to_numpy())
+    return train(bags, rows.column("y").to_numpy(), goods=skew(labels, "quality", per_class, rare=0))
 
 
 def _scores(net: Net):

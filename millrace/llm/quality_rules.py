@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel as K
-from .samples import labelled
+from .samples import labelled, skew
 from .toxicity import best_threshold
 
 PER_CLASS = 4000
@@ -158,11 +158,11 @@ def _examples(it):
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "y": batch.column(2), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
 
-def train(x, y) -> Forest:
-    """Every fifth row only sets the threshold."""
+def train(x, y, goods: float = 1.0) -> Forest:
+    """Every fifth row only sets the threshold; each good one counts ``goods`` times."""
     held = np.arange(len(y)) % 5 == 0
     forest = boost(x[~held], y[~held].astype(float), list(FEATURES.values()))
-    cut = -best_threshold(-forest.score(x[held]), 1 - y[held]) if held.any() else 0.0
+    cut = -best_threshold(-forest.score(x[held]), 1 - y[held], goods) if held.any() else 0.0
     return Forest(**{**forest.__dict__, "threshold": cut})
 
 
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fores
     """Trees from at most 2 x ``per_class`` labelled documents."""
     rows = labelled(docs, labels, "quality", per_class).mapInArrow(_examples, "doc_id long, y int, x binary").toArrow().sort_by([("doc_id", "ascending")])
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, len(FEATURES))
-    return train(x, rows.column("y").to_numpy())
+    return train(x, rows.column("y").to_numpy(), skew(labels, "quality", per_class, rare=0))
 
 
 def _scores(forest: Forest):

@@ -18,3 +18,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int) ->
     ids = keep(picked[0].union(picked[1]), "sample-ids")
     side = F.broadcast(ids) if fits(ids, 16) else ids
     return docs.select("doc_id", "text").where("text is not null").join(side, "doc_id")
+
+
+def skew(labels: DataFrame, label: str, per_class: int, rare: int) -> float:
+    """How many documents of the other class one sampled document of it stands for,
+    where a sampled document of the class ``rare`` stands for one."""
+    counts = {r[0]: r[1] for r in labels.groupBy(F.col(label).cast("int")).count().collect()}
+    n, other = counts.get(rare, 0), counts.get(1 - rare, 0)
+    return (other / min(other, per_class)) / (n / min(n, per_class)) if n and other else 1.0

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .samples import labelled
+from .samples import labelled, skew
 
 BITS = 20
 #: The most labelled documents of each class that the fit reads.
@@ -104,8 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     """A model from at most 2 x ``per_class`` labelled documents."""
     rows = labelled(docs, labels, "toxic", per_class).mapInArrow(_examples, "doc_id long, y int, x binary").toArrow()
     rows = rows.sort_by([("doc_id", "ascending")])
-    clean, toxic = labels.agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") == 1, 1))).first()
-    ratio = (clean / max(1, min(clean, per_class))) / (toxic / max(1, min(toxic, per_class))) if clean and toxic else 1.0
+    ratio = skew(labels, "toxic", per_class, rare=1)
     return ftrl([(np.frombuffer(x, np.int32), y) for x, y in zip(rows.column("x").to_pylist(), rows.column("y").to_pylist())], negatives=ratio)
 
 
