@@ -1,16 +1,21 @@
 """Fuzzy line deduplication over a corpus.
 
 Lines are normalised (lower case, words joined by one space) and compared
-across all documents. Equal normalised lines belong together. A line of at
-least ``fuzzy_bytes`` bytes also gets a 512-bit SimHash of its words; its 24
-blocks are the pigeonholes: two lines within 23 bits of each other agree on a
-block, and most pairs that differ in more still agree on one. Candidates from
-the blocks whose 64-bit sketches are near are verified by edit similarity on
-the whole normalised lines, word by word, connected groups are formed, and one occurrence of
-each group stays: the least (doc_id, line number).
-
-A block's key has ``log2(lines) - 4`` bits, and each block has length classes with an offset of its own, so the expected number of chance partners of a line
-doesn't grow with the corpus. The sketch rejects them in vectorised runs.
+across all documents. Equal normalised lines belong together. Others are
+candidates where they share a key and their 64-bit sketches are near; candidates
+are verified by edit similarity of the whole normalised lines, character by
+character, connected groups are formed, and one occurrence of each group stays:
+the least (doc_id, line number).
+
+Keys depend on the length of the longer line of a pair; a line that can be the
+shorter one of a pair of the next class has the keys of both.
+
+* under 10 characters: no edit is allowed, only equal lines match;
+* 10 to 19: one edit leaves the first or the last half whole, so these are the keys;
+* longer: the character grams with the least hashes, as many as find 0.9 of pairs
+  with edits at random places at the least similarity. A gram grows with the
+  logarithm of the corpus, so a line's chance partners don't grow with the corpus,
+  and the number of grams a line grows with the length of the gram.
 """
 
 import math
@@ -24,220 +29,269 @@ from . import kernel as K
 from .graph import connected_components
 from .store import fits, keep
 
-#: Blocks of the 512 bits. One begins every 512 // BLOCKS bits; where a key takes
-#: more bits than that, neighbouring blocks overlap.
-BLOCKS = 24
-#: Each line has about 2^SLACK x BLOCKS chance partners a length class, for the sketch
-#: to reject, at every size of corpus.
-SLACK = 4
 SIMILARITY = 0.9
+#: Normalised lines of fewer bytes match only equal ones.
 FUZZY_BYTES = 48
-#: Bits of the 64-bit sketch in which candidates may differ.
-SKETCH_BITS = 17
-_CLASS = math.log(1.5)
+#: From which length on of the longer line a class of keys holds. The last has no end.
+CLASSES = (10, 20, 30, 48, 96)
+#: Bits of the 64-bit sketch in which candidates of 48 characters or more may differ.
+SKETCH_BITS = 25
+_SKETCHED = 48
 _table: np.ndarray | None = None
 
 
 def _signs() -> np.ndarray:
-    """4096 random rows of 512 one-byte 0/1 lanes, as 64 words of 8 lanes."""
+    """4096 random rows of 64 one-byte 0/1 lanes."""
     global _table
     if _table is None:
-        _table = np.random.default_rng(20240229).integers(0, 2, size=(4096, 512), dtype=np.uint8).view(np.uint64)
+        _table = np.random.default_rng(20240229).integers(0, 2, size=(4096, 64), dtype=np.uint8)
     return _table
 
 
-def simhash(words: K.Words, rows: np.ndarray) -> np.ndarray:
-    """(len(rows), 16) uint32: 512 bits of each of the given units.
-
-    Features are words of four bytes or more, or all words where a unit has
-    fewer than four of those.
-    """
-    out = np.zeros((len(rows), 16), np.uint32)
-    if not len(rows):
-        return out
-    long = words.size >= 4
-    many = np.zeros(len(words.hash) + 1, np.int64)
-    np.cumsum(long, out=many[1:])
-    few = (many[words.first[1:]] - many[words.first[:-1]]) < 4
-    use = long | few[words.unit]
-    wanted = np.zeros(len(words.first) - 1, bool)
-    wanted[rows] = True
-    use &= wanted[words.unit]
-    feature, unit = (words.hash[use] >> K.U64(52)).astype(np.int64), words.unit[use]
-    first = np.searchsorted(unit, rows)
-    n = np.diff(np.append(first, len(unit)))
-    total = np.zeros((len(rows), 512), np.int32)
-    signs = _signs()
-    # a lane holds at most 255, so a unit is summed in runs of 255 features
+def gram_size(lines: int) -> int:
+    """Characters of a long line's grams in a corpus of so many lines."""
+    return min(20, max(8, math.ceil(0.55 * math.log2(max(lines, 2)))))
+
+
+def class_grams(kind: int, size: int) -> tuple[int, int]:
+    """Characters of a gram of a class, and grams a line (0: all)."""
+    k = min(size, (0, 8, 9, 11, size)[kind])
+    return k, (0, 0, 0, 32, max(16, 2 * (k - 3)))[kind]
+
+
+def grams(chars: np.ndarray, first: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all k-character grams of some lines, and the lines' places in ``rows``."""
+    n = np.maximum(np.diff(first)[rows] - (k - 1), 0)
+    row = np.repeat(np.arange(len(rows)), n)
+    at = first[rows][row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    total = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum((chars.astype(np.uint64) + K.U64(1)) * K.powers(K._P, len(chars) + 1)[: len(chars)], out=total[1:])
+    return K.mix((total[at + k] - total[at]) * K.powers(K._PINV, len(chars) + 1)[at]), row
+
+
+def least_grams(h: np.ndarray, row: np.ndarray, rows: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` least distinct hashes of each row (0: all)."""
+
+    def least(h, row):
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        h, row = h[new], row[new]
+        if most:
+            rank = np.arange(len(h)) - np.searchsorted(row, np.arange(rows))[row]
+            h, row = h[rank < most], row[rank < most]
+        return h, row
+
+    n = np.bincount(row, minlength=rows)
+    if not most or not len(h):
+        return least(h, row)
+    # most hashes can't be among the least; where too few are left, as grams repeat, all are taken
+    cut = np.where(n > 3 * most, 3.0 * most / np.maximum(n, 1), 1.0)
+    some = (h >> K.U64(11)).astype(np.float64) * 2.0**-53 < cut[row]
+    found, at = least(h[some], row[some])
+    again = (np.bincount(at, minlength=rows) < most) & (cut < 1)
+    if again.any():
+        more, there = least(h[again[row]], row[again[row]])
+        found, at = np.concatenate([found[~again[at]], more]), np.concatenate([at[~again[at]], there])
+    return found, at
+
+
+def simhash(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """64 bits of each row's gram hashes; ``row`` ascends and has every row."""
+    total = np.zeros((rows, 64), np.int64)
+    n = np.bincount(row, minlength=rows)
+    signs = _signs().view(np.uint64)
+    feature = (h >> K.U64(52)).astype(np.int64)
+    # a lane holds at most 255, so a row is summed in runs of 255 features
+    begin = np.cumsum(n) - n
     runs = -(-n // 255)
-    run_row = np.repeat(np.arange(len(rows)), runs)
-    begin = np.cumsum(runs) - runs
-    run_start = first[run_row] + (np.arange(len(run_row)) - begin[run_row]) * 255
-    bounds = np.append(run_start, len(unit))
+    of = np.repeat(np.arange(rows), runs)
+    start = begin[of] + (np.arange(len(of)) - (np.cumsum(runs) - runs)[of]) * 255
+    bounds = np.append(start, len(h))
     lo = 0
-    while lo < len(run_start):
-        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 8192, side="right")) - 1)
-        part = np.add.reduceat(signs[feature[bounds[lo] : bounds[hi]]], run_start[lo:hi] - bounds[lo], axis=0)
-        lanes = part.view(np.uint8).reshape(hi - lo, 512)
-        alone = runs[run_row[lo:hi]] == 1
-        total[run_row[lo:hi][alone]] = lanes[alone]
-        for k in np.flatnonzero(~alone):
-            total[run_row[lo + k]] += lanes[k]
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 65_536, side="right")) - 1)
+        lanes = np.add.reduceat(signs[feature[bounds[lo] : bounds[hi]]], start[lo:hi] - bounds[lo], axis=0).view(np.uint8).reshape(hi - lo, 64)
+        rows_here, at = np.unique(of[lo:hi], return_index=True)
+        total[rows_here] += np.add.reduceat(lanes.astype(np.int64), at, axis=0)
         lo = hi
-    bits = 2 * total > n[:, None]
-    return np.packbits(bits, axis=1).view(">u4").astype(np.uint32)
-
-
-def _line_rows(fuzzy_bytes):
+    return np.packbits(2 * total > n[:, None], axis=1).view(np.uint64).ravel()
+
+
+def bags(chars: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """64 bits of each line's bag of characters. The n-th of a character sets one bit, so an edit changes two at most."""
+    char, row = grams(chars, first, rows, 1)
+    order = np.lexsort((char, row))
+    char, row = char[order], row[order]
+    new = np.ones(len(char), bool)
+    new[1:] = (char[1:] != char[:-1]) | (row[1:] != row[:-1])
+    run = np.flatnonzero(new)
+    nth = np.arange(len(char)) - run[np.cumsum(new) - 1]
+    bit = K.U64(1) << (K.mix(char + nth.astype(np.uint64)) >> K.U64(58))
+    return np.bitwise_or.reduceat(bit, np.searchsorted(row, np.arange(len(rows)))) if len(rows) else np.empty(0, np.uint64)
+
+
+def line_keys(chars: np.ndarray, first: np.ndarray, size: int):
+    """(line, key, sketch, 2 x length + whether the sketch is of grams) for every key of every line."""
+    length = np.diff(first)
+    low, high = (np.searchsorted(CLASSES, x, side="right") - 1 for x in (length, length * 10 // 9))
+    for kind in range(len(CLASSES)):
+        rows = np.flatnonzero((low == kind) | (high == kind))
+        if not len(rows):
+            continue
+        if kind:
+            k, most = class_grams(kind, size)
+            key, at = least_grams(*grams(chars, first, rows, k), len(rows), most)
+        else:
+            key, at = halves(chars, first, rows)
+        far = CLASSES[kind] >= _SKETCHED
+        sketch = simhash(*grams(chars, first, rows, 4), len(rows)) if far else bags(chars, first, rows)
+        yield rows[at], K.mix(key ^ K.U64(kind + 1)), sketch[at], (2 * length[rows][at] + far).astype(np.uint32)
+
+
+def halves(chars: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last halves as keys, for the line as the shorter one of a pair and as the longer by one."""
+    keys, at = [], []
+    length = np.diff(first)[rows]
+    for less in (0, 1):
+        for m in np.unique(length - less):
+            some = np.flatnonzero(length - less == m)
+            h, row = grams(chars, first, rows[some], int(m) // 2)
+            start = np.searchsorted(row, np.arange(len(some)))
+            stop = np.append(start[1:], len(row)) - 1
+            for side, place in enumerate((start, stop)):
+                keys.append(K.mix(h[place] + K.U64(2 * int(m) + side)))
+                at.append(some)
+    return np.concatenate(keys), np.concatenate(at)
+
+
+def _line_rows(it):
+    for batch, data, offsets in K.batches(it):
+        lines, first = K.line_offsets(data, offsets)
+        words = K.Words(data, lines)
+        h = words.sequence_hash()
+        used = np.flatnonzero(h)
+        doc = np.searchsorted(first, used, side="right") - 1
+        ids = batch.column(batch.schema.get_field_index("doc_id"))
+        yield pa.RecordBatch.from_pydict({"dk": K.ints(batch, "dk")[doc], "doc_id": ids.take(pa.array(doc)), "line": (used - first[doc]).astype(np.int32), "h": h[used].view(np.int64)})
+
+
+def normalised(data: np.ndarray, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all units' words joined by one space, and where each unit begins."""
+    n = np.diff(words.first)
+    joined = np.ones(len(words.size), bool)
+    joined[words.first[1:][n > 0] - 1] = False
+    size = words.size + joined
+    ends = np.cumsum(size)
+    at = np.repeat(words.start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    at = np.minimum(at, len(data) - 1)
+    out = data[at]
+    out[ends[joined] - 1] = 32
+    return out, np.concatenate([[0], ends])[words.first]
+
+
+def _norms(fuzzy_bytes: int):
     def run(it):
         for batch, data, offsets in K.batches(it):
-            lines, first = K.line_offsets(data, offsets)
+            lines, _ = K.line_offsets(data, offsets)
             words = K.Words(data, lines)
             h = words.sequence_hash()
-            used = np.flatnonzero(h)
-            count = np.diff(words.first)
-            total = np.zeros(len(words.size) + 1, np.int64)
-            np.cumsum(words.size, out=total[1:])
-            size = total[words.first[1:]] - total[words.first[:-1]] + np.maximum(count - 1, 0)
-            doc = np.searchsorted(first, used, side="right") - 1
-            key = K.ints(batch, "dk")
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            rows = np.flatnonzero(size[used] >= fuzzy_bytes)
-            sig = np.zeros((len(used), 8), np.int64)
-            sig[rows] = simhash(words, used[rows]).view(np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {"dk": key[doc], "doc_id": ids.take(pa.array(doc)), "line": (used - first[doc]).astype(np.int32), "h": h[used].view(np.int64), "size": size[used].astype(np.int32)}
-                | {f"s{k}": np.ascontiguousarray(sig[:, k]) for k in range(8)}
-            )
+            text, first = normalised(data, words)
+            _, used = np.unique(h, return_index=True)
+            # a line of fewer than nine characters isn't like any but its equals
+            used = used[(h[used] != 0) & (np.diff(first)[used] >= max(9, fuzzy_bytes))]
+            norm = pa.Array.from_buffers(pa.large_string(), len(h), [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(text)])
+            yield pa.RecordBatch.from_pydict({"h": h[used].view(np.int64), "norm": norm.take(pa.array(used)).cast(pa.string())})
 
     return run
 
 
-def block_keys(blocks: np.ndarray, size: np.ndarray, bits: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(BLOCKS, lines) keys of ``bits`` bits and a length class, and 64-bit sketches."""
-    stride = 512 // BLOCKS
-    every = np.unpackbits(blocks.astype(">u4").view(np.uint8).reshape(len(blocks), 64), axis=1)
-    ends = [j * stride + stride - k for j in range(BLOCKS) for k in (1, 2)]
-    rest = [*ends, *range(BLOCKS * stride, 512)]
-    rest += [j * stride for j in range(64 - len(rest))]
-    sketch = np.ascontiguousarray(np.packbits(every[:, rest], axis=1)).view(np.uint64).ravel()
-    keys = np.empty((BLOCKS, len(blocks)), np.uint64)
-    span = np.log(size) / _CLASS
-    for j in range(BLOCKS):
-        own = np.packbits(every[:, (j * stride + np.arange(bits)) % 512], axis=1)
-        value = np.zeros((len(blocks), 8), np.uint8)
-        value[:, : own.shape[1]] = own
-        kind = np.floor(span + offsets[j]).astype(np.uint64)
-        keys[j] = K.mix(value.view(np.uint64).ravel() | K.U64(j) << K.U64(40) | kind << K.U64(48))
-    return keys, sketch
-
-
-def key_bits(lines: int) -> int:
-    return min(32, max(12, math.ceil(math.log2(max(lines, 2))) - SLACK))
-
-
-def _to_blocks(bits: int, parts: int, fuzzy_bytes: int):
-    offsets = np.random.default_rng(7).random(BLOCKS)
-
-    def flush(h, size, sig):
-        keys, sketch = block_keys(sig.view(np.uint32).reshape(len(h), 16), size, bits, offsets)
-        keys = keys.ravel()
-        part = (keys % K.U64(parts)).astype(np.int32)
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of UTF-8 texts, and where each text begins."""
+    begins = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=begins[1:])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), begins[offsets]
+
+
+def _to_keys(size: int, parts: int):
+    def flush(h, key, sketch, length):
+        part = (key % K.U64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
-        row = order % len(h)
-        key = np.ascontiguousarray((keys[order] >> K.U64(40)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3])
-        hs, sk = h[row], sketch[row]
+        columns = {"key": (key[order] >> K.U64(32)).astype(np.uint32), "hs": h[order], "sketch": sketch[order], "len": length[order]}
         for p in range(0, parts, 256):
             some = [q for q in range(p, min(parts, p + 256)) if ends[q] < ends[q + 1]]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in (("key", key), ("hs", hs), ("sketch", sk))})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in columns.items()})
 
     def run(it):
         held, n = [], 0
-        for batch in it:
-            size = np.asarray(batch.column(1))
-            far = size >= fuzzy_bytes
-            sig = np.stack([np.asarray(batch.column(2 + k)) for k in range(8)], axis=1)[far]
-            held.append((np.asarray(batch.column(0))[far], size[far], sig))
-            n += len(sig)
-            if n >= 100_000:
-                yield from flush(*(np.ascontiguousarray(np.concatenate(x)) for x in zip(*held)))
+        for batch, data, offsets in K.batches(it, "norm", lower=False):
+            h = K.ints(batch, "h")
+            for line, *rest in line_keys(*code_points(data, offsets), size):
+                held.append((h[line], *rest))
+                n += len(line)
+            if n >= 2_000_000:
+                yield from flush(*(np.concatenate(x) for x in zip(*held)))
                 held, n = [], 0
         if n:
-            yield from flush(*(np.ascontiguousarray(np.concatenate(x)) for x in zip(*held)))
+            yield from flush(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
-def pairs_in_runs(key: np.ndarray, h: np.ndarray, sketch: np.ndarray, most_bits: int):
-    """All pairs of distinct lines with equal keys and near sketches."""
-    order = np.argsort(key, kind="stable")
-    key, h, sketch = key[order], h[order], sketch[order]
+def near(sketch: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs' sketches are near enough; b is not shorter than a."""
+    bits = np.bitwise_count(sketch[a] ^ sketch[b])
+    return bits <= np.where(length[b] & 1, SKETCH_BITS, 2 * np.floor((length[b] >> 1) * (1 - similarity) + 1e-9))
+
+
+def pairs_in_runs(key: np.ndarray, h: np.ndarray, sketch: np.ndarray, length: np.ndarray, similarity: float):
+    """All pairs of distinct lines with equal keys, near lengths and near sketches."""
+    order = np.lexsort((length, key))
+    key, h, sketch, length = key[order], h[order], sketch[order], length[order]
+    size = (length >> 1).astype(np.int64)
+    most = np.floor(size * (1 - similarity) + 1e-9).astype(np.int64)
     left, step = np.arange(len(key) - 1), 1
     while len(left):
         left = left[left + step < len(key)]
-        left = left[key[left] == key[left + step]]
-        near = left[np.bitwise_count(sketch[left] ^ sketch[left + step]) <= most_bits]
-        near = near[h[near] != h[near + step]]
-        if len(near):
-            yield h[near], h[near + step]
+        right = left + step
+        # lengths ascend within a key, and so does what a pair may lack
+        left = left[(key[left] == key[right]) & (size[right] - size[left] <= most[right])]
+        some = left[near(sketch, length, left, left + step, similarity)]
+        some = some[h[some] != h[some + step]]
+        if len(some):
+            yield h[some], h[some + step]
         step += 1
 
 
-def _match(most_bits: int):
+def _match(similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        raw, h, sketch = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("key", np.uint8), ("hs", np.int64), ("sketch", np.uint64)))
-        key = np.zeros((len(h), 4), np.uint8)
-        key[:, :3] = raw.reshape(-1, 3)
-        key = key.view(np.uint32).ravel()
-        found = list(pairs_in_runs(key, h, sketch, most_bits))
+        key, h, sketch, length = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("key", np.uint32), ("hs", np.int64), ("sketch", np.uint64), ("len", np.uint32)))
+        found = list(pairs_in_runs(key, h, sketch, length, similarity))
         if not found:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+        order = np.lexsort((np.maximum(a, b), np.minimum(a, b)))
+        a, b = np.minimum(a, b)[order], np.maximum(a, b)[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.table({"a": a[new], "b": b[new]})
 
     return run
 
 
-def letters(words: K.Words, unit: int) -> str:
-    """A unit's words as one character each, so that string edit distance counts words."""
-    code = (words.hash[words.first[unit] : words.first[unit + 1]] >> K.U64(20)) % K.U64(38_000)
-    return np.where(code < 27_000, code + K.U64(0x3400), code + K.U64(0xAC00 - 27_000)).astype("<u2").tobytes().decode("utf-16-le")
-
-
-def _texts(it):
-    for batch, data, offsets in K.batches(it):
-        lines, first = K.line_offsets(data, offsets)
-        words = K.Words(data, lines)
-        hs, out = [], []
-        for doc, rows in enumerate(batch.column(1).to_pylist()):
-            for row in rows:
-                hs.append(row["h"])
-                out.append(letters(words, first[doc] + row["line"]))
-        yield pa.RecordBatch.from_pydict({"h": pa.array(hs, pa.int64()), "norm": pa.array(out, pa.string())})
-
-
 def _removals(docs: DataFrame, similarity: float, fuzzy_bytes: int) -> DataFrame:
     """(dk, lines): the numbers of the lines to remove from each document."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk")).where("text is not null")
-    lines = keep(keyed.mapInArrow(_line_rows(fuzzy_bytes), "dk long, doc_id long, line int, h long, size int, " + ", ".join(f"s{k} long" for k in range(8))), "lines")
-    n = lines.count()
-    bits, parts = key_bits(n), max(8, -(-n * BLOCKS // 1_000_000))
-    distinct = lines.where(F.col("size") >= fuzzy_bytes).groupBy("h").agg(F.first("size"), *[F.first(f"s{k}") for k in range(8)])
-    blocks = distinct.mapInArrow(_to_blocks(bits, parts, fuzzy_bytes), "part int, key binary, hs binary, sketch binary")
-    pairs = keep(blocks.groupBy("part").applyInArrow(_match(SKETCH_BITS), "a long, b long").distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    places = lines.select("h", "dk", "line").join(wanted, "h").groupBy("h").agg(F.min(F.struct("dk", "line")).alias("at"))
-    places = keep(places.select("h", "at.dk", "at.line").groupBy("dk").agg(F.collect_list(F.struct("line", "h")).alias("wanted")), "line-places")
-    side = F.broadcast(places) if fits(places, 120) else places
-    norms = keep(keyed.join(side, "dk").select("text", "wanted").mapInArrow(_texts, "h long, norm string").groupBy("h").agg(F.min("norm").alias("norm")), "line-texts")
-    longest = F.greatest(F.length("x"), F.length("y"))
-    allowed = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
+    lines = keep(keyed.mapInArrow(_line_rows, "dk long, doc_id long, line int, h long"), "lines")
+    norms = keep(keyed.select("text").mapInArrow(_norms(fuzzy_bytes), "h long, norm string").dropDuplicates(["h"]), "line-texts")
+    parts = max(8, -(-norms.count() * 24 // 1_000_000))
+    keys = norms.mapInArrow(_to_keys(gram_size(lines.count()), parts), "part int, key binary, hs binary, sketch binary, len binary")
+    pairs = keep(keys.groupBy("part").applyInArrow(_match(similarity), "a long, b long").distinct(), "line-pairs")
     edges = (
         pairs.join(norms.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a")
         .join(norms.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
-        .where(F.abs(F.length("x") - F.length("y")) <= allowed)
         .where(F.expr(f"levenshtein(x, y, cast(floor(greatest(length(x), length(y)) * {1 - similarity!r} + 1e-9) as int)) >= 0"))
         .select("a", "b")
     )
@@ -254,9 +308,9 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_bytes: in
     """Documents with only one occurrence left of each group of like lines.
 
     Adds ``n_lines`` (lines before) and ``n_removed``. ``similarity`` is
-    1 - edit distance / longer length, in words of normalised lines.
-    Lines shorter than ``fuzzy_bytes`` match only lines equal to them after
-    normalisation: one changed word makes another line of them.
+    1 - edit distance / longer length, in characters of normalised lines.
+    Lines of fewer than ``fuzzy_bytes`` bytes match only lines equal to them
+    after normalisation.
 
     Defined cases: lines without a word (blank, punctuation) always stay; a null
     text stays null with null counts; an empty text has one empty line; the same
