@@ -33,7 +33,7 @@ SIMILARITY = 0.9
 #: Normalised lines of fewer bytes match only equal ones.
 FUZZY_BYTES = 48
 #: From which length on of the longer line a class of keys holds. The last has no end.
-CLASSES = (10, 20, 30, 48, 96)
+CLASSES = (10, 20, 30, 48, 96, 192)
 #: Bits of the 64-bit sketch in which candidates of 48 characters or more may differ.
 SKETCH_BITS = 25
 _SKETCHED = 48
@@ -50,13 +50,13 @@ def _signs() -> np.ndarray:
 
 def gram_size(lines: int) -> int:
     """Characters of a long line's grams in a corpus of so many lines."""
-    return min(20, max(8, math.ceil(0.55 * math.log2(max(lines, 2)))))
+    return min(20, max(8, math.ceil(0.7 * math.log2(max(lines, 2)))))
 
 
 def class_grams(kind: int, size: int) -> tuple[int, int]:
     """Characters of a gram of a class, and grams a line (0: all)."""
-    k = min(size, (0, 8, 9, 11, size)[kind])
-    return k, (0, 0, 0, 32, max(16, 2 * (k - 3)))[kind]
+    k = min(size, (0, 8, 10, 13, 16, size)[kind])
+    return k, 0 if kind < 3 else 32 if kind == 3 else max(16, math.ceil(k * k / 11))
 
 
 def grams(chars: np.ndarray, first: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,10 +219,11 @@ def _to_keys(size: int, parts: int):
         part = (key % K.U64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
-        columns = {"key": (key[order] >> K.U64(32)).astype(np.uint32), "hs": h[order], "sketch": sketch[order], "len": length[order]}
+        columns = {"key": np.ascontiguousarray((key[order] >> K.U64(40)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]), "hs": h[order], "sketch": sketch[order]}
+        size = length[order].view(np.uint8).reshape(-1, 4)  # byte by byte, as most high bytes are 0 and pack well
         for p in range(0, parts, 256):
             some = [q for q in range(p, min(parts, p + 256)) if ends[q] < ends[q + 1]]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in columns.items()})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in columns.items()} | {"len": pa.array([size[ends[q] : ends[q + 1]].T.tobytes() for q in some], pa.binary())})
 
     def run(it):
         held, n = [], 0
@@ -267,7 +268,11 @@ def pairs_in_runs(key: np.ndarray, h: np.ndarray, sketch: np.ndarray, length: np
 
 def _match(similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        key, h, sketch, length = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("key", np.uint32), ("hs", np.int64), ("sketch", np.uint64), ("len", np.uint32)))
+        raw, h, sketch = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("key", np.uint8), ("hs", np.int64), ("sketch", np.uint64)))
+        key = np.zeros((len(h), 4), np.uint8)
+        key[:, :3] = raw.reshape(-1, 3)
+        key = key.view(np.uint32).ravel()
+        length = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T) for x in table.column("len").to_pylist()]).view(np.uint32).ravel()
         found = list(pairs_in_runs(key, h, sketch, length, similarity))
         if not found:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})

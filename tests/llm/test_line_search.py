@@ -50,3 +50,14 @@ def test_recall_with_the_keys_of_large_corpora(lines):
             ends = [sorted((a[k], b[k]), key=lambda x: x[1]) for k in a.keys() & b.keys()]
             found += any(line_dedup.near(np.array([x[0], y[0]], np.uint64), np.array([x[1], y[1]], np.uint32), np.array([0]), np.array([1]), 0.9)[0] for x, y in ends)
         assert found >= 0.9 * len(base), (length, found)
+
+
+def test_edits_are_counted_in_characters(spark):
+    r = random.Random(4)
+    hanzi = [chr(0x4E00 + k) for k in range(2000)]
+    base = ["International Conference Proceedings Copyright 2023 Publishing Association Incorporated", *(sentence(r, 8) for _ in range(8)), *("".join(r.choices(hanzi, k=60)) for _ in range(8))]
+    lines = base + [base[0].replace("2023", "2024")] + [edits(r, x, k) for x in base[1:] for k in (2, 9)]
+    want = brute(lines)
+    assert {17, 18, 34, 36, 48} <= want and len(want) < 40
+    got = removed(spark, lines)
+    assert got <= want and len(got) >= 0.9 * len(want)
