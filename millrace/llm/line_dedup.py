@@ -30,8 +30,8 @@ from .graph import connected_components
 from .store import fits, keep
 
 SIMILARITY = 0.9
-#: Normalised lines of fewer bytes match only equal ones.
-FUZZY_BYTES = 48
+#: Normalised lines of fewer bytes would match only equal ones; there is no such floor.
+FUZZY_BYTES = 0
 #: From which length on of the longer line a class of keys holds. The last has no end.
 CLASSES = (10, 20, 30, 48, 96, 192)
 #: Bits of the 64-bit sketch in which candidates of 48 characters or more may differ.

@@ -61,3 +61,14 @@ def test_edits_are_counted_in_characters(spark):
     assert {17, 18, 34, 36, 48} <= want and len(want) < 40
     got = removed(spark, lines)
     assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_short_lines(spark):
+    r = random.Random(6)
+    base = ["a b c d e f g h i j k l", "Chapter 12", "Chapter 9", *(sentence(r, 9)[:n].strip() for n in range(9, 48) for _ in range(2))]
+    lines = base + ["a b c d e f g h i j k z", "Chapter 13", "Chapter 8"] + [edits(r, x, 1 + (k % 2) * (len(x) // 20)) for k, x in enumerate(base[3:])]
+    want = brute(lines)
+    first = len(base)
+    assert {first, first + 1} <= want and first + 2 not in want
+    got = removed(spark, lines)
+    assert {first, first + 1} <= got <= want and len(got) >= 0.9 * len(want)
