@@ -114,13 +114,13 @@ _HEAD = "list_transform(range(1, least(length(text), 64) + 1), lambda i: ord(sub
 
 @query(f"SELECT doc_id, array_to_string(list_resize({_HEAD}, 64, -1), ',') AS ids FROM documents")
 def pad_truncate(t):
-    ids = T.code_points(F.substring("text", 1, 64))
+    ids = T.code_points(F.col("text"))
     return t("documents").select("doc_id", F.array_join(T.pad_or_cut(ids, 64), ",").alias("ids"))
 
 
 @query("SELECT doc_id, array_to_string(list_resize(list_transform(range(1, least(length(text), 63) + 1), lambda i: ord(substring(text, i, 1))), 64, 0), ',') AS ids FROM documents")
 def pad_truncate_spare(t):
-    ids = T.code_points(F.substring("text", 1, 64))
+    ids = T.code_points(F.col("text"))
     return t("documents").select("doc_id", F.array_join(T.pad_or_cut(ids, 64, 0, spare=1), ",").alias("ids"))
 
 
@@ -185,7 +185,7 @@ def decode_segments(t):
 @query()
 def parse_query(t):
     space = T.IdSpace()
-    asked = t("documents").select("doc_id", F.concat(F.lit("[CLS] "), F.element_at(F.split("text", " "), 1), F.lit(" [MASK]*2 [SEP] "), F.col("source")).alias("query"))
+    asked = t("documents").select("doc_id", F.concat(F.lit("[CLS] "), "text", F.lit(" [MASK]*2 [SEP] "), F.col("source")).alias("query"))
     return asked.select("doc_id", F.array_join(space.parse_udf(CodePoints().encode)("query"), ",").alias("ids"))
 
 
