@@ -2,10 +2,10 @@
 
 Lines are normalised (lower case, words joined by one space) and compared
 across all documents. Equal normalised lines belong together. Others are
-candidates where they share a key and their 64-bit sketches are near; candidates
-are verified by edit similarity of the whole normalised lines, character by
-character, connected groups are formed, and one occurrence of each group stays:
-the least (doc_id, line number).
+candidates where they share a key and their 128-bit SimHashes are near;
+candidates are verified by edit similarity of the whole normalised lines,
+character by character, connected groups are formed, and one occurrence of each
+group stays: the least (doc_id, line number).
 
 Keys depend on the length of the longer line of a pair; a line that can be the
 shorter one of a pair of the next class has the keys of both.
@@ -16,6 +16,16 @@ shorter one of a pair of the next class has the keys of both.
   with edits at random places at the least similarity. A gram grows with the
   logarithm of the corpus, so a line's chance partners don't grow with the corpus,
   and the number of grams a line grows with the length of the gram.
+
+Blocks of a SimHash can't be the keys at this similarity: edits of a tenth of the
+characters change 0.34 of the 4-character grams and some 19 of 64 bits, and 20
+blocks of three bits select nothing.
+
+What shares a key is a run. All pairs of a short run are candidates. A long run,
+such as versions of one template, gives no pairs at first: its lines are compared
+with their neighbours in the order of their SimHashes, which connects what is
+alike by a number of edges in proportion to the lines; then pairs of lines that
+aren't connected yet are compared, all of them. So groups are those of all pairs.
 """
 
 import math
@@ -26,25 +36,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .edit import within
 from .graph import connected_components
-from .store import fits, keep
+from .store import fits, fresh, keep
 
 SIMILARITY = 0.9
 #: Normalised lines of fewer bytes would match only equal ones; there is no such floor.
 FUZZY_BYTES = 0
 #: From which length on of the longer line a class of keys holds. The last has no end.
 CLASSES = (10, 20, 30, 48, 96, 192)
-#: Bits of the 64-bit sketch in which candidates of 48 characters or more may differ.
-SKETCH_BITS = 25
+#: Characters from which on candidates' 128-bit SimHashes must be near. Bits that may differ are
+#: 50 at this length and 5 less for each doubling (16 at least): 0.98 of random edits at 0.9 stay below.
 _SKETCHED = 48
+#: Lines of a run all of whose pairs are candidates at once.
+SHORT_RUN = 8
+#: Lines of a long run that are in one task at a time.
+BLOCK = 16_384
 _table: np.ndarray | None = None
 
 
 def _signs() -> np.ndarray:
-    """4096 random rows of 64 one-byte 0/1 lanes."""
+    """4096 random rows of 128 one-byte 0/1 lanes."""
     global _table
     if _table is None:
-        _table = np.random.default_rng(20240229).integers(0, 2, size=(4096, 64), dtype=np.uint8)
+        _table = np.random.default_rng(20240229).integers(0, 2, size=(4096, 128), dtype=np.uint8)
     return _table
 
 
@@ -59,123 +74,140 @@ def class_grams(kind: int, size: int) -> tuple[int, int]:
     return k, 0 if kind < 3 else 32 if kind == 3 else max(16, math.ceil(k * k / 11))
 
 
-def grams(chars: np.ndarray, first: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-character grams of some lines, and the lines' places in ``rows``."""
-    n = np.maximum(np.diff(first)[rows] - (k - 1), 0)
-    row = np.repeat(np.arange(len(rows)), n)
-    at = first[rows][row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+def gather(chars: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of some lines one after another, where each begins, and each character's line."""
+    n = np.diff(first)[rows]
+    begin = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum(n, out=begin[1:])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), n)
+    return chars[np.arange(len(row)) + np.repeat(first[:-1][rows] - begin[:-1], n)], begin, row
+
+
+def grams(chars: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """42-bit hashes of all k-character grams of gathered lines, and the lines' places."""
+    if len(chars) < k:
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
     total = np.zeros(len(chars) + 1, np.uint64)
-    np.cumsum((chars.astype(np.uint64) + K.U64(1)) * K.powers(K._P, len(chars) + 1)[: len(chars)], out=total[1:])
-    return K.mix((total[at + k] - total[at]) * K.powers(K._PINV, len(chars) + 1)[at]), row
+    np.cumsum((chars.astype(np.uint64) + K.U64(1)) * K.powers(K._P, len(chars))[: len(chars)], out=total[1:])
+    h = (total[k:] - total[:-k]) * K.powers(K._PINV, len(chars))[: len(chars) - k + 1]
+    inside = np.flatnonzero(row[: len(row) - k + 1] == row[k - 1 :])
+    return K.mix(h[inside]) >> K.U64(22), row[inside]
 
 
 def least_grams(h: np.ndarray, row: np.ndarray, rows: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` least distinct hashes of each row (0: all)."""
+    """The ``most`` least distinct 42-bit hashes of each row (0: all)."""
 
     def least(h, row):
-        order = np.lexsort((h, row))
-        h, row = h[order], row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        h, row = h[new], row[new]
+        code = np.sort((row.astype(np.uint64) << K.U64(42)) | h)
+        code = code[np.append(True, code[1:] != code[:-1])] if len(code) else code
+        row = (code >> K.U64(42)).astype(np.int64)
         if most:
-            rank = np.arange(len(h)) - np.searchsorted(row, np.arange(rows))[row]
-            h, row = h[rank < most], row[rank < most]
-        return h, row
+            rank = np.arange(len(code)) - np.searchsorted(row, np.arange(rows))[row]
+            code, row = code[rank < most], row[rank < most]
+        return code & K.U64((1 << 42) - 1), row
 
-    n = np.bincount(row, minlength=rows)
     if not most or not len(h):
         return least(h, row)
+    n = np.bincount(row, minlength=rows)
     # most hashes can't be among the least; where too few are left, as grams repeat, all are taken
-    cut = np.where(n > 3 * most, 3.0 * most / np.maximum(n, 1), 1.0)
-    some = (h >> K.U64(11)).astype(np.float64) * 2.0**-53 < cut[row]
+    part = np.where(n > 3 * most, 3.0 * most / np.maximum(n, 1), 1.0)
+    cut = (part * (1 << 42)).astype(np.uint64)
+    some = h < cut[row]
     found, at = least(h[some], row[some])
-    again = (np.bincount(at, minlength=rows) < most) & (cut < 1)
+    again = (np.bincount(at, minlength=rows) < most) & (part < 1)
     if again.any():
         more, there = least(h[again[row]], row[again[row]])
         found, at = np.concatenate([found[~again[at]], more]), np.concatenate([at[~again[at]], there])
     return found, at
 
 
-def simhash(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """64 bits of each row's gram hashes; ``row`` ascends and has every row."""
-    total = np.zeros((rows, 64), np.int64)
-    n = np.bincount(row, minlength=rows)
+def simhash(chars: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """(lines, 2) words: each line's 128-bit SimHash of its 4-character grams; 0 where it has none."""
+    rows = len(begin) - 1
+    total = np.zeros((rows, 128), np.int32)
+    n = np.maximum(np.diff(begin) - 3, 0)
+    if not n.any():
+        return np.zeros((rows, 2), np.uint64)
+    c = chars.astype(np.uint32)
+    h = c[:-3] * np.uint32(0x9E3779B1) + c[1:-2] * np.uint32(0x85EBCA77) + c[2:-1] * np.uint32(0xC2B2AE3D) + c[3:] * np.uint32(0x27D4EB2F)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    feature = (h >> np.uint32(20)).astype(np.int64)
     signs = _signs().view(np.uint64)
-    feature = (h >> K.U64(52)).astype(np.int64)
-    # a lane holds at most 255, so a row is summed in runs of 255 features
-    begin = np.cumsum(n) - n
+    # a lane holds at most 255, so a line is summed in runs of 255 grams
     runs = -(-n // 255)
     of = np.repeat(np.arange(rows), runs)
     start = begin[of] + (np.arange(len(of)) - (np.cumsum(runs) - runs)[of]) * 255
-    bounds = np.append(start, len(h))
-    lo = 0
-    while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 65_536, side="right")) - 1)
-        lanes = np.add.reduceat(signs[feature[bounds[lo] : bounds[hi]]], start[lo:hi] - bounds[lo], axis=0).view(np.uint8).reshape(hi - lo, 64)
-        rows_here, at = np.unique(of[lo:hi], return_index=True)
-        total[rows_here] += np.add.reduceat(lanes.astype(np.int64), at, axis=0)
-        lo = hi
-    return np.packbits(2 * total > n[:, None], axis=1).view(np.uint64).ravel()
-
-
-def bags(chars: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """64 bits of each line's bag of characters. The n-th of a character sets one bit, so an edit changes two at most."""
-    char, row = grams(chars, first, rows, 1)
-    order = np.lexsort((char, row))
-    char, row = char[order], row[order]
-    new = np.ones(len(char), bool)
-    new[1:] = (char[1:] != char[:-1]) | (row[1:] != row[:-1])
-    run = np.flatnonzero(new)
-    nth = np.arange(len(char)) - run[np.cumsum(new) - 1]
-    bit = K.U64(1) << (K.mix(char + nth.astype(np.uint64)) >> K.U64(58))
-    return np.bitwise_or.reduceat(bit, np.searchsorted(row, np.arange(len(rows)))) if len(rows) else np.empty(0, np.uint64)
+    stop = np.minimum(start + 255, (begin[:-1] + n)[of])
+    for lo in range(0, len(start), 256):
+        a, b, own = start[lo : lo + 256], stop[lo : lo + 256], of[lo : lo + 256]
+        size = b - a
+        at = np.cumsum(size) - size
+        places = np.arange(int(size.sum())) + np.repeat(a - at, size)
+        lanes = np.add.reduceat(signs[feature[places]], at, axis=0).view(np.uint8).reshape(len(a), 128)
+        here, first = np.unique(own, return_index=True)
+        total[here] += np.add.reduceat(lanes.astype(np.int32), first, axis=0)
+    return np.packbits(2 * total > n[:, None], axis=1).view(np.uint64).reshape(rows, 2)
 
 
 def line_keys(chars: np.ndarray, first: np.ndarray, size: int):
-    """(line, key, sketch, 2 x length + whether the sketch is of grams) for every key of every line."""
+    """(line, key) arrays of every key of every line."""
     length = np.diff(first)
     low, high = (np.searchsorted(CLASSES, x, side="right") - 1 for x in (length, length * 10 // 9))
     for kind in range(len(CLASSES)):
         rows = np.flatnonzero((low == kind) | (high == kind))
         if not len(rows):
             continue
+        own, begin, row = gather(chars, first, rows)
         if kind:
             k, most = class_grams(kind, size)
-            key, at = least_grams(*grams(chars, first, rows, k), len(rows), most)
+            key, at = least_grams(*grams(own, row, k), len(rows), most)
         else:
-            key, at = halves(chars, first, rows)
-        far = CLASSES[kind] >= _SKETCHED
-        sketch = simhash(*grams(chars, first, rows, 4), len(rows)) if far else bags(chars, first, rows)
-        yield rows[at], K.mix(key ^ K.U64(kind + 1)), sketch[at], (2 * length[rows][at] + far).astype(np.uint32)
+            key, at = halves(own, begin)
+        yield rows[at], K.mix(key ^ (K.U64(kind + 1) << K.U64(56)))
 
 
-def halves(chars: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def halves(chars: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last halves as keys, for the line as the shorter one of a pair and as the longer by one."""
     keys, at = [], []
-    length = np.diff(first)[rows]
+    length = np.diff(begin)
     for less in (0, 1):
         for m in np.unique(length - less):
             some = np.flatnonzero(length - less == m)
-            h, row = grams(chars, first, rows[some], int(m) // 2)
-            start = np.searchsorted(row, np.arange(len(some)))
-            stop = np.append(start[1:], len(row)) - 1
-            for side, place in enumerate((start, stop)):
-                keys.append(K.mix(h[place] + K.U64(2 * int(m) + side)))
+            half = int(m) // 2
+            for side, start in enumerate((begin[:-1][some], begin[1:][some] - half)):
+                x = chars[start[:, None] + np.arange(half)].astype(np.uint64) + K.U64(1)
+                keys.append(K.mix((x * K.powers(K._P, half)[:half]).sum(axis=1, dtype=np.uint64) + K.U64(2 * int(m) + side)))
                 at.append(some)
     return np.concatenate(keys), np.concatenate(at)
 
 
-def _line_rows(it):
-    for batch, data, offsets in K.batches(it):
-        lines, first = K.line_offsets(data, offsets)
-        words = K.Words(data, lines)
-        h = words.sequence_hash()
-        used = np.flatnonzero(h)
-        doc = np.searchsorted(first, used, side="right") - 1
-        ids = batch.column(batch.schema.get_field_index("doc_id"))
-        yield pa.RecordBatch.from_pydict({"dk": K.ints(batch, "dk")[doc], "doc_id": ids.take(pa.array(doc)), "line": (used - first[doc]).astype(np.int32), "h": h[used].view(np.int64)})
+def _scan(fuzzy_bytes: int):
+    """Every line with a word; its text where this task hasn't just given it."""
 
+    def run(it):
+        given = np.zeros(1 << 18, np.uint64)
+        for batch, data, offsets in K.batches(it):
+            lines, first = K.line_offsets(data, offsets)
+            words = K.Words(data, lines)
+            h = words.sequence_hash()
+            used = np.flatnonzero(h)
+            doc = np.searchsorted(first, used, side="right") - 1
+            text, begin = normalised(data, words)
+            # a line of fewer than nine bytes isn't like any but its equals
+            slot = (h[used] & K.U64(len(given) - 1)).astype(np.int64)
+            new = (np.diff(begin)[used] >= max(9, fuzzy_bytes)) & (given[slot] != h[used])
+            _, once = np.unique(h[used], return_index=True)
+            first_here = np.zeros(len(used), bool)
+            first_here[once] = True
+            new &= first_here
+            given[slot[new]] = h[used][new]
+            norm = pa.Array.from_buffers(pa.large_string(), len(h), [None, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(text)])
+            norm = norm.take(pa.array(np.where(new, used, 0), mask=~new)).cast(pa.string())
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            yield pa.RecordBatch.from_pydict({"dk": K.ints(batch, "dk")[doc], "doc_id": ids.take(pa.array(doc)), "line": (used - first[doc]).astype(np.int32), "h": h[used].view(np.int64), "norm": norm})
+
+    return run
 
 def normalised(data: np.ndarray, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all units' words joined by one space, and where each unit begins."""
@@ -191,22 +223,6 @@ def normalised(data: np.ndarray, words: K.Words) -> tuple[np.ndarray, np.ndarray
     return out, np.concatenate([[0], ends])[words.first]
 
 
-def _norms(fuzzy_bytes: int):
-    def run(it):
-        for batch, data, offsets in K.batches(it):
-            lines, _ = K.line_offsets(data, offsets)
-            words = K.Words(data, lines)
-            h = words.sequence_hash()
-            text, first = normalised(data, words)
-            _, used = np.unique(h, return_index=True)
-            # a line of fewer than nine characters isn't like any but its equals
-            used = used[(h[used] != 0) & (np.diff(first)[used] >= max(9, fuzzy_bytes))]
-            norm = pa.Array.from_buffers(pa.large_string(), len(h), [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(text)])
-            yield pa.RecordBatch.from_pydict({"h": h[used].view(np.int64), "norm": norm.take(pa.array(used)).cast(pa.string())})
-
-    return run
-
-
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Characters of UTF-8 texts, and where each text begins."""
     begins = np.zeros(len(data) + 1, np.int64)
@@ -215,22 +231,21 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _to_keys(size: int, parts: int):
-    def flush(h, key, sketch, length):
+    def flush(h, key):
         part = (key % K.U64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
-        columns = {"key": np.ascontiguousarray((key[order] >> K.U64(40)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]), "hs": h[order], "sketch": sketch[order]}
-        size = length[order].view(np.uint8).reshape(-1, 4)  # byte by byte, as most high bytes are 0 and pack well
+        short, h = np.ascontiguousarray((key[order] >> K.U64(40)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]), h[order]
         for p in range(0, parts, 256):
             some = [q for q in range(p, min(parts, p + 256)) if ends[q] < ends[q + 1]]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in columns.items()} | {"len": pa.array([size[ends[q] : ends[q + 1]].T.tobytes() for q in some], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in (("key", short), ("hs", h))})
 
     def run(it):
         held, n = [], 0
         for batch, data, offsets in K.batches(it, "norm", lower=False):
             h = K.ints(batch, "h")
-            for line, *rest in line_keys(*code_points(data, offsets), size):
-                held.append((h[line], *rest))
+            for line, key in line_keys(*code_points(data, offsets), size):
+                held.append((h[line], key))
                 n += len(line)
             if n >= 2_000_000:
                 yield from flush(*(np.concatenate(x) for x in zip(*held)))
@@ -241,98 +256,270 @@ def _to_keys(size: int, parts: int):
     return run
 
 
-def near(sketch: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs' sketches are near enough; b is not shorter than a."""
-    bits = np.bitwise_count(sketch[a] ^ sketch[b])
-    return bits <= np.where(length[b] & 1, SKETCH_BITS, 2 * np.floor((length[b] >> 1) * (1 - similarity) + 1e-9))
-
-
-def pairs_in_runs(key: np.ndarray, h: np.ndarray, sketch: np.ndarray, length: np.ndarray, similarity: float):
-    """All pairs of distinct lines with equal keys, near lengths and near sketches."""
-    order = np.lexsort((length, key))
-    key, h, sketch, length = key[order], h[order], sketch[order], length[order]
-    size = (length >> 1).astype(np.int64)
-    most = np.floor(size * (1 - similarity) + 1e-9).astype(np.int64)
-    left, step = np.arange(len(key) - 1), 1
-    while len(left):
-        left = left[left + step < len(key)]
-        right = left + step
-        # lengths ascend within a key, and so does what a pair may lack
-        left = left[(key[left] == key[right]) & (size[right] - size[left] <= most[right])]
-        some = left[near(sketch, length, left, left + step, similarity)]
-        some = some[h[some] != h[some + step]]
-        if len(some):
-            yield h[some], h[some + step]
-        step += 1
-
+def _runs(short_run: int, block: int):
+    """Pairs (a, b) of short runs; lines (a) of long runs with the run and the block of the run that has them."""
 
-def _match(similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        raw, h, sketch = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("key", np.uint8), ("hs", np.int64), ("sketch", np.uint64)))
+        raw, h = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("key", np.uint8), ("hs", np.int64)))
         key = np.zeros((len(h), 4), np.uint8)
         key[:, :3] = raw.reshape(-1, 3)
         key = key.view(np.uint32).ravel()
-        length = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T) for x in table.column("len").to_pylist()]).view(np.uint32).ravel()
-        found = list(pairs_in_runs(key, h, sketch, length, similarity))
-        if not found:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        order = np.lexsort((np.maximum(a, b), np.minimum(a, b)))
-        a, b = np.minimum(a, b)[order], np.maximum(a, b)[order]
+        order = np.lexsort((h, key))
+        key, h = key[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+        key, h = key[new], h[new]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(begin, len(key)))
+        a, b = [], []
+        for step in range(1, min(short_run, len(key))):
+            some = np.repeat((size > step) & (size <= short_run), size)
+            at = np.flatnonzero(some[: len(key) - step] & (key[: len(key) - step] == key[step:]))
+            a.append(h[at])
+            b.append(h[at + step])
+        a, b = (np.concatenate(x or [h[:0]]) for x in (a, b))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return pa.table({"a": a[new], "b": b[new]})
+        a, b = a[new], b[new]
+        long = np.repeat(size > short_run, size)
+        part = table.column("part")[0].as_py()
+        number = (np.int64(part) << 32) | np.repeat(begin, size)[long]
+        inner = (np.arange(len(key)) - np.repeat(begin, size))[long] // block
+        blocks = np.repeat(-(-size // block), size)[long]
+        pad = pa.nulls(len(a), pa.int64())
+        return pa.table({
+            "a": np.concatenate([a, h[long]]), "b": pa.chunked_array([pa.array(b), pa.nulls(len(number), pa.int64())]),
+            "run": pa.chunked_array([pad, pa.array(number)]), "block": pa.chunked_array([pad.cast(pa.int32()), pa.array(inner.astype(np.int32))]), "blocks": pa.chunked_array([pad.cast(pa.int32()), pa.array(blocks.astype(np.int32))]),
+        })
 
     return run
 
 
-def _removals(docs: DataFrame, similarity: float, fuzzy_bytes: int) -> DataFrame:
-    """(dk, lines): the numbers of the lines to remove from each document."""
+def _sketches(it):
+    for batch, data, offsets in K.batches(it, "norm", lower=False):
+        chars, begin = code_points(data, offsets)
+        n = np.diff(begin)
+        two = simhash(chars, begin).view(np.int64)
+        yield pa.RecordBatch.from_pydict({"h": batch.column(0), "n": n.astype(np.int32), "s": two[:, 0], "t": two[:, 1]})
+
+
+def differing(s, t, a, b) -> np.ndarray:
+    """Bits in which the SimHashes of pairs of places differ."""
+    return np.bitwise_count(s[a] ^ s[b]).astype(np.int64) + np.bitwise_count(t[a] ^ t[b])
+
+
+def near(n, s, t, a, b, similarity: float) -> np.ndarray:
+    """Which pairs of places are candidates by length and SimHash."""
+    long = np.maximum(n[a], n[b])
+    most = np.maximum(16, np.floor(50 - 5 * np.log2(np.maximum(long, 1) / _SKETCHED)))
+    return (long - np.minimum(n[a], n[b]) <= np.floor(long * (1 - similarity) + 1e-9)) & ((long < _SKETCHED) | (differing(s, t, a, b) <= most))
+
+
+def _columns(table, *names):
+    """Columns of a table; the SimHash's words s and t as bits, not numbers."""
+    out = [table.column(c).to_numpy() for c in names]
+    return [x.view(np.uint64) if c in ("s", "t") else x for c, x in zip(names, out)]
+
+
+def neighbours(n, s, t, similarity: float, width: int = 6, best: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """For each line of a run its nearest ones among those beside it in four orders of the SimHash."""
+    a, b, bits = [], [], []
+    words = s, t
+    for turn in range(4):
+        x, y = words[turn // 2], words[1 - turn // 2]
+        x = (x << K.U64(32)) | (x >> K.U64(32)) if turn % 2 else x
+        order = np.lexsort((y, x))
+        for step in range(1, min(width, len(order) - 1) + 1):
+            i, j = order[:-step], order[step:]
+            i, j = np.maximum(i, j), np.minimum(i, j)
+            ok = near(n, s, t, i, j, similarity)
+            i, j = i[ok], j[ok]
+            a.append(i)
+            b.append(j)
+            bits.append(differing(s, t, i, j))
+    if not a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b, bits = (np.concatenate(x) for x in (a, b, bits))
+    order = np.lexsort((b, bits, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b = a[new], b[new]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    return a[rank < best], b[rank < best]
+
+
+def _pairs(h, a, b):
+    x, y = h[a], h[b]
+    return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+
+def _neighbours(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        h, n, s, t = _columns(table, "h", "n", "s", "t")
+        return _pairs(h, *neighbours(n, s, t, similarity))
+
+    return run
+
+
+def unconnected(n, s, t, g, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All candidate pairs of lines of different groups, by places."""
+    order = np.lexsort((n, g))
+    g = g[order]
+    end = np.searchsorted(g, g, side="right")
+    a, b = [], []
+    left, step = np.arange(len(order)), 0
+    while len(left):
+        left = left[end[left] + step < len(order)]
+        right = end[left] + step
+        ok = near(n, s, t, order[left], order[right], similarity)
+        a.append(order[left[ok]])
+        b.append(order[right[ok]])
+        step += 1
+    return np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)])
+
+
+def _unconnected(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        h, n, s, t, g, block = _columns(table, "h", "n", "s", "t", "g", "block")
+        a, b = unconnected(n, s, t, g, similarity)
+        if len(block) and block.min() != block.max():  # pairs within a block are another task's
+            a, b = a[block[a] != block[b]], b[block[a] != block[b]]
+        return _pairs(h, a, b)
+
+    return run
+
+
+def _verify(similarity: float, most_bytes: int = 16 << 20):
+    """The pairs (a, b, x, y) whose texts x and y are alike, in large batches, as few pairs leave lanes empty."""
+
+    def check(held):
+        table = pa.Table.from_batches(held)
+        (x, xs), (y, ys) = (code_points(*K.buffers(K.plain(table.column(c)))) for c in ("x", "y"))
+        n, m = np.diff(xs), np.diff(ys)
+        ok = within(np.concatenate([x, y]), xs[:-1], n, len(x) + ys[:-1], m, np.floor(np.maximum(n, m) * (1 - similarity) + 1e-9).astype(np.int64))
+        return table.select(["a", "b"]).filter(pa.array(ok)).combine_chunks().to_batches()
+
+    def run(it):
+        held, size = [], 0
+        for batch in it:
+            held.append(batch)
+            size += batch.nbytes
+            if size > most_bytes:
+                yield from check(held)
+                held, size = [], 0
+        if held:
+            yield from check(held)
+        K.release()
+
+    return run
+
+
+def _alike(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of a kept table whose lines are alike."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    wanted = keep(wanted, "line-wanted")
+    if fits(wanted, 16):
+        norms = norms.join(F.broadcast(wanted), "h")
+    texts = norms.dropDuplicates(["h"])
+    some = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
+    return keep(some.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long"), "line-edges")
+
+
+def _groups(norms: DataFrame, lines: int, texts: int, similarity: float, short_run: int, block: int) -> DataFrame:
+    """(h, g): lines that are like others with the least of their group."""
+    parts = max(8, -(-texts * 24 // 1_000_000))
+    keys = norms.mapInArrow(_to_keys(gram_size(lines), parts), "part int, key binary, hs binary")
+    runs = keep(keys.groupBy("part").applyInArrow(_runs(short_run, block), "a long, b long, run long, block int, blocks int"), "line-runs")
+    short = runs.where("run is null").select("a", "b").distinct()
+    wanted = keep(runs.select(F.explode(F.array("a", "b")).alias("h")).where("h is not null").distinct(), "line-wanted")
+    some = norms.join(F.broadcast(wanted), "h") if fits(wanted, 16) else norms.join(wanted, "h")
+    sketches = keep(some.select("h", "norm").mapInArrow(_sketches, "h long, n int, s long, t long").dropDuplicates(["h"]), "line-sketches")
+
+    def ends(df, small):
+        for x in ("a", "b"):
+            own = sketches.select(F.col("h").alias(x), F.col("n").alias("n" + x), F.col("s").alias("s" + x), F.col("t").alias("t" + x))
+            df = df.join(F.broadcast(own) if small else own, x)
+        return df
+
+    long = F.greatest("na", "nb")
+    close = ends(short, fits(sketches, 40)).where(long - F.least("na", "nb") <= F.floor(long * (1 - similarity) + 1e-9))
+    bits = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("ta").bitwiseXOR(F.col("tb")))
+    close = close.where((long < _SKETCHED) | (bits <= F.greatest(F.lit(16), F.floor(50 - 5 * F.log2(long / _SKETCHED))))).select("a", "b")
+    members = runs.where("run is not null").select(F.col("a").alias("h"), "run", "block", "blocks").join(sketches, "h")
+    beside = members.groupBy("run", "block").applyInArrow(_neighbours(similarity), "a long, b long")
+    edges = _alike(keep(close.union(beside).distinct(), "line-pairs"), norms, similarity)
+    groups = connected_components(edges)
+    of = members.join(groups.select(F.col("node").alias("h"), "root"), "h", "left").select("h", "n", "s", "t", "run", "block", "blocks", F.coalesce("root", "h").alias("g"))
+    # a pair of blocks is one task's; a run of one group only has nothing left to compare
+    mixed = of.groupBy("run").agg((F.min("g") < F.max("g")).alias("mixed")).where("mixed").select("run")
+    of = of.join(mixed, "run").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = of.groupBy("run", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).applyInArrow(_unconnected(similarity), "a long, b long")
+    rest = keep(rest.distinct(), "line-pairs")
+    if rest.isEmpty():
+        return groups.select(F.col("node").alias("h"), F.col("root").alias("g"))
+    more = _alike(rest, norms, similarity)
+    return connected_components(edges.union(more)).select(F.col("node").alias("h"), F.col("root").alias("g"))
+
+
+def _masks(it):
+    """(dk, gone, n_gone): for each document whether line k goes, up to the last one that does."""
+    for batch in it:
+        lists = batch.column(batch.schema.get_field_index("lines"))
+        masks, count = [], []
+        for k in range(len(batch)):
+            at = np.unique(lists[k].values.to_numpy())
+            mask = np.zeros(int(at[-1]) + 1, bool)
+            mask[at] = True
+            masks.append(mask)
+            count.append(len(at))
+        sizes = np.cumsum([0, *(len(x) for x in masks)]).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"dk": K.ints(batch, "dk"), "gone": pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(masks) if masks else np.empty(0, bool))), "n_gone": pa.array(count, pa.int32())})
+
+
+def _removals(docs: DataFrame, similarity: float, fuzzy_bytes: int, short_run: int, block: int) -> DataFrame:
+    """(dk, gone, n_gone): which lines to remove from each document."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk")).where("text is not null")
-    lines = keep(keyed.mapInArrow(_line_rows, "dk long, doc_id long, line int, h long"), "lines")
-    norms = keep(keyed.select("text").mapInArrow(_norms(fuzzy_bytes), "h long, norm string").dropDuplicates(["h"]), "line-texts")
-    parts = max(8, -(-norms.count() * 24 // 1_000_000))
-    keys = norms.mapInArrow(_to_keys(gram_size(lines.count()), parts), "part int, key binary, hs binary, sketch binary, len binary")
-    pairs = keep(keys.groupBy("part").applyInArrow(_match(similarity), "a long, b long").distinct(), "line-pairs")
-    edges = (
-        pairs.join(norms.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a")
-        .join(norms.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
-        .where(F.expr(f"levenshtein(x, y, cast(floor(greatest(length(x), length(y)) * {1 - similarity!r} + 1e-9) as int)) >= 0"))
-        .select("a", "b")
-    )
-    groups = connected_components(edges).select(F.col("node").alias("h"), F.col("root").alias("g"))
+    scan = keep(keyed.mapInArrow(_scan(fuzzy_bytes), "dk long, doc_id long, line int, h long, norm string"), "lines")
+    norms = scan.where("norm is not null").select("h", "norm")
+    counts = scan.agg(F.count("h").alias("lines"), F.count("norm").alias("texts")).first()
+    groups = _groups(norms, counts.lines, counts.texts, similarity, short_run, block)
     if fits(groups, 16):
         groups = F.broadcast(groups)
-    of = lines.select("dk", "doc_id", "line", "h").join(groups, "h", "left").select("dk", "doc_id", "line", F.coalesce("g", "h").alias("g"))
+    of = scan.select("dk", "doc_id", "line", "h").join(groups, "h", "left").select("dk", "doc_id", "line", F.coalesce("g", "h").alias("g"))
     kept = of.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "dk", "line")).alias("kept")).where("n > 1")
     gone = of.join(kept.select("g", F.col("kept.dk").alias("kd"), F.col("kept.line").alias("kl")), "g").where("dk <> kd or line <> kl")
-    return keep(gone.groupBy("dk").agg(F.collect_set("line").alias("gone")), "line-removals")
+    lists = gone.groupBy("dk").agg(F.collect_list("line").alias("lines"))
+    return keep(lists.mapInArrow(_masks, "dk long, gone array<boolean>, n_gone int"), "line-removals")
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_bytes: int = FUZZY_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_bytes: int = FUZZY_BYTES, short_run: int = SHORT_RUN, block: int = BLOCK) -> DataFrame:
     """Documents with only one occurrence left of each group of like lines.
 
     Adds ``n_lines`` (lines before) and ``n_removed``. ``similarity`` is
     1 - edit distance / longer length, in characters of normalised lines.
     Lines of fewer than ``fuzzy_bytes`` bytes match only lines equal to them
-    after normalisation.
+    after normalisation. ``short_run`` and ``block`` don't change the result.
 
     Defined cases: lines without a word (blank, punctuation) always stay; a null
     text stays null with null counts; an empty text has one empty line; the same
     line twice in a document counts as two occurrences; rows that repeat both
     doc_id and text count as one document and all stay; a null doc_id sorts
-    first; other columns pass through. A document all of whose lines go keeps
+    first; other columns pass through, whatever their names, but ``n_lines`` and
+    ``n_removed``, which are replaced. A document all of whose lines go keeps
     its row with an empty text. An empty table gives an empty table.
     """
-    gone = _removals(docs, similarity, fuzzy_bytes)
-    if fits(gone, 64):
-        gone = F.broadcast(gone)
-    own = docs.withColumn("_mr_dk", F.xxhash64("doc_id", "text"))
-    gone = gone.select(F.col("dk").alias("_mr_dk"), F.col("gone").alias("_mr_gone"))
+    gone = _removals(docs, similarity, fuzzy_bytes, short_run, block)
+    size = gone.agg(F.coalesce(F.sum(F.size("gone") + 64), F.lit(0)).alias("bytes")).first().bytes
+    dk, mask, count = fresh(docs, "dk", "gone", "n_gone")
+    gone = gone.select(F.col("dk").alias(dk), F.col("gone").alias(mask), F.col("n_gone").alias(count))
+    own = docs.withColumn(dk, F.xxhash64("doc_id", "text"))
     lines = F.split("text", "\n")
-    left = F.when(F.col("_mr_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_mr_gone", i)), "\n"))
-    return own.join(gone, "_mr_dk", "left").select(
+    left = F.when(F.col(mask).isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get(mask, i), F.lit(False))), "\n"))
+    return own.join(F.broadcast(gone) if size <= 32 << 20 else gone, dk, "left").select(
         *[F.col(c) if c != "text" else left.alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.when(F.col("text").isNotNull(), F.size(lines)).alias("n_lines"),
-        F.when(F.col("text").isNotNull(), F.coalesce(F.size("_mr_gone"), F.lit(0))).alias("n_removed"),
+        F.when(F.col("text").isNotNull(), F.coalesce(count, F.lit(0))).alias("n_removed"),
     )

@@ -1,14 +1,25 @@
 """Set-similarity join of documents on their word n-grams, by prefix trees.
 
-A document is the set of its word n-gram hashes in one global order (by hash).
-Equal sets are one entry. Every entry is a query: min-hash bands of three rows
-route entries to those that they may match (at Jaccard 0.5 a pair is routed
-with probability 0.986, at 0.6 with 0.9996), and each entry's
-candidates are stored in a compact trie, whose nodes are runs of n-grams shared
-by all sets below them. One traversal with the entry's own set finds the
-overlap of every candidate: a shared prefix is intersected once, and a subtree
-is left as soon as the overlap so far plus the most that either side has left
-cannot reach the threshold. The Jaccard values are exact.
+A document is the set of its word n-gram hashes. Equal sets are one entry. The
+n-grams have one global order, from rare to frequent: by the corpus's count of
+the n-gram's bucket (2^18 counters), then by hash.
+
+*Search.* Sets of n n-grams that reach the Jaccard threshold t with another
+share at least three of their first n - ceil(t n) + 3 in that order (or all that
+the sizes ask for, where that is less). So only these are shuffled. What shares
+an n-gram is a run. Pairs of short runs are counted; long runs, such as n-grams
+of a template, give pairs of neighbours in size only, as many as they have
+entries. Pairs with counts enough connect entries to groups.
+
+*Tries.* A group's sets are stored in a compact trie, frequent n-grams first, as
+near copies share those; a node is a run of n-grams shared by all sets below it.
+All entries of the group are probes of one traversal: a node's n-grams are added
+to every probe's overlap at once, and a probe leaves a subtree as soon as its
+overlap and the most that either side has left can't reach the threshold.
+
+*Rest.* Pairs of entries in different groups that share enough n-grams, those of
+long runs included, are then joined in the same way. So no link is lost: the
+result is that of comparing all pairs.
 """
 
 import numpy as np
@@ -18,50 +29,193 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .graph import connected_components
-from .store import fits, keep
+from .store import fits, fresh, keep
 
 N = 3
 THRESHOLD = 0.5
-BANDS, ROWS = 32, 3
-#: N-grams of a group of candidates that one task takes.
-GROUP_BYTES = 96 << 20
-_rng = np.random.default_rng(31)
-_MUL = (_rng.integers(1, 1 << 32, size=(BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_ADD = _rng.integers(0, 1 << 32, size=(BANDS * ROWS, 1), dtype=np.uint64).astype(np.uint32)
-
-
-def bands(grams: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of a set of 64-bit n-gram hashes."""
-    x = (grams >> np.uint64(32)).astype(np.uint32)
-    least = np.full((BANDS * ROWS, 1), 0xFFFFFFFF, np.uint32)
-    for lo in range(0, len(x), 1 << 14):
-        v = x[lo : lo + (1 << 14)] * _MUL
-        v ^= v >> np.uint32(15)
-        v *= np.uint32(0x2C1B3C6D)
-        v += _ADD
-        least = np.minimum(least, v.min(axis=1, keepdims=True))
-    rows = least.astype(np.uint64).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
-    return key.view(np.int64)
-
-
-def _sets(n):
+#: N-grams that candidates share in their prefixes.
+SHARED = 3
+#: Entries of a run all of whose pairs are counted at once.
+SHORT_RUN = 8
+#: Entries of a long run that are in one task at a time.
+BLOCK = 8192
+#: N-grams (8 bytes each) that a trie's task takes; larger groups are taken apart into pairs of blocks.
+GROUP_BYTES = 8 << 20
+_BUCKETS, _COUNTERS = 1 << 18, 1 << 14
+
+
+def sets_of(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-gram hashes of all texts, each text's ascending, and where each begins; and its set's hash (0: none)."""
+    grams, at = K.Words(data, offsets).shingles(n)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((grams, doc))
+    grams, doc = grams[order], doc[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
+    grams, doc = grams[new], doc[new]
+    at = np.searchsorted(doc, np.arange(len(at)))
+    total = np.zeros(len(grams) + 1, np.uint64)
+    np.cumsum(K.mix(grams + K.U64(77)), out=total[1:])
+    size = np.diff(at)
+    print_ = K.mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64)) | K.U64(1)
+    return grams, at, np.where(size > 0, print_, K.U64(0))
+
+
+def _scan(n):
+    """Each text's set (dk, doc_id, fp, size), and at a task's end the counters of its n-grams."""
+
     def run(it):
+        counts = np.zeros(_BUCKETS, np.int64)
         for batch, data, offsets in K.batches(it):
-            grams, at = K.Words(data, offsets).shingles(n)
-            some = np.flatnonzero(np.diff(at))
-            a, b, size, keys = [], [], [], []
-            for d in some:
-                s = np.unique(grams[at[d] : at[d + 1]])
-                a.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                b.append(int(np.bitwise_xor.reduce(K.mix(s + np.uint64(77))).view(np.int64)))
-                size.append(len(s))
-                keys.append(bands(s))
-            ids = batch.column(0).take(pa.array(some, pa.int64()))
-            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "f1": pa.array(a, pa.int64()), "f2": pa.array(b, pa.int64()), "size": pa.array(size, pa.int32()), "keys": pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), flat)})
+            grams, at, fp = sets_of(data, offsets, n)
+            counts += np.bincount((grams >> K.U64(46)).astype(np.int64), minlength=_BUCKETS)
+            some = np.flatnonzero(fp)
+            none = pa.nulls(len(some))
+            yield pa.RecordBatch.from_pydict({
+                "dk": K.ints(batch, "dk")[some], "doc_id": K.ints(batch, "doc_id")[some], "fp": fp[some].view(np.int64), "size": np.diff(at)[some].astype(np.int32),
+                "block": none.cast(pa.int32()), "counts": none.cast(pa.binary()),
+            })
+        blocks = _BUCKETS // _COUNTERS
+        none = pa.nulls(blocks, pa.int64())
+        yield pa.RecordBatch.from_pydict({"dk": none, "doc_id": none, "fp": none, "size": none.cast(pa.int32()), "block": pa.array(range(blocks), pa.int32()), "counts": pa.array([x.tobytes() for x in counts.reshape(blocks, -1)], pa.binary())})
+
+    return run
+
+
+def _total(table: pa.Table) -> pa.Table:
+    total = np.zeros(_COUNTERS, np.int64)
+    for x in table.column("counts"):
+        total += np.frombuffer(x.as_buffer(), np.int64)
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _counts(scan: DataFrame) -> np.ndarray:
+    """The corpus's counters: 2 MB, whatever the corpus."""
+    total = np.zeros(_BUCKETS, np.int64)
+    for row in scan.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_total, "block int, counts binary").collect():
+        total[row.block * _COUNTERS : (row.block + 1) * _COUNTERS] = np.frombuffer(bytes(row.counts), np.int64)
+    return total
+
+
+def prefix_size(n: np.ndarray, threshold: float) -> np.ndarray:
+    return np.minimum(n, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + SHARED)
+
+
+def needed(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """Prefix n-grams that two sets within the threshold share at least."""
+    return np.minimum(SHARED, np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)).astype(np.int32)
+
+
+def _prefixes(n: int, threshold: float, counts: np.ndarray, parts: int):
+    """Rows of packed (key, entry, size) for the first n-grams of each set that this task hasn't just had."""
+
+    def flush(key, fp, size):
+        part = (key % K.U64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        short = np.ascontiguousarray((key[order] >> K.U64(40)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3])
+        fp, size = fp[order], size[order].view(np.uint8).reshape(-1, 4)  # byte by byte, as most high bytes are 0 and pack well
+        for p in range(0, parts, 256):
+            some = [q for q in range(p, min(parts, p + 256)) if ends[q] < ends[q + 1]]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in (("key", short), ("fps", fp))} | {"sizes": pa.array([size[ends[q] : ends[q + 1]].T.tobytes() for q in some], pa.binary())})
+
+    def run(it):
+        given = np.zeros(1 << 18, np.uint64)
+        held, rows = [], 0
+        for _, data, offsets in K.batches(it):
+            grams, at, fp = sets_of(data, offsets, n)
+            size = np.diff(at)
+            slot = (fp & K.U64(len(given) - 1)).astype(np.int64)
+            new = (fp != 0) & (given[slot] != fp)
+            given[slot[new]] = fp[new]
+            doc = np.repeat(np.arange(len(size)), size)
+            mine = new[doc]
+            grams, doc = grams[mine], doc[mine]
+            order = np.lexsort((grams, counts[(grams >> K.U64(46)).astype(np.int64)], doc))
+            grams, doc = grams[order], doc[order]
+            rank = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(size)))[doc]
+            first = rank < prefix_size(size, threshold)[doc]
+            doc = doc[first]
+            held.append((K.mix(grams[first]), fp[doc], size[doc].astype(np.uint32)))
+            rows += len(doc)
+            if rows >= 2_000_000:
+                yield from flush(*(np.concatenate(x) for x in zip(*held)))
+                held, rows = [], 0
+        if rows:
+            yield from flush(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+_RUNS = "kind int, a long, b long, hits int, need int, block int, blocks int"
+
+
+def _runs(threshold: float, short_run: int, block: int):
+    """kind 0: pairs (a, b) of short runs and their n-grams in common here; 1: of neighbours in
+    long runs; 2: entries (a) of long runs (b) with their size (hits) and place (block of blocks)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        raw, fp = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("key", np.uint8), ("fps", np.int64)))
+        key = np.zeros((len(fp), 4), np.uint8)
+        key[:, :3] = raw.reshape(-1, 3)
+        key = key.view(np.uint32).ravel()
+        size = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T) for x in table.column("sizes").to_pylist()]).view(np.uint32).ravel().astype(np.int64)
+        order = np.lexsort((fp, size, key))
+        key, fp, size = key[order], fp[order], size[order]
+        new = np.ones(len(fp), bool)
+        new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+        key, fp, size = key[new], fp[new], size[new]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.diff(np.append(begin, len(key)))
+        out = []
+        for kind, some, steps in ((0, (n > 1) & (n <= short_run), short_run), (1, n > short_run, 3)):
+            own = np.repeat(some, n)
+            a, b, need = [fp[:0]], [fp[:0]], [np.empty(0, np.int32)]
+            for step in range(1, min(steps, len(key))):
+                at = np.flatnonzero(own[:-step] & (key[:-step] == key[step:]) & (size[:-step] >= threshold * size[step:] - 1e-9))
+                a.append(np.minimum(fp[at], fp[at + step]))
+                b.append(np.maximum(fp[at], fp[at + step]))
+                need.append(needed(size[at], size[at + step], threshold))
+            a, b, need = (np.concatenate(x) for x in (a, b, need))
+            order = np.lexsort((b, a))
+            a, b, need = a[order], b[order], need[order]
+            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, np.int64)
+            zero = np.zeros(len(first), np.int32)
+            out.append((zero + kind, a[first], b[first], np.diff(np.append(first, len(a))).astype(np.int32), need[first], zero, zero))
+        long = np.repeat(n > short_run, n)
+        number = (np.int64(table.column("part")[0].as_py()) << 32) | np.repeat(begin, n)[long]
+        place = (np.arange(len(key)) - np.repeat(begin, n))[long] // block
+        zero = np.zeros(len(number), np.int32)
+        out.append((zero + 2, fp[long], number, size[long].astype(np.int32), zero, place.astype(np.int32), np.repeat(-(-n // block), n)[long].astype(np.int32)))
+        return pa.table(dict(zip(("kind", "a", "b", "hits", "need", "block", "blocks"), (np.concatenate(x) for x in zip(*out)))))
+
+    return run
+
+
+def _across(threshold: float):
+    """Pairs of entries of different groups in a long run, one n-gram in common each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        fp, g, size, block = (table.column(c).to_numpy() for c in ("fp", "g", "size", "block"))
+        order = np.lexsort((size, g))
+        g, size = g[order], size[order].astype(np.int64)
+        end = np.searchsorted(g, g, side="right")
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        left, step = np.arange(len(order)), 0
+        while len(left):
+            left = left[end[left] + step < len(order)]
+            right = end[left] + step
+            ok = np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right]) - 1e-9
+            a.append(left[ok])
+            b.append(right[ok])
+            step += 1
+        a, b = np.concatenate(a), np.concatenate(b)
+        need = needed(size[a], size[b], threshold)
+        if len(block) and block.min() != block.max():  # pairs within a block are another task's
+            apart = block[order[a]] != block[order[b]]
+            a, b, need = a[apart], b[apart], need[apart]
+        x, y = fp[order[a]], fp[order[b]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "hits": np.ones(len(x), np.int32), "need": need})
 
     return run
 
@@ -69,25 +223,31 @@ def _sets(n):
 def _blobs(n):
     def run(it):
         for batch, data, offsets in K.batches(it):
-            grams, at = K.Words(data, offsets).shingles(n)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "grams": pa.array([np.unique(grams[at[d] : at[d + 1]]).tobytes() for d in range(len(at) - 1)], pa.binary())})
+            grams, at, _ = sets_of(data, offsets, n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("fp", "root", "g", "rows", "blocks")), pa.array([grams[at[d] : at[d + 1]].tobytes() for d in range(len(at) - 1)], pa.binary())], names=["fp", "root", "g", "rows", "blocks", "grams"])
 
     return run
 
 
 class Trie:
-    """A compact prefix tree over ordered sets.
+    """A compact prefix tree over sets of hashes, and one traversal of it by many probes.
 
-    Nodes are built from the sets in lexicographic order and their common
-    prefixes: a node is ``sets[source][depth:end]`` and holds the sets that end
-    there and its children.
+    N-grams are ranked from frequent to rare among the sets; those of one set
+    only overlap nothing and aren't stored. Sets are kept in lexicographic order
+    with the lengths of their common prefixes, which is the tree: a node ends
+    where neighbours part.
     """
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
-        common = [self._common(sets[p], sets[q]) for p, q in zip(order, order[1:])]
-        self.root = self._node(order, common, 0, len(order), 0)
+        self.size = np.array([len(s) for s in sets], np.int64)
+        hashes, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(hashes), np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(hashes))
+        self.ranks = int((count > 1).sum())
+        ends = np.cumsum(self.size)
+        self.sets = [np.sort(x[x < self.ranks]) for x in (rank[at[e - n : e]] for e, n in zip(ends, self.size))]
+        self.order = sorted(range(len(sets)), key=lambda k: self.sets[k].astype(">u4").tobytes())
+        self.common = [self._common(self.sets[p], self.sets[q]) for p, q in zip(self.order, self.order[1:])] + [0]
 
     @staticmethod
     def _common(x, y):
@@ -95,162 +255,200 @@ class Trie:
         differ = np.flatnonzero(x[:m] != y[:m])
         return int(differ[0]) if len(differ) else m
 
-    def _node(self, order, common, lo, hi, depth):
-        """An explicit stack, as tries may be as deep as they have sets."""
-        root = None
-        todo = [(lo, hi, depth, None)]
-        while todo:
-            lo, hi, depth, parent = todo.pop()
-            sizes = [len(self.sets[k]) for k in order[lo:hi]]
-            end = min(common[lo : hi - 1], default=sizes[0])
-            end = max(depth, min(end, *sizes) if hi - lo > 1 else sizes[0])
-            node = (order[lo], depth, end, [k for k in order[lo:hi] if len(self.sets[k]) == end], [], min(sizes), max(sizes))
-            if parent is None:
-                root = node
-            else:
-                parent[4].append(node)
-            begin = lo
-            for k in range(lo, hi):
-                if k + 1 == hi or common[k] <= end:
-                    if len(self.sets[order[begin]]) > end:
-                        todo.append((begin, k + 1, end, node))
-                    begin = k + 1
-        return root
-
-    def search(self, probe: np.ndarray, threshold: float):
-        """(set's index, overlap) of all sets within the Jaccard threshold."""
-        todo = [(self.root, 0)]
-        n = len(probe)
+    def search(self, probes: np.ndarray, threshold: float):
+        """(set, probes, overlaps): for every set the probes (places of sets) within the threshold.
+
+        One walk for all probes; the branch that is being walked has their overlaps at each of its nodes.
+        """
         ratio = threshold / (1 + threshold)
-        while todo:
-            (source, depth, end, here, below, least, most), overlap = todo.pop()
-            run = self.sets[source][depth:end]
-            if len(run):
-                at = np.searchsorted(probe, run)
-                at[at == n] = n - 1
-                overlap += int((probe[at] == run).sum())
-                left = n - int(np.searchsorted(probe, run[-1], side="right"))
-            else:
-                left = n
-            for k in here:
-                if overlap >= ratio * (n + end) - 1e-9:
-                    yield k, overlap
-            for node in below:
-                if overlap + min(left, node[6] - end) >= ratio * (n + node[5]) - 1e-9:
-                    todo.append((node, overlap))
-
-
-def matches(a: int, probe: np.ndarray, ids: list[int], sets: list[np.ndarray], threshold: float):
-    """(b, jaccard) of the probe's candidates, by one traversal of their trie."""
-    for k, o in Trie(sets).search(probe, threshold):
-        yield ids[k], o / (len(probe) + len(sets[k]) - o)
-
-
-def _join(threshold):
-    """One group: rows (id, grams, partners); an entry is searched for among its partners."""
+        has = np.zeros((self.ranks, len(probes)), np.uint8)
+        for k, p in enumerate(probes):
+            has[self.sets[p], k] = 1
+        wide = self.ranks + 1
+        codes = np.concatenate([self.sets[p] + k * wide for k, p in enumerate(probes)])
+        stop = np.cumsum([len(self.sets[p]) for p in probes])
+        size = self.size[probes]
+        sizes = self.size[self.order]
+        rest = np.array([len(self.sets[k]) for k in self.order])
+        common = np.array(self.common)
+        walk = [(0, np.arange(len(probes)), np.zeros(len(probes), np.int32))]
+
+        def down(node, ranks):
+            _, who, overlap = node
+            if not len(ranks) or not len(who):
+                return who, overlap
+            rows = has[ranks] if len(who) == len(probes) else has[ranks][:, who]
+            return who, overlap + rows.sum(axis=0, dtype=np.int32)
+
+        for at, k in enumerate(self.order):
+            own, part = self.sets[k], int(common[at])
+
+            def branch(own=own, part=part, at=at):
+                who, overlap = down(walk[-1], own[walk[-1][0] : part])
+                # what either side has left below this node
+                ahead = np.flatnonzero(common[at:] < part)
+                end = at + int(ahead[0]) + 1 if len(ahead) else len(sizes)
+                left = stop[who] - np.searchsorted(codes, who * wide + own[part - 1], side="right")
+                below = np.minimum(left, rest[at:end].max() - part)
+                stay = overlap + below >= ratio * (size[who] + sizes[at:end].min()) - 1e-9
+                walk.append((part, who[stay], overlap[stay]))
+
+            if part > walk[-1][0]:
+                branch()
+            who, overlap = down(walk[-1], own[walk[-1][0] :])
+            ok = overlap >= ratio * (size[who] + self.size[k]) - 1e-9
+            yield k, probes[who[ok]], overlap[ok]
+            while walk[-1][0] > part:
+                walk.pop()
+            if walk[-1][0] < part:
+                branch()
+
+
+def links(sets: list[np.ndarray], threshold: float, rows: np.ndarray, block: np.ndarray | None, group: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set, the rows that link to it, and the least place in its connected part.
+
+    Pairs within a block are left out where blocks are given, and pairs within
+    a group where groups are.
+    """
+    trie = Trie(sets)
+    count, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    step = int(np.clip((16 << 20) // max(trie.ranks, 1), 8, 1024))
+    for lo in range(0, len(sets), step):
+        for k, who, _ in trie.search(np.arange(lo, min(lo + step, len(sets))), threshold):
+            who = who[who != k]
+            if block is not None:
+                who = who[block[who] != block[k]]
+            if group is not None:
+                who = who[group[who] != group[k]]
+            if len(who):
+                count[k] += rows[who].sum()
+                some = np.unique(np.append(label[who], label[k]))
+                if len(some) > 1:
+                    label[np.isin(label, some)] = some[0]
+    return count, label
+
+
+def _tries(threshold: float, grouped: bool):
+    """One task's groups: (fp, links, other), a spanning edge to ``other`` beside each entry's links."""
 
     def run(table: pa.Table) -> pa.Table:
-        sets = {k: np.frombuffer(x, np.uint64) for k, x in zip(table.column("id").to_pylist(), table.column("grams").to_pylist())}
-        a, b, jaccard = [], [], []
-        for one, partners in zip(table.column("id").to_pylist(), table.column("partners").to_pylist()):
-            some = sorted({p for p in partners or () if p != one and p in sets})
-            if not some:
-                continue
-            for other, j in matches(one, sets[one], some, [sets[p] for p in some], threshold):
-                a.append(one)
-                b.append(other)
-                jaccard.append(j)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(jaccard, pa.float64())})
+        fp, root, g, rows, block = (table.column(c).to_numpy() for c in ("fp", "root", "g", "rows", "block"))
+        grams = table.column("grams")
+        # a unit is a pair of blocks; pairs within one are those of the unit that has it twice
+        two = table.column("p")[0] != table.column("q")[0]
+        order = np.argsort(root, kind="stable")
+        ends = np.flatnonzero(np.append(root[order][1:] != root[order][:-1], True)) + 1
+        count, other = np.zeros(len(fp), np.int64), fp.copy()
+        for lo, hi in zip(np.append(0, ends[:-1]), ends):
+            at = order[lo:hi]
+            sets = [np.frombuffer(grams[int(k)].as_buffer(), np.uint64) for k in at]
+            some, label = links(sets, threshold, rows[at], block[at] if two else None, g[at] if grouped else None)
+            count[at], other[at] = some, fp[at][label]
+        some = count > 0
+        return pa.table({"fp": fp[some], "links": count[some], "other": other[some]})
 
     return run
 
 
-def _pairs_of(it):
-    """All pairs of each row's ascending list."""
-    for batch in it:
-        for ids in batch.column(0).to_pylist():
-            x = np.array(ids, np.int64)
-            for k in range(0, len(x) - 1):
-                yield pa.RecordBatch.from_pydict({"a": np.full(len(x) - k - 1, x[k]), "b": x[k + 1 :]})
-
-
-def _batched(it, rows: int = 1 << 16):
-    held, n = [], 0
-    for b in _pairs_of(it):
-        held.append(b)
-        n += len(b)
-        if n >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def _run(docs: DataFrame, n: int, threshold: float, most_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Entries (id, ids, size) and matching pairs of entries (a, b, jaccard)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    sets = own.mapInArrow(_sets(n), "doc_id long, f1 long, f2 long, size int, keys array<long>")
-    entries = keep(sets.groupBy("f1", "f2", "size").agg(F.min("doc_id").alias("id"), F.sort_array(F.collect_list("doc_id")).alias("ids"), F.first("keys").alias("keys")), "entries")
-    routed = entries.select("id", "size", F.explode("keys").alias("key"))
-    lists = routed.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).where("size(ids) > 1").select("ids").distinct()
-    size = entries.select("id", "size")
-    pairs = lists.mapInArrow(_batched, "a long, b long").distinct()
-    pairs = pairs.join(size.select(F.col("id").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b")
-    pairs = keep(pairs.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b"), "set-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = keep(wanted, "set-ids")
-    if fits(wanted, 16):
-        wanted = F.broadcast(wanted)
-    grams = keep(own.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "text").mapInArrow(_blobs(n), "id long, grams binary"), "set-grams").dropDuplicates(["id"])
-    # Candidates that hang together go to one task, each set once. Where such a
-    # component is too large for a task, each entry's candidates go to a group of
-    # their own instead; the result is the same.
-    parts = connected_components(pairs).select(F.col("node").alias("id"), "root").join(size, "id")
-    large = parts.groupBy("root").agg(F.sum(F.col("size").cast("long") * 8).alias("bytes")).where(F.col("bytes") > most_bytes).select("root")
-    parts = keep(parts.join(large.withColumn("large", F.lit(True)), "root", "left").select("id", "root", F.coalesce("large", F.lit(False)).alias("large")), "set-groups")
-    partners = pairs.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("partners"))
-    rows = parts.join(grams, "id").join(partners, "id", "left")
-    shape = "a long, b long, jaccard double"
-    found = rows.where("not large").select("root", "id", "grams", "partners").groupBy("root").applyInArrow(_join(threshold), shape)
-    if not large.isEmpty():
-        alone = rows.where("large and partners is not null").select(F.col("id").alias("root"), "id", "grams", "partners")
-        others = rows.where("large").select("id", "grams").join(pairs.select(F.col("b").alias("id"), F.col("a").alias("root")), "id")
-        some = alone.unionByName(others.select("root", "id", "grams", F.lit(None).cast("array<long>").alias("partners")))
-        found = found.unionByName(some.groupBy("root").applyInArrow(_join(threshold), shape))
-    found = keep(found, "set-matches")
-    return entries, found
-
-
-def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most_bytes: int = GROUP_BYTES) -> DataFrame:
-    """All pairs of documents whose n-gram sets have Jaccard >= ``threshold``.
-
-    Documents with equal sets share an entry, so that thousands of copies don't
-    make millions of rows. A row (a, a_ids, b, b_ids, jaccard) stands for every
-    pair of a document of a_ids with one of b_ids; a and b are the lists' least
-    ids, a < b. A row with a = b holds the documents of one entry, which match
-    each other at 1.0.
+def _joined(own: DataFrame, entries: DataFrame, groups: DataFrame, n: int, threshold: float, most_bytes: int, grouped: bool) -> DataFrame:
+    """Links of the entries (fp, root, g) of each group. A group beyond ``most_bytes`` is several tasks' work, one for each pair of its blocks."""
+    of = groups.join(entries.select("fp", "dk", "rows", "size"), "fp")
+    bytes_ = of.groupBy("root").agg(F.sum(F.col("size").cast("long") * 8).alias("bytes"))
+    of = of.join(bytes_.select("root", F.ceil(F.col("bytes") / most_bytes).cast("int").alias("blocks")), "root")
+    wanted = keep(of.select("dk", "fp", "root", "g", "rows", "blocks"), "set-wanted")
+    total = of.agg(F.sum(F.col("size").cast("long") * 8)).first()[0] or 0
+    some = own.join(F.broadcast(wanted) if fits(wanted, 48) else wanted, "dk").select("fp", "root", "g", "rows", "blocks", "text")
+    sets = some.mapInArrow(_blobs(n), "fp long, root long, g long, rows long, blocks int, grams binary")
+    bins = max(1, total // (2 << 20))
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    sets = sets.withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = F.col("blocks") > 1
+    unit = [F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("unit"), large.alias("large"), F.least("block", "beside").alias("p"), F.greatest("block", "beside").alias("q")]
+    sets = sets.select("fp", "root", "g", "rows", "block", "grams", *unit)
+    return keep(sets.groupBy("unit", "large", "p", "q").applyInArrow(_once(_tries(threshold, grouped)), "fp long, links long, other long"), "set-links")
+
+
+def _once(f):
+    """Documents that repeat both doc_id and text bring their entry more than once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, first = np.unique(table.column("fp").to_numpy(), return_index=True)
+        return f(table.take(pa.array(np.sort(first))) if len(first) < len(table) else table)
+
+    return run
+
+
+def _run(docs: DataFrame, n: int, threshold: float, most_bytes: int, short_run: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with a set (dk, doc_id, fp), entries (fp, rows) and what links (fp, links, root)."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("dk")).where("doc_id is not null and text is not null")
+    scan = keep(own.mapInArrow(_scan(n), "dk long, doc_id long, fp long, size int, block int, counts binary"), "sets")
+    members = scan.where("fp is not null").select("dk", "doc_id", "fp", "size")
+    entries = keep(members.groupBy("fp").agg(F.min("dk").alias("dk"), F.count(F.lit(1)).alias("rows"), F.first("size").alias("size")), "set-entries")
+    grams = entries.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    parts = max(8, int(grams * (1 - threshold)) // 1_000_000)
+    prefixes = own.select("text").mapInArrow(_prefixes(n, threshold, _counts(scan), parts), "part int, key binary, fps binary, sizes binary")
+    runs = keep(prefixes.groupBy("part").applyInArrow(_runs(threshold, short_run, block), _RUNS), "set-runs")
+    counted = runs.where("kind < 2").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need"))
+    groups = connected_components(counted.where("hits >= need").select("a", "b")).select(F.col("node").alias("fp"), "root")
+    found = _joined(own, entries, groups.select("fp", "root", F.lit(0).cast("long").alias("g")), n, threshold, most_bytes, False)
+
+    def group_of(df, name, at):
+        of = groups.select(F.col("fp").alias(at), F.col("root").alias(name))
+        return df.join(F.broadcast(of) if small else of, at, "left").withColumn(name, F.coalesce(name, at))
+
+    small = fits(groups, 16)
+    long = group_of(runs.where("kind = 2").select(F.col("a").alias("fp"), F.col("b").alias("run"), F.col("hits").alias("size"), "block", "blocks"), "g", "fp")
+    mixed = long.groupBy("run").agg((F.min("g") < F.max("g")).alias("mixed")).where("mixed").select("run")
+    long = long.join(mixed, "run").withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    across = long.groupBy("run", F.least("block", "beside").alias("p"), F.greatest("block", "beside").alias("q")).applyInArrow(_across(threshold), "a long, b long, hits int, need int")
+    short = group_of(group_of(runs.where("kind = 0"), "ga", "a"), "gb", "b").where("ga <> gb").select("a", "b", "hits", "need")
+    rest = across.union(short).groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need")
+    rest = keep(rest.select("a", "b"), "set-rest")
+    if not rest.isEmpty():
+        more = connected_components(rest).select(F.col("node").alias("fp"), "root")
+        found = found.union(_joined(own, entries, group_of(more, "g", "fp").select("fp", "root", "g"), n, threshold, most_bytes, True))
+    total = found.groupBy("fp").agg(F.sum("links").alias("links"))
+    classes = connected_components(found.select(F.col("fp").alias("a"), F.col("other").alias("b")))
+    return members, entries, total.join(classes.select(F.col("node").alias("fp"), "root"), "fp")
+
+
+def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most_bytes: int = GROUP_BYTES, short_run: int = SHORT_RUN, block: int = BLOCK) -> DataFrame:
+    """One row (doc_id, class_id, n_links) for each document.
+
+    ``n_links`` is the number of other rows whose n-gram sets have Jaccard >=
+    ``threshold`` with the row's. Links connect documents to classes;
+    ``class_id`` is the least doc_id of the class. ``most_bytes``, ``short_run``
+    and ``block`` don't change the result.
 
     Defined cases: a text of 1..n-1 words is one n-gram of all its words; null,
-    empty and wordless texts have no set and match nothing; rows with a null
-    doc_id are left out; rows that repeat a doc_id with equal sets appear in
-    the lists as often as they occur; where they repeat it with other texts,
-    each text is an entry under the same id and one of them is compared. Other
-    columns are ignored. An empty table gives no rows.
+    empty and wordless texts have no set, link to nothing and are a class of
+    their own; rows with a null doc_id are left out; rows that repeat a doc_id
+    are rows of their own, whether their texts differ or not. Other columns are
+    ignored, whatever their names. An empty table gives no rows.
     """
-    entries, found = _run(docs, n, threshold, most_bytes)
-    of = entries.select("id", "ids")
-    same = of.where("size(ids) > 1").select(F.col("id").alias("a"), F.col("ids").alias("a_ids"), F.col("id").alias("b"), F.col("ids").alias("b_ids"), F.lit(1.0).alias("jaccard"))
-    near = found.join(of.select(F.col("id").alias("a"), F.col("ids").alias("a_ids")), "a").join(of.select(F.col("id").alias("b"), F.col("ids").alias("b_ids")), "b")
-    return same.unionByName(near.select("a", "a_ids", "b", "b_ids", "jaccard"))
+    members, entries, linked = _run(docs, n, threshold, most_bytes, short_run, block)
+    of = entries.select("fp", "rows").join(linked, "fp", "left").select("fp", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("links"), F.coalesce("root", "fp").alias("root"))
+    rows = members.select("doc_id", "fp").join(of, "fp")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    with_set = rows.join(least, "root").select("doc_id", "class_id", F.col("links").alias("n_links"))
+    # rows without a set have no member's row
+    sets = members.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("sets"))
+    all_ = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    bare = all_.join(sets, "id", "left").withColumn("bare", F.col("rows") - F.coalesce("sets", F.lit(0))).where("bare > 0")
+    bare = bare.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("bare")))).select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return with_set.unionByName(bare)
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without all but the least doc_id of each connected group of
-    matching documents. Documents without a set, and rows with a null doc_id, stay."""
-    entries, found = _run(docs, n, threshold)
-    groups = connected_components(found.select("a", "b")).select(F.col("node").alias("id"), "root")
-    members = entries.where("size(ids) > 1").select("id", F.explode("ids").alias("doc_id")).union(groups.select("id", F.col("id").alias("doc_id"))).distinct()
-    gone = keep(members.join(groups, "id", "left").where(F.col("doc_id") != F.coalesce("root", "id")).select(F.col("doc_id").alias("_mr_gone")).distinct(), "near-copies")
-    if fits(gone, 16):
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["_mr_gone"], "left_anti")
+    """The documents without all but the least doc_id of each class.
+
+    Documents without a set, rows with a null doc_id and rows that repeat the
+    least doc_id stay. Columns pass through, whatever their names.
+    """
+    members, entries, linked = _run(docs, n, threshold, GROUP_BYTES, SHORT_RUN, BLOCK)
+    some = entries.where("rows > 1").select("fp").union(linked.select("fp")).distinct()
+    rows = members.join(some, "fp").join(linked.select("fp", "root"), "fp", "left").select("dk", "doc_id", F.coalesce("root", "fp").alias("root"))
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
+    (name,) = fresh(docs, "gone")
+    gone = keep(rows.join(least, "root").where("doc_id <> least").select(F.col("dk").alias(name)).distinct(), "near-copies")
+    return docs.join(F.broadcast(gone) if fits(gone, 16) else gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone[name], "left_anti")

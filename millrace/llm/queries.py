@@ -73,6 +73,15 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(lower(text), '(?:[0-9a-z]|[^\x{00}-\x{bf}\x{2000}-\x{207f}\x{3000}-\x{303f}])+')"
 
 SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+        g AS (SELECT DISTINCT doc_id, array_to_string(w[pos + 1 : pos + {ngram_join.N}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - {ngram_join.N - 1}, 1))) AS pos FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE o >= {ngram_join.THRESHOLD} * (x.n + y.n - o) - 1e-9),
+        c(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
+        k AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+        SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM (SELECT a AS doc_id, min(b) AS class_id FROM c GROUP BY a) LEFT JOIN k ON k.a = doc_id""",
     "op3_warc": "SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS html_bytes, md5(html) AS html_md5 FROM pages",
     "op5_url_filter": rf"SELECT page_id, url, regexp_matches(lower(trim(url)), '^([a-z][a-z0-9+.-]*://)?([^/:?#]*\.)?({LISTED})\.example\.(com|net|org)([/:?#]|$)') AS listed FROM pages",
     "op6_decontamination": f"""

@@ -27,3 +27,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def fits(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> bool:
     """Whether a kept table is small enough to broadcast."""
     return df.count() * row_bytes <= most
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of the given ones that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = "_mr_" + name
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out

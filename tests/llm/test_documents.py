@@ -112,31 +112,37 @@ def shingles(t, n):
     return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else None
 
 
-def brute_pairs(docs, n, t):
-    s = [(d, shingles(x, n)) for d, x in docs]
-    return {(min(a, b), max(a, b)): len(x & y) / len(x | y) for i, (a, x) in enumerate(s) for b, y in s[:i] if a != b and x and y and len(x & y) >= t * len(x | y)}
-
-
-def flat(rows):
-    out = {}
-    for r in rows:
-        for x in r.a_ids:
-            for y in r.b_ids:
-                if x != y:
-                    out[min(x, y), max(x, y)] = r.jaccard
-    return out
-
-
-@pytest.mark.parametrize("most_bytes", [ngram_join.GROUP_BYTES, 1000])
-def test_join_against_brute_force(spark, most_bytes):
+def brute_classes(docs, n, t):
+    """(doc_id, class_id, n_links) of every row, by all pairs."""
+    s = [shingles(x, n) for _, x in docs]
+    root, links = list(range(len(s))), [0] * len(s)
+    for i, x in enumerate(s):
+        for j, y in enumerate(s[:i]):
+            if x and y and len(x & y) >= t * len(x | y):
+                links[i] += 1
+                links[j] += 1
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for r, (d, _) in zip(root, docs):
+        least[r] = min(d, least.get(r, d))
+    return sorted((d, least[r], k) for (d, _), r, k in zip(docs, root, links))
+
+
+def as_rows(df):
+    assert df.columns == ["doc_id", "class_id", "n_links"]
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("most_bytes, short_run, block", [(ngram_join.GROUP_BYTES, 8, 8192), (3000, 8, 8192), (ngram_join.GROUP_BYTES, 1, 4)])
+def test_join_against_brute_force(spark, most_bytes, short_run, block):
     r = random.Random(5)
     base = [sentence(r, r.choice([1, 2, 3, 20, 80, 300])) for _ in range(25)]
     texts = base + [edited(r, x, r.choice([0, 1, len(x.split()) // 15])) for x in base for _ in range(4)] + [x + " " + sentence(r, 10) for x in base] + [base[-1]] * 30
+    texts += [edited(r, base[3] + base[4], k) for k in range(0, 60, 2)]  # a family about the threshold
     docs = list(enumerate(texts))
-    want = brute_pairs(docs, ngram_join.N, ngram_join.THRESHOLD)
-    got = flat(ngram_join.ngram_join(table(spark, texts), most_bytes=most_bytes).collect())
-    assert len(want) > 100 and set(got) <= set(want) and len(got) >= 0.95 * len(want)
-    assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
+    want = brute_classes(docs, ngram_join.N, ngram_join.THRESHOLD)
+    assert sum(k for _, _, k in want) > 1000
+    assert as_rows(ngram_join.ngram_join(table(spark, texts), most_bytes=most_bytes, short_run=short_run, block=block)) == want
 
 
 def test_trie_is_exact():
@@ -146,24 +152,25 @@ def test_trie_is_exact():
     for _ in range(40):
         sets = [np.unique(r.integers(0, 25, size=r.integers(1, 15)).astype(np.uint64)) for _ in range(12)]
         sets += [sets[0], sets[0][:1], np.unique(np.append(sets[1], np.uint64(99)))]
-        probe = sets[int(r.integers(0, 12))]
+        probes = np.sort(r.choice(len(sets), 6, replace=False))
         for t in (0.2, 0.5, 0.9, 1.0):
-            got = sorted(ngram_join.Trie(sets).search(probe, t))
-            want = [(k, len(np.intersect1d(s, probe))) for k, s in enumerate(sets)]
-            assert got == [(k, o) for k, o in want if o >= t * (len(s) + len(probe) - o if (s := sets[k]) is not None else 0) - 1e-9]
+            got = sorted((k, int(p), int(o)) for k, who, over in ngram_join.Trie(sets).search(probes, t) for p, o in zip(who, over) if k != p)
+            pairs = [(k, int(p), len(np.intersect1d(s, sets[p]))) for k, s in enumerate(sets) for p in probes if k != p]
+            assert got == [(k, p, o) for k, p, o in pairs if o >= t * (len(sets[k]) + len(sets[p]) - o) - 1e-9]
 
 
 def test_join_cases(spark):
     texts = ["one two three four", "one two three four", None, "", "...", "one", "one", "x y z", "x y z"]
-    df = table(spark, texts, ids=[0, 1, 2, 3, 4, 5, 6, None, 8])
-    assert set(flat(ngram_join.ngram_join(df).collect())) == {(0, 1), (5, 6)}
+    df = table(spark, texts, ids=[0, 1, 2, 3, 4, 5, 6, None, 8]).withColumn("_mr_gone", F.lit(1)).withColumn("fp", F.lit(2))
+    assert as_rows(ngram_join.ngram_join(df)) == [(0, 0, 1), (1, 0, 1), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 1), (6, 5, 1), (8, 8, 0)]
     kept = ngram_join.keep_one(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["0", "2", "3", "4", "5", "None", "8"])
     assert ngram_join.ngram_join(df.limit(0)).count() == 0 == ngram_join.keep_one(df.limit(0)).count()
-    again = table(spark, ["a b c d", "a b c d", "e f g h"], ids=[7, 7, 7])
-    assert ngram_join.keep_one(again).count() == 3
+    again = table(spark, ["a b c d", "a b c d", "e f g h", "a b c d"], ids=[7, 7, 7, 9])
+    assert as_rows(ngram_join.ngram_join(again)) == [(7, 7, 0), (7, 7, 2), (7, 7, 2), (9, 7, 2)]
+    assert [r.doc_id for r in ngram_join.keep_one(again).collect()] == [7, 7, 7]
     long = "word " * 200_000
-    assert set(flat(ngram_join.ngram_join(table(spark, [long, long + "end"])).collect())) == {(0, 1)}  # one n-gram against two
+    assert as_rows(ngram_join.ngram_join(table(spark, [long, long + "end"]))) == [(0, 0, 1), (1, 0, 1)]  # one n-gram against two
     assert ngram_join.keep_one(table(spark, [long, long])).count() == 1
 
 

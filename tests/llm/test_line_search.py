@@ -5,9 +5,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
 from millrace.llm import line_dedup
+from millrace.llm.edit import within
 from tests.llm.test_documents import distance, sentence, table, words
 
 
@@ -41,17 +43,62 @@ def test_recall_with_the_keys_of_large_corpora(lines):
     for length in (50, 60, 90, 100, 130, 250, 500):
         base = [sentence(r, length // 4)[:length].replace(" ", "x", 1) for _ in range(150)]
         texts = [x for a in base for x in (a, edits(r, a, length // 10))]
-        keys = [{} for _ in texts]
-        for line, *rest in line_dedup.line_keys(*line_dedup.code_points(*K.buffers(K.plain(pa.array(texts)))), line_dedup.gram_size(lines)):
-            for at, key, sketch, size in zip(line, *(x.tolist() for x in rest)):
-                keys[at][key] = (sketch, size)
-        found = 0
-        for a, b in zip(keys[::2], keys[1::2]):
-            ends = [sorted((a[k], b[k]), key=lambda x: x[1]) for k in a.keys() & b.keys()]
-            found += any(line_dedup.near(np.array([x[0], y[0]], np.uint64), np.array([x[1], y[1]], np.uint32), np.array([0]), np.array([1]), 0.9)[0] for x, y in ends)
+        chars, first = line_dedup.code_points(*K.buffers(K.plain(pa.array(texts))))
+        keys = [set() for _ in texts]
+        for line, key in line_dedup.line_keys(chars, first, line_dedup.gram_size(lines)):
+            for at, k in zip(line, key.tolist()):
+                keys[at].add(k)
+        s, t = line_dedup.simhash(chars, first).T
+        a = np.arange(0, len(texts), 2)
+        near = line_dedup.near(np.diff(first), s, t, a, a + 1, 0.9)
+        found = sum(bool(keys[k] & keys[k + 1]) and ok for k, ok in zip(a, near))
         assert found >= 0.9 * len(base), (length, found)
 
 
+def test_edit_distance():
+    r = random.Random(1)
+    xs, ys, most, want = [], [], [], []
+    for _ in range(600):
+        letters = "abcd"[: r.choice([1, 2, 4])] if r.random() < 0.5 else "abcdefghijklmnopq\u00e9\u4e2d"
+        a = "".join(r.choices(letters, k=r.choice([0, 1, 3, 10, 40, 70, 130])))
+        b = edits(r, a, r.randrange(0, len(a) // 3 + 2), letters) if a else "b" * r.randrange(3)
+        d = distance(a, b)
+        xs.append(a), ys.append(b), most.append(max(0, d + r.choice([-2, -1, 0, 1, 60])))
+        want.append(d <= most[-1])
+    size = np.array([len(x) for x in xs + ys])
+    start = np.cumsum(size) - size
+    chars = np.frombuffer("".join(xs + ys).encode("utf-32-le"), np.uint32)
+    k = len(xs)
+    assert within(chars, start[:k], size[:k], start[k:], size[k:], np.array(most)).tolist() == want and 100 < sum(want) < 500
+    few = [within(chars, start[q : q + 1], size[q : q + 1], start[k + q : k + q + 1], size[k + q : k + q + 1], np.array(most[q : q + 1]))[0] for q in range(k)]
+    assert few == want
+
+
+@pytest.mark.parametrize("short_run, block", [(8, 16_384), (2, 16_384), (2, 4)])
+def test_long_runs_give_the_same_groups(spark, short_run, block):
+    """Families of lines with one template: their pairs come in two rounds, by blocks."""
+    r = random.Random(8)
+    lines = []
+    for _ in range(4):
+        base = sentence(r, 20)
+        lines += [base] + [edits(r, base, r.choice([1, 3, 9, 14])) for _ in range(14)] + [base[:60] + sentence(r, 12) for _ in range(4)]
+    want = brute(lines)
+    got = {x.doc_id for x in line_dedup.dedup_lines(table(spark, lines), short_run=short_run, block=block).collect() if x.n_removed}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 40
+
+
+def test_a_long_token_or_many_lines(spark):
+    """One word of 200 characters doesn't hide a line's copies; many equal lines in a document take time in proportion."""
+    r = random.Random(12)
+    base = sentence(r, 20)
+    token = "".join(r.choices("abcdefghij", k=200))
+    lines = [base + " " + token, edits(r, base, 4) + " " + token, *(["the same line again"] * 100_000)]
+    df = table(spark, ["\n".join(lines)]).withColumn("_mr_gone", F.lit(1)).withColumn("_MR_dk", F.lit("x"))
+    (row,) = line_dedup.dedup_lines(df).collect()
+    assert row.text == "\n".join([lines[0], lines[2]]) and row.n_removed == 100_000 and row.n_lines == 100_002
+    assert row["_mr_gone"] == 1 and row["_MR_dk"] == "x"
+
+
 def test_edits_are_counted_in_characters(spark):
     r = random.Random(4)
     hanzi = [chr(0x4E00 + k) for k in range(2000)]

@@ -5,8 +5,7 @@ import random
 import corpus_pipeline as P
 from millrace.llm import bpe, decontam, line_dedup, ngram_join
 
-from .test_documents import brute_leaks, brute_lines, brute_pairs, edited, sentence
-from .test_kernel_graph import components
+from .test_documents import brute_classes, brute_leaks, brute_lines, edited, sentence
 
 BAD = ["fizzbad", "grumbad", "hexbad"]
 
@@ -41,8 +40,8 @@ def test_pipeline(spark, tmp_path):
             if not t.strip():
                 continue
         after.append((d, t))
-    root = components(list(brute_pairs(after, ngram_join.N, ngram_join.THRESHOLD)))
-    after = [(d, t) for d, t in after if root.get(d, d) == d]
+    kept = {d for d, least, _ in brute_classes(after, ngram_join.N, ngram_join.THRESHOLD) if d == least}
+    after = [(d, t) for d, t in after if d in kept]
     leaked = {d for d, _ in brute_leaks(after, items, decontam.N, decontam.THRESHOLD)}
     want = {d: t for d, t in after if d not in leaked}
     rows = P.run(spark, str(tmp_path)).collect()
