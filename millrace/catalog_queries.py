@@ -12,7 +12,7 @@ from .functions import tokens as T
 from .operators import flow, vision
 from .operators.tokenizers import CodePoints, Merges
 from .plans import catalog
-from .plans.tasks import TextTask
+from .plans.tasks import ConvertToTarTask, ImageTextTask, TextTask
 from .shared import shared_folder
 from .ship import ship
 from .sources import archives, captions, text
@@ -110,6 +110,7 @@ def last_record(t):
 
 # token arrays
 _HEAD = "list_transform(range(1, least(length(text), 64) + 1), lambda i: ord(substring(text, i, 1)))"
+_IDS = "CASE WHEN text = '' THEN CAST([] AS INTEGER[]) ELSE list_transform(string_split(text, ''), lambda c: ord(c)) END"
 
 
 @query(f"SELECT doc_id, array_to_string(list_resize({_HEAD}, 64, -1), ',') AS ids FROM documents")
@@ -124,14 +125,14 @@ def pad_truncate_spare(t):
     return t("documents").select("doc_id", F.array_join(T.pad_or_cut(ids, 64, 0, spare=1), ",").alias("ids"))
 
 
-@query("SELECT doc_id, array_to_string(list_transform(list_transform(range(1, least(length(text), 256) + 1), lambda i: ord(substring(text, i, 1))), lambda x: CASE WHEN x = 10 THEN 0 ELSE x END), ',') AS ids FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_transform({_IDS}, lambda x: CASE WHEN x = 10 THEN 0 ELSE x END), ',') AS ids FROM documents")
 def token_replace(t):
-    return t("documents").select("doc_id", F.array_join(T.replace_id(T.code_points(F.substring("text", 1, 256)), 10, 0), ",").alias("ids"))
+    return t("documents").select("doc_id", F.array_join(T.replace_id(T.code_points(F.col("text")), 10, 0), ",").alias("ids"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_transform({_HEAD}, lambda x: x + 8192), ',') AS ids FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_transform({_IDS}, lambda x: x + 8192), ',') AS ids FROM documents")
 def token_offset(t):
-    return t("documents").select("doc_id", F.array_join(T.offset_ids(T.code_points(F.substring("text", 1, 64)), 8192), ",").alias("ids"))
+    return t("documents").select("doc_id", F.array_join(T.offset_ids(T.code_points(F.col("text")), 8192), ",").alias("ids"))
 
 
 _PACK = f"""WITH d AS (SELECT doc_id, text, length(text) + 1 AS n, sum(length(text) + 1) OVER (ORDER BY doc_id) - length(text) - 1 AS base FROM documents),
@@ -141,7 +142,7 @@ _PACK = f"""WITH d AS (SELECT doc_id, text, length(text) + 1 AS n, sum(length(te
 
 @query(_PACK)
 def pack_stream(t):
-    packed = flow.pack_stream(t("documents").select("doc_id", "text"), ["doc_id"], T.code_points(F.col("text")), LENGTH, EOS)
+    packed = flow.pack_stream(t("documents").select("doc_id", "text"), ["doc_id"], T.code_points(F.col("text")), LENGTH, EOS, F.char_length("text"))
     return packed.select("chunk", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"), F.array_min("tokens").alias("least"), F.array_max("tokens").alias("most"))
 
 
@@ -150,7 +151,8 @@ def pack_stream(t):
 def text_tokenize_pack(t):
     docs = t("documents")
     lines = docs.select("source", F.explode(F.split("text", "\n")).alias("value"))
-    rows = TextTask().encode(lines).select("source", F.size("ids").alias("n"))
+    task = TextTask()
+    rows = task.texts(lines).select("source", task.tokenizer.count(F.col("text")).alias("n"))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.sum((F.col("n") + 1).cast("long")).alias("tokens"), F.max("n").cast("long").alias("longest"))
 
 
@@ -173,26 +175,36 @@ def token_kind(t):
     return rows.groupBy(T.IdSpace().kind(F.col("x")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
 
 
-@query()
+# codes, end of image, the same codes as text, separator, a masked code
+@query(f"""WITH d AS (SELECT doc_id, list_transform({_IDS}, lambda x: x % 8192) AS c FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT doc_id, [{{'kind': 'image', 'ids': c}}, {{'kind': 'command', 'ids': [4]}}, {{'kind': 'text', 'ids': c}}, {{'kind': 'command', 'ids': [10]}}, {{'kind': 'image', 'ids': [-1]}}] AS s FROM d),
+ k AS (SELECT doc_id, list_filter(s, lambda x: len(x.ids) > 0) AS s FROM s)
+ SELECT doc_id, CAST(pos AS INTEGER) AS pos, s[pos + 1].kind AS kind, array_to_string(s[pos + 1].ids, ',') AS ids FROM (SELECT doc_id, s, unnest(range(len(s))) AS pos FROM k)""")
 def decode_segments(t):
     space = T.IdSpace()
-    codes = F.transform(T.code_points(F.substring("text", 1, 64)), lambda x: F.pmod(x, F.lit(8192)))
-    ids = F.concat(codes, F.array(F.lit(space["[EOI1]"])), T.offset_ids(codes, 8192), F.array(F.lit(space["[SEP]"]), F.lit(-1)))
-    rows = t("documents").select("doc_id", F.posexplode(space.segments(ids)).alias("pos", "s"))
+    codes = F.transform(T.code_points(F.col("text")), lambda x: F.pmod(x, F.lit(8192)))
+    docs = t("documents").select("doc_id", codes.alias("codes"))
+    ids = F.concat("codes", F.array(F.lit(space["[EOI1]"])), T.offset_ids(F.col("codes"), 8192), F.array(F.lit(space["[SEP]"]), F.lit(-1)))
+    rows = docs.select("doc_id", F.posexplode(space.segments(ids)).alias("pos", "s"))
     return rows.select("doc_id", "pos", F.col("s.kind").alias("kind"), F.array_join("s.ids", ",").alias("ids"))
 
 
-@query()
+@query(f"""SELECT doc_id, array_to_string([58204] || list_transform({_IDS}, lambda x: x + 8192) || [-1, -1, 58202] || list_transform(string_split(source, ''), lambda c: ord(c) + 8192), ',') AS ids
+ FROM documents WHERE text IS NOT NULL""")
 def parse_query(t):
     space = T.IdSpace()
-    asked = t("documents").select("doc_id", F.concat(F.lit("[CLS] "), "text", F.lit(" [MASK]*2 [SEP] "), F.col("source")).alias("query"))
+    asked = t("documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("[CLS] "), "text", F.lit(" [MASK]*2 [SEP] "), F.col("source")).alias("query"))
     return asked.select("doc_id", F.array_join(space.parse_udf(CodePoints().encode)("query"), ",").alias("ids"))
 
 
 _MERGES = [("t", "h"), ("th", "e"), ("o", "n"), ("a", "n"), ("e", "r"), ("i", "n")]
+_WORD = "regexp_replace(word, '(.)', chr(1) || '\\1' || chr(2), 'gs')"
+for _a, _b in _MERGES:
+    _WORD = f"replace({_WORD}, chr(1) || '{_a}' || chr(2) || chr(1) || '{_b}' || chr(2), chr(1) || '{_a}{_b}' || chr(2))"
 
 
-@query()
+@query(f"""SELECT doc_id, count(*) AS words, CAST(sum(length(w) - length(replace(w, chr(1), ''))) AS BIGINT) AS tokens FROM
+ (SELECT doc_id, {_WORD} AS w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+')) AS word FROM documents) WHERE word <> '') GROUP BY doc_id""")
 def bpe_encode(t):
     vocabulary = {c: k for k, c in enumerate(["<pad>", "<unk>", *"abcdefghijklmnopqrstuvwxyz", *("".join(m) for m in _MERGES)])}
     words = t("documents").select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
@@ -283,16 +295,16 @@ def normalize_pile(t):
 
 
 # captions
-_CAP = "(SELECT CAST(doc_id AS VARCHAR) AS key, regexp_replace(substring(text, 1, 40), '[\\t\\r\\n\"]', ' ', 'g') AS text, source, doc_id, lang FROM documents)"
+_CAP = "(SELECT CAST(doc_id AS VARCHAR) AS key, regexp_replace(text, '[\\t\\r\\n\"]', ' ', 'g') AS text, source, doc_id, lang FROM documents)"
 
 
 def _captions(t):
-    return t("documents").select(F.col("doc_id").cast("string").alias("key"), F.regexp_replace(F.substring("text", 1, 40), '[\\t\\r\\n"]', " ").alias("text"), "source", "doc_id", "lang")
+    return t("documents").select(F.col("doc_id").cast("string").alias("key"), F.regexp_replace("text", '[\\t\\r\\n"]', " ").alias("text"), "source", "doc_id", "lang")
 
 
 def _files(rows: DataFrame, value) -> DataFrame:
-    """One sidecar for each source."""
-    return rows.groupBy("source").agg(value.alias("value")).select(F.lit(0).alias("file_ix"), "value")
+    """One sidecar for each thousand ids."""
+    return rows.groupBy(F.floor(F.col("doc_id") / 1000)).agg(value.alias("value")).select(F.lit(0).alias("file_ix"), "value")
 
 
 @query(f"SELECT key, text FROM {_CAP} WHERE length(text) > 1")
@@ -330,14 +342,20 @@ def multilingual_caption_concat(t):
     return captions.parse_captions(_files(_captions(t), F.to_json(F.struct(F.collect_list(record).alias("RECORDS")))), "json_ks", bilingual=True)
 
 
-@query("SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)")
+# the tasks' own joins: a document is a member named after its id, a label its caption
+@query("SELECT doc_id, lang, quality || '/' || toxic AS text FROM documents JOIN labels USING (doc_id)")
 def caption_lookup_join(t):
-    return t("documents").select("doc_id", "lang").join(t("labels"), "doc_id")
+    members = t("documents").select("doc_id", "lang", F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("full_filename"))
+    task = ImageTextTask(encode=None)  # no picture is decoded here
+    side = t("labels").select(F.col("doc_id").cast("string").alias("key"), F.concat_ws("/", "quality", "toxic").alias("text"))
+    return task.captioned(members.withColumn("key", task.key(F.col("full_filename"))), side).select("doc_id", "lang", "text")
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query("SELECT doc_id, source FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def caption_semi_join(t):
-    return t("documents").select("doc_id", "source").join(t("labels").where("quality = 1"), "doc_id", "left_semi")
+    members = t("documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("full_filename"), F.col("text").alias("content"))
+    side = t("labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("key"))
+    return ConvertToTarTask().plan(members, side).select("doc_id", "source")
 
 
 @query("SELECT page_id, split_part(split_part(url, '/', -1), '.', 1) AS key FROM pages")
@@ -405,9 +423,9 @@ def scalar_arithmetic(t):
     return t("part").select("p_partkey", S.ceil_div("p_size", 7).cast("int").alias("per"), S.percent(F.col("p_size"), F.lit(50)).alias("done"), S.is_power_of_two(F.col("p_size")).alias("power"))
 
 
-@query("SELECT doc_id, regexp_replace(substring(text, 1, 200), '[\\r\\t\\n]', '', 'g') AS title, substring(source, 1, length(source) - 2) AS cut FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '[\\r\\t\\n]', '', 'g') AS title, substring(source, 1, length(source) - 2) AS cut FROM documents")
 def string_functions(t):
-    return t("documents").select("doc_id", S.one_line(F.substring("text", 1, 200)).alias("title"), S.drop_last(F.col("source"), 2).alias("cut"))
+    return t("documents").select("doc_id", S.one_line(F.col("text")).alias("title"), S.drop_last(F.col("source"), 2).alias("cut"))
 
 
 # files

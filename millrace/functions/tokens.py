@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 COMMANDS = (
     "[PAD]", *(f"[BOI{k}]" for k in (1, 2, 3)), *(f"[EOI{k}]" for k in (1, 2, 3)), *(f"[ROI{k}]" for k in (1, 2, 3)),
@@ -19,9 +22,24 @@ COMMANDS = (
 SIZE_TOKEN = {8: "[TINY]", 16: "[SMALL]", 32: "[BASE]", 64: "[BIG]"}
 
 
+def points(texts: pa.Array) -> pa.Array:
+    """The code points of a batch of texts, decoded as a whole."""
+    null = texts.is_null().to_numpy(zero_copy_only=False)
+    own = texts.cast(pa.large_string()).fill_null("")
+    if not len(own):
+        return pa.array([], pa.list_(pa.int32()))
+    _, offsets, data = own.buffers()
+    at = np.frombuffer(offsets, np.int64)[own.offset : own.offset + len(own) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    begins = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=begins[1:])
+    chars = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.int32)
+    return pa.ListArray.from_arrays(pa.array(begins[at - at[0]].astype(np.int32)), pa.array(chars), mask=pa.array(null))
+
+
 def code_points(text: Column) -> Column:
     """A text's code points, the ids of the default tokenizer."""
-    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(text, ""), lambda c: F.ascii(c)))
+    return F.arrow_udf(points, ArrayType(IntegerType()))(text)
 
 
 def pad_or_cut(ids: Column, width: int, fill: int = -1, spare: int = 0) -> Column:
@@ -75,29 +93,39 @@ class IdSpace:
         the image buffer if it is an end of image, then the text buffer, then
         itself; the end of the list gives out both, image first.
         """
-        seg = "array<struct<kind:string,ids:array<int>>>"
-        base = self.img_n + self.txt_n
-        ends = [self[f"[EOI{k}]"] for k in (1, 2, 3)]
-        none = F.array().cast("array<int>")
-
-        def out(kind, xs):
-            return F.array(F.struct(F.lit(kind).alias("kind"), xs.alias("ids"))).cast(seg)
-
-        def give(acc, image, text, also=None):
-            s = F.concat(acc["out"], F.when(image & (F.size(acc["img"]) > 0), out("image", acc["img"])).otherwise(F.array().cast(seg)), F.when(text & (F.size(acc["txt"]) > 0), out("text", acc["txt"])).otherwise(F.array().cast(seg)))
-            return s if also is None else F.concat(s, out("command", F.array(also)))
-
-        def step(acc, x):
-            command, image = x >= base, x < self.img_n
-            end = x.isin(ends)
-            return F.struct(
-                F.when(command, give(acc, end, F.lit(True), x - base)).otherwise(acc["out"]).alias("out"),
-                F.when(end, none).when(~command & image, F.concat(acc["img"], F.array(x))).otherwise(acc["img"]).alias("img"),
-                F.when(command, none).when(~command & ~image, F.concat(acc["txt"], F.array(x - self.img_n))).otherwise(acc["txt"]).alias("txt"),
-            )
-
-        start = F.struct(F.array().cast(seg).alias("out"), none.alias("img"), none.alias("txt"))
-        return F.aggregate(ids, start, step, lambda acc: give(acc, F.lit(True), F.lit(True)))
+        return F.arrow_udf(self._segments, "array<struct<kind:string,ids:array<int>>>")(ids)
+
+    def _segments(self, ids: pa.Array) -> pa.Array:
+        base, ends = self.img_n + self.txt_n, {self[f"[EOI{k}]"] for k in (1, 2, 3)}
+        kinds, parts, rows, of = [], [], [0], []
+
+        def give(kind, some):
+            some = np.concatenate(some) if len(some) != 1 else some[0]
+            if len(some):
+                kinds.append(kind)
+                parts.append(some)
+
+        for row in ids:
+            if row.is_valid:
+                x = row.values.to_numpy(zero_copy_only=False)
+                image, last = [x[:0]], 0
+                for k in np.flatnonzero(x >= base):
+                    between, last = x[last:k], k + 1
+                    image.append(between[between < self.img_n])
+                    if x[k] in ends:
+                        give("image", image)
+                        image = [x[:0]]
+                    give("text", [between[between >= self.img_n] - self.img_n])
+                    give("command", [x[k : k + 1] - base])
+                between = x[last:]
+                give("image", [*image, between[between < self.img_n]])
+                give("text", [between[between >= self.img_n] - self.img_n])
+            rows.append(len(kinds))
+            of.append(not row.is_valid)
+        size = np.cumsum([0, *(len(p) for p in parts)]).astype(np.int32)
+        values = pa.array(np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32))
+        segments = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.ListArray.from_arrays(pa.array(size), values)], names=["kind", "ids"])
+        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), segments, mask=pa.array(of))
 
     def parse(self, query: str, encode, image=None) -> list[int]:
         """Ids of a query: words, commands, ``[MASK]``, ``[MASK]*N`` and

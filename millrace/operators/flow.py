@@ -1,8 +1,9 @@
 """Sharding, batching, cutting, packing, merging and splitting of rows.
 
 Global positions never put all rows into one task: rows fall into ranges of
-their first order key, each range is summed, and a row's position is what comes
-before its range plus what comes before it in its range.
+their first order key that hold about as many rows each, each range is summed,
+and a row's position is what comes before its range plus what comes before it
+in its range.
 """
 
 from __future__ import annotations
@@ -10,9 +11,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import fresh
+
 
 #: Ranges of the order key for each shuffle partition.
 RANGES = 4
@@ -44,22 +50,24 @@ def batch_of(index: Column, size: int) -> Column:
 def running_offset(df: DataFrame, order: Sequence[str], weight: Column, name: str = "offset") -> DataFrame:
     """``df`` with the sum of ``weight`` over all rows before it in ``order``.
 
-    The first order column must be numeric; it makes the ranges. Ties in
+    The first order column must be numeric; its approximate quantiles are the
+    ranges' bounds, so a few far keys don't matter. Nulls come first. Ties in
     ``order`` are numbered in an arbitrary order.
     """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * RANGES)
-    key = F.col(order[0]).cast("double")
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    ranged = df.withColumn("_mr_range", F.coalesce(F.floor((key - low) / max(high - low, 1e-9) * (n - 1e-6)).cast("int"), F.lit(-1))).withColumn("_mr_weight", weight)
-    sums = ranged.groupBy("_mr_range").agg(F.sum("_mr_weight").alias("_mr_sum"))
-    before = Window.orderBy("_mr_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("_mr_range", F.coalesce(F.sum("_mr_sum").over(before), F.lit(0)).alias("_mr_base"))
-    within = Window.partitionBy("_mr_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(bases), "_mr_range")  # at most n + 1 rows
-    return out.withColumn(name, (F.col("_mr_base") + F.coalesce(F.sum("_mr_weight").over(within), F.lit(0))).cast("long")).drop("_mr_range", "_mr_weight", "_mr_base")
+    at, range_, own, sum_, base = fresh(df, "key", "range", "weight", "sum", "base")
+    keyed = df.withColumn(at, F.col(order[0]).cast("double")).withColumn(own, weight)
+    bounds = keyed.agg(F.percentile_approx(at, [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0]
+    splits = [-float("inf"), *sorted({b for b in bounds or () if b == b and abs(b) != float("inf")}), float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol=at, outputCol=range_, handleInvalid="keep").transform(keyed) if len(splits) > 2 else keyed.withColumn(range_, F.lit(0))
+    ranged = ranged.withColumn(range_, F.when(F.col(at).isNull(), -1).otherwise(F.col(range_)).cast("int")).drop(at)
+    sums = ranged.groupBy(range_).agg(F.sum(own).alias(sum_))
+    before = Window.orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)  # over at most n + 2 rows
+    bases = sums.select(range_, F.coalesce(F.sum(sum_).over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy(range_).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(bases), range_)
+    return out.withColumn(name, (F.col(base) + F.coalesce(F.sum(own).over(within), F.lit(0))).cast("long")).drop(range_, own, base)
 
 
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
@@ -76,7 +84,8 @@ def ratio_cut(df: DataFrame, order: Sequence[str], batch: int, ratio: float) ->
     full = int(total * ratio + 1e-9) // batch * batch
     last = total // batch * batch  # the last, short batch begins here
     keep = full if full < last or total > total * ratio else total
-    return dense_index(df, order, "_mr_idx").where(F.col("_mr_idx") < keep).drop("_mr_idx")
+    (idx,) = fresh(df, "idx")
+    return dense_index(df, order, idx).where(F.col(idx) < keep).drop(idx)
 
 
 def running_batches(df: DataFrame, order: Sequence[str], batch: int) -> DataFrame:
@@ -85,20 +94,44 @@ def running_batches(df: DataFrame, order: Sequence[str], batch: int) -> DataFram
     return sizes.select("batch", "size", (F.col("batch") * batch + F.col("size")).alias("running"))
 
 
-def pack_stream(df: DataFrame, order: Sequence[str], ids: Column, length: int, eos: int) -> DataFrame:
+def _cut(length: int, eos: int):
+    """(at, ids) rows to (chunk, at, part): each row's ids and ``eos``, cut where samples end."""
+
+    def run(it):
+        for batch in it:
+            at = batch.column(0).to_numpy()
+            lists = batch.column(1)
+            size = np.diff(lists.offsets.to_numpy())
+            if lists.null_count:
+                size = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, size)
+            ends = np.cumsum(size)
+            # every row's ids with eos behind them, one row after another
+            ids = np.full(int(size.sum()) + len(at), eos, np.int32)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            ids[np.arange(len(values)) + np.repeat(np.arange(len(at)), size)] = values
+            start, full = ends - size + np.arange(len(at)), size + 1
+            first, last = at // length, (at + full - 1) // length
+            row = np.repeat(np.arange(len(at)), last - first + 1)
+            chunk = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+            begin = np.maximum(chunk * length - at[row], 0)
+            cuts = np.append(start[row] + begin, len(ids)).astype(np.int32)  # parts follow one another without gaps
+            yield pa.RecordBatch.from_pydict({"chunk": chunk, "at": at[row] + begin, "part": pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))})
+
+    return run
+
+
+def pack_stream(df: DataFrame, order: Sequence[str], ids: Column, length: int, eos: int, count: Column | None = None) -> DataFrame:
     """(chunk, tokens): all ids, ``eos`` after each row's, in one stream cut into
-    samples of ``length``; what is left at the end is dropped.
+    samples of ``length``; what is left at the end is dropped. Null ids count as none.
 
-    A row is sliced once for each sample that it reaches into, so that no row of
-    the plan is a single token.
+    ``count`` is the number of a row's ids, for where it costs less than the
+    ids. A row is cut once for each sample that it reaches into, so that no row
+    of the plan is a single token.
     """
-    rows = df.withColumn("_mr_ids", F.concat(ids, F.array(F.lit(eos))))
-    at = running_offset(rows.select(*order, "_mr_ids"), order, F.size("_mr_ids").cast("long"), "_mr_at")
-    first, last = F.floor(F.col("_mr_at") / length), F.floor((F.col("_mr_at") + F.size("_mr_ids") - 1) / length)
-    parts = at.select("_mr_at", "_mr_ids", F.explode(F.sequence(first, last)).alias("chunk"))
-    begin = F.greatest(F.col("chunk") * length - F.col("_mr_at"), F.lit(0))
-    end = F.least((F.col("chunk") + 1) * length - F.col("_mr_at"), F.size("_mr_ids").cast("long"))
-    parts = parts.select("chunk", F.col("_mr_at").alias("at"), F.slice("_mr_ids", (begin + 1).cast("int"), (end - begin).cast("int")).alias("part"))
+    (name,) = fresh(df, "at")
+    n = F.size(ids) if count is None else count
+    at = running_offset(df, order, (F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)) + 1).cast("long"), name)
+    parts = at.select(name, ids.cast("array<int>").alias("ids")).mapInArrow(_cut(length, eos), "chunk long, at long, part array<int>")
     packed = parts.groupBy("chunk").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])).alias("tokens"))
     return packed.where(F.size("tokens") == length)
 
@@ -116,7 +149,8 @@ def merge_ordered(parts: Sequence[DataFrame], order: Sequence[str]) -> DataFrame
     sizes = [p.count() for p in parts]
     out, base = [], 0
     for p, n in zip(tagged, sizes):
-        out.append(dense_index(p, order, "_mr_idx").withColumn("sample_id", F.col("_mr_idx") + base).drop("_mr_idx"))
+        (idx,) = fresh(p, "idx")
+        out.append(dense_index(p, order, idx).withColumn("sample_id", F.col(idx) + base).drop(idx))
         base += n
     return reduce(DataFrame.unionByName, out)
 

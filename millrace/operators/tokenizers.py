@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,6 +39,10 @@ class Tokenizer:
 
         return run(text)
 
+    def count(self, text: Column) -> Column:
+        """How many ids ``column`` gives."""
+        return F.size(self.column(text))
+
 
 class CodePoints(Tokenizer):
     """One id for each character; specials come after Unicode."""
@@ -59,6 +64,9 @@ class CodePoints(Tokenizer):
     def column(self, text):
         return code_points(text)
 
+    def count(self, text):
+        return F.char_length(text)
+
 
 class Merges(Tokenizer):
     """Byte-pair encoding of whole texts with a vocabulary and an ordered list of
@@ -89,22 +97,27 @@ class Merges(Tokenizer):
     def _merge(self, text: str) -> str:
         if not text:
             raise IndexError("an empty text can't be encoded")
-        symbols = list(text)
-        while len(symbols) > 1:
-            ranked = [(self.ranks[p], p) for p in set(zip(symbols, symbols[1:])) if p in self.ranks]
-            if not ranked:
-                break
-            pair = min(ranked)[1]
-            out, k = [], 0
-            while k < len(symbols):
-                if tuple(symbols[k : k + 2]) == pair:
-                    out.append(symbols[k] + symbols[k + 1])
-                    k += 2
-                else:
-                    out.append(symbols[k])
-                    k += 1
-            symbols = out
-        return " ".join(symbols)
+        # the least rank first, then the leftmost; a pair that has changed since it was queued is stale
+        symbols, n = list(text), len(text)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        queue = [(self.ranks[p], k, p) for k, p in enumerate(zip(symbols, symbols[1:])) if p in self.ranks]
+        heapify(queue)
+        while queue:
+            rank, new = queue[0][0], []
+            while queue and queue[0][0] == rank:  # every occurrence of a pair before pairs that it makes
+                _, k, pair = heappop(queue)
+                right = after[k]
+                if right < 0 or symbols[k] is None or (symbols[k], symbols[right]) != pair:
+                    continue
+                symbols[k], symbols[right] = symbols[k] + symbols[right], None
+                after[k] = after[right]
+                if after[k] >= 0:
+                    before[after[k]] = k
+                new += [left for left in (before[k], k) if left >= 0]
+            for left in new:
+                if symbols[left] is not None and after[left] >= 0 and (p := (symbols[left], symbols[after[left]])) in self.ranks:
+                    heappush(queue, (self.ranks[p], left, p))
+        return " ".join(x for x in symbols if x is not None)
 
     def tokenize(self, text: str) -> list[str]:
         return self._cached(text).split(" ")

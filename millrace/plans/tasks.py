@@ -76,8 +76,9 @@ class TextTask(Task):
 
     def plan(self, df: DataFrame, order: Sequence[str] = ("idx",), value: str = "value", length_per_sample: int = 1024, ratio: float = 1.0, batch_size: int = 128) -> DataFrame:
         """(chunk, tokens)"""
-        rows = self.encode(ratio_cut(df, order, batch_size, ratio), value)
-        return pack_stream(rows, order, F.col("ids"), length_per_sample, self.tokenizer["</s>"])
+        rows = self.texts(ratio_cut(df, order, batch_size, ratio), value)
+        text = F.col("text")
+        return pack_stream(rows.select(*order, "text"), order, self.tokenizer.column(text), length_per_sample, self.tokenizer["</s>"], self.tokenizer.count(text))
 
 
 @register
@@ -102,19 +103,24 @@ class ImageTextTask(Task):
     def key(self, name: Column) -> Column:
         return basename_key(name)
 
+    def captioned(self, rows: DataFrame, captions: DataFrame | None, most_bytes: int = 32 << 20) -> DataFrame:
+        """``rows`` with the ``text`` of their ``key``; those without are dropped or kept with null.
+        Captions are broadcast up to so many bytes, 32 for each and those of its text."""
+        if captions is None:
+            captions = rows.sparkSession.createDataFrame([], "key string, text string")
+        size = captions.agg(F.sum(F.octet_length("text") + F.octet_length("key") + 32)).first()[0] or 0
+        return rows.join(F.broadcast(captions) if size <= most_bytes else captions, "key", "inner" if self.missing == "drop" else "left")
+
     def text_ids(self, text: Column) -> Column:
         ids = self.tokenizer.column(text)
         if self.newline is not None:
             ids = replace_id(ids, self.newline, self.fill)
         return pad_or_cut(ids, self.txt_len, self.fill, self.spare)
 
-    def plan(self, df: DataFrame, captions: DataFrame | None = None, order: Sequence[str] = ("file_ix", "idx"), ratio: float = 1.0, batch_size: int = 128, most_captions: int = 2_000_000) -> DataFrame:
+    def plan(self, df: DataFrame, captions: DataFrame | None = None, order: Sequence[str] = ("file_ix", "idx"), ratio: float = 1.0, batch_size: int = 128, most_caption_bytes: int = 32 << 20) -> DataFrame:
         """(full_filename, key, tokens) of rows (full_filename, content)."""
         rows = ratio_cut(df, order, batch_size, ratio).where(F.col("content").isNotNull()).withColumn("key", self.key(F.col("full_filename")))
-        if captions is None:
-            captions = df.sparkSession.createDataFrame([], "key string, text string")
-        side = F.broadcast(captions) if captions.limit(most_captions + 1).count() <= most_captions else captions
-        rows = rows.join(side, "key", "inner" if self.missing == "drop" else "left")
+        rows = self.captioned(rows, captions, most_caption_bytes)
         rows = rows.withColumn("text_ids", self.text_ids(F.coalesce("text", F.lit(""))))
         sizes, encode, decode, small = self.sizes, self.encode, self.decode, self.min_side
         mean, std = ((0.79093, 0.76271, 0.75340), (0.30379, 0.32279, 0.32800)) if self.standardise else ((0, 0, 0), (1, 1, 1))

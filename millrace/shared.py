@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
@@ -25,3 +25,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _own, ignore_errors=True)
         root = "file://" + _own
     return f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of the given ones that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = "_mr_" + name
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out

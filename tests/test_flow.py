@@ -36,6 +36,19 @@ def test_dense_index_and_offsets(spark):
     assert [x["idx"] for x in idx] == list(range(500))
 
 
+def test_offsets_with_far_keys_nulls_and_clashing_names(spark):
+    """One key far away doesn't put the others into one range; nulls come first."""
+    keys = [None, None, *range(200), 10**15]
+    df = spark.createDataFrame([(k, 1, 2) for k in keys], "k bigint, _mr_range int, _MR_weight int")
+    out = flow.running_offset(df, ["k"], F.lit(3).cast("long"))
+    assert out.columns == [*df.columns, "offset"]
+    rows = out.collect()
+    assert sorted(r["offset"] for r in rows) == [3 * k for k in range(203)]
+    assert sorted(r["offset"] for r in rows if r.k is None) == [0, 3] and {r.k: r["offset"] for r in rows if r.k is not None} == {k: 3 * (i + 2) for i, k in enumerate(keys[2:])}
+    assert flow.dense_index(df.limit(0), ["k"]).count() == 0
+    assert [r["idx"] for r in flow.dense_index(df.where("k = 5"), ["k"]).collect()] == [0]
+
+
 def test_shard_plans(spark):
     assert flow.shard_plan(list("abcd"), 2) == [(["a", "c"], 1, 0), (["b", "d"], 1, 0)]
     assert flow.shard_plan(list("abc"), 2) == [(list("abc"), 2, 0), (list("abc"), 2, 1)]
@@ -53,6 +66,17 @@ def test_pack(spark):
     assert [x["tokens"] for x in got] == [stream[k : k + 4] for k in range(0, len(stream) - 3, 4)]
 
 
+def test_pack_long_rows_nulls_and_counts(spark):
+    r = random.Random(3)
+    rows = [(k, None if k % 9 == 4 else [r.randrange(99) for _ in range(r.choice([0, 1, 7, 40]))]) for k in range(60)]
+    df = spark.createDataFrame(rows, "i bigint, ids array<int>")
+    stream = [x for _, ids in rows for x in [*(ids or []), 500]]
+    for count in (None, F.size("ids")):
+        got = flow.pack_stream(df, ["i"], F.col("ids"), 16, 500, count).orderBy("chunk").collect()
+        assert [x["tokens"] for x in got] == [stream[k : k + 16] for k in range(0, len(stream) - 15, 16)]
+    assert flow.pack_stream(df.limit(0), ["i"], F.col("ids"), 16, 500).count() == 0
+
+
 @pytest.mark.parametrize("n,parts", [(200, 5), (10, 3), (2, 4), (0, 2)])
 def test_split_parts(spark, n, parts):
     got = {r["part"]: r["count"] for r in flow.split_parts(spark.range(n), "id", parts).groupBy("part").count().collect()}
@@ -82,6 +106,35 @@ def test_merges_tokenizer(spark):
     assert get_tokenizer() is get_tokenizer(None)
 
 
+def test_merges_against_plain_merging():
+    """Every occurrence of the least pair at a time, as by the definition."""
+    r = random.Random(4)
+
+    def plain(text, ranks):
+        symbols = list(text)
+        while pairs := [p for p in zip(symbols, symbols[1:]) if p in ranks]:
+            a, b = min(pairs, key=ranks.get)
+            out, k = [], 0
+            while k < len(symbols):
+                both = symbols[k : k + 2] == [a, b]
+                out.append(a + b if both else symbols[k])
+                k += 1 + both
+            symbols = out
+        return symbols
+
+    for _ in range(200):
+        pieces = list("abc")
+        merges = []
+        for _ in range(8):
+            pair = (r.choice(pieces), r.choice(pieces))
+            if pair not in merges:
+                merges.append(pair)
+                pieces.append("".join(pair))
+        r.shuffle(merges)
+        text = "".join(r.choices("abc", k=r.randrange(1, 40)))
+        assert Merges({}, merges).tokenize(text) == plain(text, {m: k for k, m in enumerate(merges)})
+
+
 def test_text_task(spark):
     rows = [(0, "  hello "), (1, ""), (2, "x")]
     df = spark.createDataFrame(rows, "idx bigint, value string")
