@@ -7,8 +7,8 @@ accept it in a row is odd. For keys of the universe this is exact, and takes a
 few bits a key instead of the keys.
 
 Keys are split by hash into shards with a cascade each, built in parallel by
-one task a shard. Cascades of up to ``most_bytes`` in all are broadcast; beyond that rows are
-sent to the shard of their key.
+one task a shard. Cascades of up to ``most_bytes`` in all are broadcast; beyond that the
+distinct keys' hashes are sent to their shards, and the listed ones are joined to the rows.
 """
 
 import math
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import fits, fresh, keep
 
 #: Keys of the universe for each shard.
 SHARD_KEYS = 1_000_000
@@ -112,20 +112,23 @@ def _lookup(cascades: dict[int, list], shards: int):
     return run
 
 
-def _routed(names):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = np.ascontiguousarray(left.column("_mr_h").to_numpy()).view(np.uint64)
-        levels = _levels(right)
-        return left.select(names).append_column("listed", pa.array(member(keys, next(iter(levels.values()), []))))
+def _routed(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    """The listed ones of a shard's keys."""
+    h = left.column("h").combine_chunks()
+    levels = _levels(right)
+    return pa.table({"h": h.filter(pa.array(member(np.ascontiguousarray(h.to_numpy()).view(np.uint64), next(iter(levels.values()), []))))})
 
-    return run
+
+def _shard(h: str, shards: int):
+    """The unsigned hash modulo shards."""
+    return F.expr(f"cast(cast({h} as decimal(20)) + if({h} < 0, 18446744073709551616BD, 0BD) as decimal(20)) % {shards}").cast("int")
 
 
 def cascade(universe: DataFrame, listed: DataFrame, shards: int) -> DataFrame:
     """(shard, level, m, k, bits) over one-column tables of string keys."""
     u, l = universe.columns[0], listed.columns[0]
     keys = universe.select(F.xxhash64(u).alias("h"), F.lit(False).alias("listed"), F.col(u).alias("key")).union(listed.select(F.xxhash64(l), F.lit(True), F.col(l))).where("key is not null")
-    keys = keys.groupBy("h").agg(F.max("listed").alias("listed")).withColumn("shard", F.expr(f"cast(cast(h as decimal(20)) + if(h < 0, 18446744073709551616BD, 0BD) as decimal(20)) % {shards}").cast("int"))
+    keys = keys.groupBy("h").agg(F.max("listed").alias("listed")).withColumn("shard", _shard("h", shards))
     return keep(keys.groupBy("shard").applyInArrow(_build, "shard int, level int, m long, k int, bits binary"), "cascade")
 
 
@@ -135,19 +138,22 @@ def mark_listed(rows: DataFrame, key: str, listed: DataFrame, most_bytes: int =
     The universe is all keys of ``rows``, so the answer is exact up to equal
     64-bit hashes. Defined cases: a null key isn't listed; null listed keys are
     ignored; listed keys that no row has only take space; without listed keys
-    nothing is listed; a column named listed is replaced; repeated rows stay. An
-    empty table gives an empty table.
+    nothing is listed; a column named listed is replaced, all others pass through
+    whatever their names; repeated rows stay. An empty table gives an empty table.
     """
     own = rows.drop("listed")
     universe = own.select(key).distinct()
     shards = max(1, -(-own.select(F.approx_count_distinct(key)).first()[0] // shard_keys))
     filters = cascade(universe, listed, shards)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", listed boolean"
-    hashed = own.withColumn("_mr_h", F.when(F.col(key).isNotNull(), F.xxhash64(key)))
+    (name,) = fresh(own, "h")
+    hashed = own.withColumn(name, F.when(F.col(key).isNotNull(), F.xxhash64(key)))
     total = filters.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
     if total <= most_bytes:
         return hashed.mapInArrow(_lookup(_levels(filters.toArrow()), shards), schema)
-    shard = F.expr(f"cast(cast(_mr_h as decimal(20)) + if(_mr_h < 0, 18446744073709551616BD, 0BD) as decimal(20)) % {shards}").cast("int")
-    some = hashed.where("_mr_h is not null").withColumn("shard", shard)
-    out = some.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_routed(own.columns), schema)
-    return out.unionByName(hashed.where("_mr_h is null").drop("_mr_h").withColumn("listed", F.lit(False)))
+    # only distinct keys go to the shards; the listed ones come back to the rows
+    keys = universe.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")).distinct().withColumn("shard", _shard("h", shards))
+    found = keep(keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_routed, "h long"), "listed").withColumnRenamed("h", name)
+    found = found.withColumn("listed", F.lit(True))
+    out = hashed.join(F.broadcast(found) if fits(found, 16) else found, name, "left")
+    return out.select(*own.columns, F.coalesce("listed", F.lit(False)).alias("listed"))

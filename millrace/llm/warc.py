@@ -9,6 +9,7 @@ complete, so a lost or repeated task leaves no half file.
 """
 
 import hashlib
+import re
 import uuid
 import zlib
 from datetime import datetime, timezone
@@ -100,6 +101,8 @@ def normalise_file(raw, out, level: int = 6):
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
         head.append(b"\r\n")
+        if not fields.get("content-length", "").isdigit():
+            raise ValueError(f"record {n} has no Content-Length")
         size = int(fields["content-length"])
         z, length, digest, http, held, body = zlib.compressobj(level, zlib.DEFLATED, 31), 0, hashlib.md5(), fields.get("content-type", "").startswith("application/http"), b"", 0
         data = z.compress(b"".join(head))
@@ -128,6 +131,12 @@ def normalise_file(raw, out, level: int = 6):
         n += 1
 
 
+def member_name(path: str) -> str:
+    """The new file's name: the old one's with a hash of the whole path, so that files of one name in two folders stay apart."""
+    base = path.rstrip("/").rsplit("/", 1)[-1]
+    return f"{hashlib.md5(path.encode()).hexdigest()[:16]}-{base}"
+
+
 def _normalise(target, level):
     def run(it):
         for batch in it:
@@ -135,7 +144,7 @@ def _normalise(target, level):
                 fs, path = open_fs(source)
                 to_fs, to = open_fs(target)
                 to_fs.create_dir(to, recursive=True)
-                base = path.rsplit("/", 1)[1]
+                base = member_name(path)
                 final, part = f"{to}/{base}", f"{to}/.{base}.{uuid.uuid4().hex}"
                 rows = []
                 with fs.open_input_stream(path, compression=None) as raw, to_fs.open_output_stream(part, compression=None) as out:
@@ -162,10 +171,14 @@ def normalise(spark: SparkSession, sources: list[str], target: str, level: int =
 
     Defined cases: files that already have several members, zero padding between
     members, and files without a record are read the same way; a stream or a
-    record that is cut off is an error, and nothing appears under the final name.
-    Records keep their bytes, headers of repeated and unknown fields included.
-    Files must differ in base name.
+    record that is cut off, a record that doesn't begin with WARC/ and one
+    without a Content-Length are errors, and nothing appears under the final
+    name. Records keep their bytes, headers of repeated and unknown fields
+    included. New names hold a hash of the source's path; a source that is given
+    twice is an error.
     """
+    if len(set(sources)) < len(sources):
+        raise ValueError("a source is given twice")
     if not sources:
         return spark.createDataFrame([], INDEX)
     files = spark.createDataFrame([(s,) for s in sources], "source string").repartition(len(sources))
@@ -226,13 +239,23 @@ def _read(it):
             out.append(record)
         if f is not None:
             f.close()
-        bodies = [r.split(b"\r\n\r\n", 2)[2][:-4] for r in out]
-        yield pa.RecordBatch.from_pydict({"uri": pa.array([r["uri"] for r in rows], pa.string()), "record_id": pa.array([r["record_id"] for r in rows], pa.string()), "html": pa.array([b.decode("utf-8", "replace") for b in bodies], pa.string())})
+        yield pa.RecordBatch.from_pydict({name: pa.array([r[name] for r in rows], pa.string()) for name in ("type", "uri", "record_id")} | {"payload": pa.array([payload(r) for r in out], pa.binary())})
+
+
+def payload(record: bytes) -> bytes:
+    """A record's block; of an HTTP message what follows its header, as for the index's digest."""
+    end = re.search(rb"\r?\n\r?\n", record)
+    fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(b":") for x in record[: end.start()].split(b"\n")))
+    block = record[end.end() : end.end() + int(fields[b"content-length"])]
+    if not fields.get(b"content-type", b"").startswith(b"application/http"):
+        return block
+    head, blank, body = block.partition(b"\r\n\r\n")
+    return body if blank else head
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """(uri, record_id, html) of the index's records, each by one seek."""
-    return index.select("file", "offset", "length", "uri", "record_id").mapInArrow(_read, "uri string, record_id string, html string")
+    """(type, uri, record_id, payload) of the index's records of any type, each by one seek; payloads are bytes."""
+    return index.select("file", "offset", "length", "type", "uri", "record_id").mapInArrow(_read, "type string, uri string, record_id string, payload binary")
 
 
 def pages_round_trip(pages: DataFrame) -> DataFrame:
@@ -246,4 +269,4 @@ def pages_round_trip(pages: DataFrame) -> DataFrame:
     base = folder(spark, "warc")
     index = normalise(spark, write_monolithic(pages, f"{base}/monolithic"), f"{base}/members")
     back = read_records(index)
-    return back.select(F.regexp_extract("record_id", r"<urn:page:(-?\d+)>", 1).cast("long").alias("page_id"), F.col("uri").alias("url"), F.octet_length("html").cast("long").alias("html_bytes"), F.md5(F.col("html").cast("binary")).alias("html_md5"))
+    return back.select(F.regexp_extract("record_id", r"<urn:page:(-?\d+)>", 1).cast("long").alias("page_id"), F.col("uri").alias("url"), F.octet_length("payload").cast("long").alias("html_bytes"), F.md5("payload").alias("html_md5"))

@@ -1,6 +1,7 @@
 """Models, filters, codecs and files: exact round trips and held-out accuracy."""
 
 import gzip
+import hashlib
 import io
 import random
 import zlib
@@ -256,3 +257,35 @@ def test_warc_pages(spark, tmp_path):
     index = warc.normalise(spark, files, target)
     side = spark.read.parquet(f"{target}/*.idx.parquet")
     assert side.exceptAll(index).count() == 0 and side.count() == index.count() == 6 and warc.normalise(spark, [], target).count() == 0
+
+
+def test_warc_records_of_other_types(spark, tmp_path):
+    """Bytes come back as they were; files of one name in two folders stay apart."""
+    raw = bytes(range(256)) + b"\r\n\r\n" + bytes(range(255, -1, -1))
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + raw
+    records = [("warcinfo", "application/warc-fields", b"software: x\r\n"), ("resource", "image/png", raw), ("response", "application/http; msgtype=response", http), ("metadata", "", b"")]
+    sources = []
+    for k in range(2):
+        (tmp_path / f"in{k}").mkdir()
+        body = b"".join(b"WARC/1.0\r\nWARC-Type: %s\r\nContent-Type: %s\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (t.encode(), c.encode(), k, len(b), b) for t, c, b in records)
+        (tmp_path / f"in{k}" / "a.warc.gz").write_bytes(gzip.compress(body))
+        sources.append(str(tmp_path / f"in{k}" / "a.warc.gz"))
+    index = warc.normalise(spark, sources, str(tmp_path / "out"))
+    assert index.select("file").distinct().count() == 2
+    got = sorted((r.record_id, r.type, bytes(r.payload)) for r in warc.read_records(index).collect())
+    assert got == sorted((f"<{k}>", t, raw if t == "response" else b) for k in range(2) for t, _, b in records)
+    assert {(r.payload_bytes, r.payload_md5) for r in index.collect()} == {(len(x), hashlib.md5(x).hexdigest()) for x in (b"software: x\r\n", raw, b"")}
+    with pytest.raises(ValueError):
+        warc.normalise(spark, sources[:1] * 2, str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="Content-Length"):
+        list(warc.normalise_file(io.BytesIO(gzip.compress(b"WARC/1.0\r\nWARC-Type: x\r\n\r\n")), io.BytesIO()))
+
+
+@pytest.mark.parametrize("options", [{}, {"most_bytes": 0, "shard_keys": 3}])
+def test_listed_with_clashing_names(spark, options):
+    rows = spark.createDataFrame([(k % 7, "s", k, "x", None) for k in range(21)] + [(None, "s", 1, "x", True)], "key int, shard string, _mr_h int, H string, listed boolean").withColumn("key", F.col("key").cast("string"))
+    listed = spark.createDataFrame([("3",), ("5",), (None,), ("99",)], "key string")
+    out = url_filter.mark_listed(rows, "key", listed, **options)
+    assert out.columns == ["key", "shard", "_mr_h", "H", "listed"]
+    got = sorted((r.key or "", r["_mr_h"], r.listed) for r in out.collect())
+    assert got == sorted([(str(k % 7), k, k % 7 in (3, 5)) for k in range(21)] + [("", 1, False)])
