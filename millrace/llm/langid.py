@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -18,8 +18,9 @@ from .store import fits, keep
 
 #: The fit reads at most so many labelled documents of each language.
 PER_LANGUAGE = 2000
-#: The model keeps the most frequent words and n-grams, so its size is bounded.
-MOST_WORDS, MOST_GRAMS = 200_000, 100_000
+#: The model keeps the most frequent words and n-grams of each language, so its size is bounded by the
+#: number of languages, and no language's words push out another's.
+MOST_WORDS, MOST_GRAMS = 100_000, 50_000
 LONGEST = 5
 PENALTY = 0.5
 
@@ -78,24 +79,43 @@ def _counts(it):
                 yield pa.RecordBatch.from_pydict({"kind": np.full(len(key), kind, np.int32), "lang": np.full(len(key), k, np.int32), "key": key.view(np.int64), "n": count})
 
 
+def spark_map(of: dict[str, tuple[int, float]]) -> dict:
+    """Columns k and part of a row's ``lang``."""
+    maps = [F.create_map(*[F.lit(x) for name, v in of.items() for x in (name, v[at])]) for at in (0, 1)]
+    return {"k": maps[0][F.col("lang")], "part": maps[1][F.col("lang")]}
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
     """A model from at most ``per_language`` documents of each value of ``lang``,
-    those with the least hashes of their ids; null languages are left out."""
-    languages = sorted(r[0] for r in docs.select("lang").where("lang is not null").distinct().collect())
+    those with the least hashes of their ids, and from at most ``most_words``
+    words and ``most_grams`` n-grams of each language, the most frequent ones.
+
+    Rows without a language, doc_id or text are left out; so are all rows of a
+    sampled doc_id that another language has as well, but those of the language
+    that comes first in alphabetical order. Rows that repeat a doc_id within a
+    language all count. Without languages the model has none.
+    """
+    some = docs.where("lang is not null and doc_id is not null and text is not null")
+    sizes = {r[0]: r[1] for r in some.groupBy("lang").count().collect()}
+    languages = sorted(sizes)
     if not languages:
         return Model([], np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0, np.uint64), np.empty((0, 0)))
-    picked = None
-    for k, name in enumerate(languages):
-        some = docs.where(F.col("lang") == name).select("doc_id", F.lit(k).alias("k")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        picked = some if picked is None else picked.union(some)
-    picked = keep(picked.where("doc_id is not null").dropDuplicates(["doc_id"]), "language-sample")
+    # ids below a hash that about twice as many are below as are wanted, then the least of those
+    parts = spark_map({name: (k, min(1.0, 2 * per_language / sizes[name])) for k, name in enumerate(languages)})
+    below = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < parts["part"] * (1 << 40)
+    few = some.select("doc_id", parts["k"].alias("k"), below.alias("below")).where("below").select("doc_id", "k").distinct()
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id"))
+    picked = few.withColumn("rank", rank).where(F.col("rank") <= per_language)
+    picked = keep(picked.groupBy("doc_id").agg(F.min("k").alias("k")), "language-sample")
     side = F.broadcast(picked) if fits(picked, 16) else picked
-    counts = docs.select("doc_id", "text").join(side, "doc_id").select("text", F.col("k").cast("int")).mapInArrow(_counts, "kind int, lang int, key long, n long")
+    counts = some.select("doc_id", "text", parts["k"].alias("own")).join(side, "doc_id").where("own = k").select("text", F.col("k").cast("int")).mapInArrow(_counts, "kind int, lang int, key long, n long")
     counts = keep(counts.groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")), "language-counts")
 
     def top(kinds, most):
-        total = counts.where(F.col("kind").isin(kinds)).groupBy("kind", "key").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "kind", "key").limit(most)
-        rows = counts.join(total, ["kind", "key"]).select("key", "lang", "n").toArrow()
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "kind", "key"))
+        some = counts.where(F.col("kind").isin(kinds))
+        total = some.withColumn("rank", rank).where(F.col("rank") <= most).select("kind", "key").distinct()
+        rows = some.join(total, ["kind", "key"]).select("key", "lang", "n").toArrow()
         key, at = np.unique(rows.column("key").to_numpy().view(np.uint64), return_inverse=True)
         n = np.zeros((len(key), len(languages)))
         np.add.at(n, (at, rows.column("lang").to_numpy()), rows.column("n").to_numpy())

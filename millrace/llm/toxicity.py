@@ -10,15 +10,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .samples import labelled, skew
+from .store import keep
 
 BITS = 20
-#: The most labelled documents of each class that the fit reads.
-PER_CLASS = 6000
+#: The most labelled documents of each class that the fit reads, and the most bytes of their features (4 bytes each).
+PER_CLASS, CLASS_BYTES = 6000, 24 << 20
 
 
 @dataclass(frozen=True)
@@ -100,12 +101,24 @@ def best_threshold(score: np.ndarray, y: np.ndarray, negatives: float = 1.0) ->
     return float((s[k] + s[k + 1]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """A model from at most 2 x ``per_class`` labelled documents."""
-    rows = labelled(docs, labels, "toxic", per_class).mapInArrow(_examples, "doc_id long, y int, x binary").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending")])
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model:
+    """A model from at most ``per_class`` labelled documents of each class, and of
+    those as many in the order of their ids' hashes as have ``class_bytes`` of
+    features (one at least).
+
+    Null labels, ids and texts are left out; of repeated labels the largest
+    holds; each row of a repeated doc_id is an example. Labels of one class only,
+    or none, give a model whose threshold is 0; without examples every text
+    scores 0 and none is toxic. The rows' order doesn't matter.
+    """
+    rows = keep(labelled(docs, labels, "toxic", per_class).mapInArrow(_examples, "doc_id long, y int, x binary"), "toxic-examples")
+    by = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x"))
+    before = F.coalesce(F.sum(F.octet_length("x")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # at most per_class ids a class, each with its rows
+    some = rows.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.octet_length("x") <= class_bytes)).select("doc_id", "y", "x").toArrow()
+    found = sorted(zip(some.column("doc_id").to_pylist(), some.column("x").to_pylist(), some.column("y").to_pylist()))
     ratio = skew(labels, "toxic", per_class, rare=1)
-    return ftrl([(np.frombuffer(x, np.int32), y) for x, y in zip(rows.column("x").to_pylist(), rows.column("y").to_pylist())], negatives=ratio)
+    return ftrl([(np.frombuffer(x, np.int32), y) for _, x, y in found], negatives=ratio)
 
 
 def _scores(model: Model):
