@@ -14,6 +14,7 @@ from .operators.tokenizers import get_tokenizer
 from .operators.vision import patch_codes
 from .plans import tasks  # noqa: F401  (registers the tasks)
 from .plans.catalog import Catalog
+from .plans.monitor import watched
 from .plans.tasks import ImageTextTask, TextTask
 from .ship import ship
 from .sources.archives import DTYPES, SOURCES, register
@@ -42,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("task_id")
     p.add_argument("--description", default="")
     p.add_argument("--task_type", required=True)
-    p.add_argument("--saver_type", required=True, choices=SAVERS)
+    p.add_argument("--saver_type", required=True, help="binary, tar or a registered sink")
     p.add_argument("--length_per_sample", type=int, default=1089, help="values in a sample")
     p.add_argument("--img_sizes", type=int, nargs="+", default=[256])
     p.add_argument("--txt_len", type=int, default=64)
@@ -63,11 +64,41 @@ def parser() -> argparse.ArgumentParser:
 
 
 def check(args) -> None:
-    """Names must be registered."""
-    if args.command in ("create_dataset", "data") and args.data_format not in (*SOURCES, "txt"):
-        raise SystemExit(f"data_format {args.data_format!r} isn't one of {', '.join([*SOURCES, 'txt'])}")
-    if args.command in ("create_task", "task") and args.task_type not in registry.names():
-        raise SystemExit(f"task_type {args.task_type!r} isn't one of {', '.join(registry.names())}")
+    """Names must be built in or registered, by the extra code for instance."""
+    wanted = []
+    if args.command in ("create_dataset", "data"):
+        wanted = [("data_format", args.data_format, [*SOURCES, "txt", *registry.sources()])]
+    elif args.command in ("create_task", "task"):
+        wanted = [("task_type", args.task_type, registry.tasks()), ("saver_type", args.saver_type, [*SAVERS, *registry.sinks()])]
+    for what, name, known in wanted:
+        if name not in known:
+            raise SystemExit(f"{what} {name!r} isn't one of {', '.join(known)}")
+
+
+def read_members(spark, data_format: str, files: list[str]):
+    """Members of files in a built-in or a registered format."""
+    if data_format in registry.sources():
+        cls = registry.registered(data_format)
+        spark.dataSource.register(cls)
+        data_format = cls.name()
+    return spark.read.format(data_format).load(",".join(files))
+
+
+def save(spark, samples, saver: str, info: dict, options: dict, folder: str) -> None:
+    """Part files of a dataset's samples in the task's folder."""
+    if saver in registry.sinks():
+        cls = registry.registered(saver)
+        if issubclass(cls, registry.Sink):
+            return cls().save(samples, folder, options)
+        spark.dataSource.register(cls)
+        samples.write.format(cls.name()).option("dtype", options["dtype"]).mode("overwrite").save(folder + "/parts")
+    elif saver == "tar":
+        samples.select("full_filename", "content").write.format("tar").option("prefix", f"{info['name']}.tar.part").option("suffix", ".samples").mode("overwrite").save(folder + "/parts")
+    else:
+        samples.write.format("fixedbin").option("dtype", options["dtype"]).option("prefix", f"{info['name']}.bin.part").mode("overwrite").save(folder + "/parts")
+    for name in sorted(os.listdir(folder + "/parts")):
+        os.replace(f"{folder}/parts/{name}", f"{folder}/{name}")
+    os.rmdir(folder + "/parts")
 
 
 def run_task(spark, base):
@@ -81,7 +112,7 @@ def run_task(spark, base):
             lines = read_lines(spark, files).withColumn("idx", F.monotonically_increasing_id())
             samples = cls(get_tokenizer(options["model_path"] or None), options["text_format"]).plan(lines, ["idx"], length_per_sample=options["length_per_sample"], ratio=options.get("ratio", 1.0), batch_size=options.get("batch_size", 128)).orderBy("chunk").select("tokens")
         else:
-            members = spark.read.format(info["data_format"]).load(",".join(files))
+            members = read_members(spark, info["data_format"], files)
             if issubclass(cls, ImageTextTask):
                 if not options["model_path"].endswith(".npy"):
                     raise ValueError("model_path must be a codebook in a .npy file")
@@ -90,13 +121,8 @@ def run_task(spark, base):
                 samples = task.plan(members, captions, ratio=options.get("ratio", 1.0)).orderBy("full_filename").select("tokens")
             else:
                 samples = cls().plan(members, captions)
-        if options["saver_type"] == "tar":
-            samples.select("full_filename", "content").write.format("tar").option("prefix", f"{info['name']}.tar.part").option("suffix", ".samples").mode("overwrite").save(folder + "/parts")
-        else:
-            samples.write.format("fixedbin").option("dtype", options["dtype"]).option("prefix", f"{info['name']}.bin.part").mode("overwrite").save(folder + "/parts")
-        for name in sorted(os.listdir(folder + "/parts")):
-            os.replace(f"{folder}/parts/{name}", f"{folder}/{name}")
-        os.rmdir(folder + "/parts")
+        with watched(spark, folder, info["name"]):
+            save(spark, samples, options["saver_type"], info, options, folder)
 
     return run
 
@@ -123,6 +149,8 @@ def main(argv: list[str] | None = None) -> int:
         from pyspark.sql import SparkSession
 
         spark = register(ship(SparkSession.builder.appName("millrace").getOrCreate()))
+        if args.extra_code:
+            spark.sparkContext.addPyFile(args.extra_code)
         done = catalog.process(args.task_id, run_task(spark, args.base), args.datasets, batch_size=args.batch_size, ratio=args.ratio)
         print(*done, sep="\n")
     return 0

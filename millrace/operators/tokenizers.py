@@ -68,6 +68,16 @@ class CodePoints(Tokenizer):
         return F.char_length(text)
 
 
+class VocabularyOnly(Tokenizer):
+    """A vocabulary's size, for layouts of ids; it encodes nothing."""
+
+    def __init__(self, vocab_size: int):
+        self.vocab_size = vocab_size
+
+    def __len__(self) -> int:
+        return self.vocab_size
+
+
 class Merges(Tokenizer):
     """Byte-pair encoding of whole texts with a vocabulary and an ordered list of
     merges, spaces included; an unknown token is id 1, and a text is an error if

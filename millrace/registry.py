@@ -5,9 +5,11 @@ from __future__ import annotations
 import importlib.util
 import os
 import sys
+from abc import ABC, abstractmethod
 from types import ModuleType
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource
 
 _REGISTERED: dict[str, type] = {}
 
@@ -29,6 +31,33 @@ def names() -> list[str]:
     return sorted(_REGISTERED)
 
 
+class Sink(ABC):
+    """The base of user-defined sinks that aren't Spark data sources.
+
+    ``save`` writes samples below a folder, as files that end in ``suffix`` and
+    appear under their final names only when complete.
+    """
+
+    suffix = ".samples"
+
+    @abstractmethod
+    def save(self, samples: DataFrame, folder: str, options: dict) -> None: ...
+
+
+def sources() -> list[str]:
+    """Registered classes that can be read from."""
+    return [n for n in names() if issubclass(_REGISTERED[n], DataSource)]
+
+
+def sinks() -> list[str]:
+    """Registered classes that can be written to."""
+    return [n for n in names() if issubclass(_REGISTERED[n], (DataSource, Sink))]
+
+
+def tasks() -> list[str]:
+    return [n for n in names() if n not in sinks()]
+
+
 def load_code(path: str, spark: SparkSession | None = None) -> ModuleType:
     """Run a Python file, with its folder importable; send it to the executors."""
     folder = os.path.dirname(os.path.abspath(path))
