@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .store import fits, keep
+from .store import fits, fresh, keep
 
 N = 5
 THRESHOLD = 0.5
@@ -148,7 +148,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: f
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, most_bytes: int = 64 << 20) -> DataFrame:
-    """The documents that contain no benchmark item, with their columns."""
-    gone = keep(_matches(docs, benchmark, n, threshold, most_bytes).select(F.col("dk").alias("_mr_dk")).distinct(), "contaminated-ids")
+    """The documents that contain no benchmark item, with their columns, whatever their names."""
+    (name,) = fresh(docs, "dk")
+    gone = keep(_matches(docs, benchmark, n, threshold, most_bytes).select(F.col("dk").alias(name)).distinct(), "contaminated-ids")
     side = F.broadcast(gone) if fits(gone, 16) else gone
-    return docs.withColumn("_mr_dk", F.xxhash64("doc_id", "text")).join(side, "_mr_dk", "left_anti").select(*docs.columns)
+    return docs.join(side, F.xxhash64(docs["doc_id"], docs["text"]) == gone[name], "left_anti")

@@ -90,10 +90,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_words: int = MOS
     those with the least hashes of their ids, and from at most ``most_words``
     words and ``most_grams`` n-grams of each language, the most frequent ones.
 
-    Rows without a language, doc_id or text are left out; so are all rows of a
-    sampled doc_id that another language has as well, but those of the language
-    that comes first in alphabetical order. Rows that repeat a doc_id within a
-    language all count. Without languages the model has none.
+    Rows without a language, doc_id or text are left out. A doc_id that is in two
+    languages' samples counts for the one that comes first in alphabetical order;
+    rows that repeat a doc_id within a language all count. Without languages the model has none.
     """
     some = docs.where("lang is not null and doc_id is not null and text is not null")
     sizes = {r[0]: r[1] for r in some.groupBy("lang").count().collect()}

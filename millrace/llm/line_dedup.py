@@ -2,7 +2,7 @@
 
 Lines are normalised (lower case, words joined by one space) and compared
 across all documents. Equal normalised lines belong together. Others are
-candidates where they share a key and their 128-bit SimHashes are near;
+candidates where they share a key and their 256-bit SimHashes are near;
 candidates are verified by edit similarity of the whole normalised lines,
 character by character, connected groups are formed, and one occurrence of each
 group stays: the least (doc_id, line number).
@@ -45,8 +45,8 @@ SIMILARITY = 0.9
 FUZZY_BYTES = 0
 #: From which length on of the longer line a class of keys holds. The last has no end.
 CLASSES = (10, 20, 30, 48, 96, 192)
-#: Characters from which on candidates' 128-bit SimHashes must be near. Bits that may differ are
-#: 50 at this length and 5 less for each doubling (16 at least): 0.98 of random edits at 0.9 stay below.
+#: Characters from which on candidates' 256-bit SimHashes must be near. Bits that may differ are 87
+#: at this length and 8 less for each doubling, 24 at least: 0.985 of random edits at 0.9 stay below.
 _SKETCHED = 48
 #: Lines of a run all of whose pairs are candidates at once.
 SHORT_RUN = 8
@@ -56,10 +56,10 @@ _table: np.ndarray | None = None
 
 
 def _signs() -> np.ndarray:
-    """4096 random rows of 128 one-byte 0/1 lanes."""
+    """4096 random rows of 256 one-byte 0/1 lanes."""
     global _table
     if _table is None:
-        _table = np.random.default_rng(20240229).integers(0, 2, size=(4096, 128), dtype=np.uint8)
+        _table = np.random.default_rng(20240229).integers(0, 2, size=(4096, 256), dtype=np.uint8)
     return _table
 
 
@@ -71,7 +71,7 @@ def gram_size(lines: int) -> int:
 def class_grams(kind: int, size: int) -> tuple[int, int]:
     """Characters of a gram of a class, and grams a line (0: all)."""
     k = min(size, (0, 8, 10, 13, 16, size)[kind])
-    return k, 0 if kind < 3 else 32 if kind == 3 else max(16, math.ceil(k * k / 11))
+    return k, 0 if kind < 3 else 32 if kind == 3 else max(16, math.ceil(k * k / (8 if kind == 4 else 11)))
 
 
 def gather(chars: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,12 +122,12 @@ def least_grams(h: np.ndarray, row: np.ndarray, rows: int, most: int) -> tuple[n
 
 
 def simhash(chars: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """(lines, 2) words: each line's 128-bit SimHash of its 4-character grams; 0 where it has none."""
+    """(lines, 4) words: each line's 256-bit SimHash of its 4-character grams; 0 where it has none."""
     rows = len(begin) - 1
-    total = np.zeros((rows, 128), np.int32)
+    total = np.zeros((rows, 256), np.int32)
     n = np.maximum(np.diff(begin) - 3, 0)
     if not n.any():
-        return np.zeros((rows, 2), np.uint64)
+        return np.zeros((rows, 4), np.uint64)
     c = chars.astype(np.uint32)
     h = c[:-3] * np.uint32(0x9E3779B1) + c[1:-2] * np.uint32(0x85EBCA77) + c[2:-1] * np.uint32(0xC2B2AE3D) + c[3:] * np.uint32(0x27D4EB2F)
     h ^= h >> np.uint32(15)
@@ -144,10 +144,10 @@ def simhash(chars: np.ndarray, begin: np.ndarray) -> np.ndarray:
         size = b - a
         at = np.cumsum(size) - size
         places = np.arange(int(size.sum())) + np.repeat(a - at, size)
-        lanes = np.add.reduceat(signs[feature[places]], at, axis=0).view(np.uint8).reshape(len(a), 128)
+        lanes = np.add.reduceat(signs[feature[places]], at, axis=0).view(np.uint8).reshape(len(a), 256)
         here, first = np.unique(own, return_index=True)
         total[here] += np.add.reduceat(lanes.astype(np.int32), first, axis=0)
-    return np.packbits(2 * total > n[:, None], axis=1).view(np.uint64).reshape(rows, 2)
+    return np.packbits(2 * total > n[:, None], axis=1).view(np.uint64).reshape(rows, 4)
 
 
 def line_keys(chars: np.ndarray, first: np.ndarray, size: int):
@@ -230,22 +230,34 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), begins[offsets]
 
 
+def length_code(n: np.ndarray) -> np.ndarray:
+    """A byte that grows by one for each 4 percent of length."""
+    return np.minimum(255, np.floor(np.log(np.maximum(n, 1)) / math.log(1.04))).astype(np.uint8)
+
+
+def code_gap(similarity: float) -> int:
+    """By how much the codes of like lines may differ."""
+    return math.ceil(-math.log(similarity) / math.log(1.04)) if 0 < similarity else 255
+
+
 def _to_keys(size: int, parts: int):
-    def flush(h, key):
+    def flush(h, key, code):
         part = (key % K.U64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
-        short, h = np.ascontiguousarray((key[order] >> K.U64(40)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]), h[order]
+        short, h, code = (key[order] >> K.U64(32)).astype(np.uint32), h[order], code[order]
         for p in range(0, parts, 256):
             some = [q for q in range(p, min(parts, p + 256)) if ends[q] < ends[q + 1]]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in (("key", short), ("hs", h))})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in (("key", short), ("hs", h), ("codes", code))})
 
     def run(it):
         held, n = [], 0
         for batch, data, offsets in K.batches(it, "norm", lower=False):
             h = K.ints(batch, "h")
-            for line, key in line_keys(*code_points(data, offsets), size):
-                held.append((h[line], key))
+            chars, first = code_points(data, offsets)
+            code = length_code(np.diff(first))
+            for line, key in line_keys(chars, first, size):
+                held.append((h[line], key, code[line]))
                 n += len(line)
             if n >= 2_000_000:
                 yield from flush(*(np.concatenate(x) for x in zip(*held)))
@@ -256,25 +268,26 @@ def _to_keys(size: int, parts: int):
     return run
 
 
-def _runs(short_run: int, block: int):
-    """Pairs (a, b) of short runs; lines (a) of long runs with the run and the block of the run that has them."""
+def _runs(gap: int, short_run: int, block: int):
+    """Pairs (a, b) of short runs; lines (a) of long runs with the run and the block of the run that has them.
+
+    A run is what shares a key without a step in length that is too large for a pair.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        raw, h = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("key", np.uint8), ("hs", np.int64)))
-        key = np.zeros((len(h), 4), np.uint8)
-        key[:, :3] = raw.reshape(-1, 3)
-        key = key.view(np.uint32).ravel()
-        order = np.lexsort((h, key))
-        key, h = key[order], h[order]
+        key, h, code = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("key", np.uint32), ("hs", np.int64), ("codes", np.uint8)))
+        order = np.lexsort((h, code, key))
+        key, h, code = key[order], h[order], code[order].astype(np.int64)
         new = np.ones(len(h), bool)
         new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
-        key, h = key[new], h[new]
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key, h, code = key[new], h[new], code[new]
+        begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (code[1:] - code[:-1] > gap)))
         size = np.diff(np.append(begin, len(key)))
+        number = np.repeat(np.arange(len(size)), size)
         a, b = [], []
         for step in range(1, min(short_run, len(key))):
             some = np.repeat((size > step) & (size <= short_run), size)
-            at = np.flatnonzero(some[: len(key) - step] & (key[: len(key) - step] == key[step:]))
+            at = np.flatnonzero(some[:-step] & (number[:-step] == number[step:]) & (code[step:] - code[:-step] <= gap))
             a.append(h[at])
             b.append(h[at + step])
         a, b = (np.concatenate(x or [h[:0]]) for x in (a, b))
@@ -301,54 +314,88 @@ def _sketches(it):
     for batch, data, offsets in K.batches(it, "norm", lower=False):
         chars, begin = code_points(data, offsets)
         n = np.diff(begin)
-        two = simhash(chars, begin).view(np.int64)
-        yield pa.RecordBatch.from_pydict({"h": batch.column(0), "n": n.astype(np.int32), "s": two[:, 0], "t": two[:, 1]})
+        four = simhash(chars, begin).view(np.int64)
+        yield pa.RecordBatch.from_pydict({"h": batch.column(0), "n": n.astype(np.int32)} | {w: np.ascontiguousarray(four[:, k]) for k, w in enumerate(_WORDS)})
 
 
-def differing(s, t, a, b) -> np.ndarray:
-    """Bits in which the SimHashes of pairs of places differ."""
-    return np.bitwise_count(s[a] ^ s[b]).astype(np.int64) + np.bitwise_count(t[a] ^ t[b])
+_WORDS = ("s0", "s1", "s2", "s3")
 
 
-def near(n, s, t, a, b, similarity: float) -> np.ndarray:
-    """Which pairs of places are candidates by length and SimHash."""
-    long = np.maximum(n[a], n[b])
-    most = np.maximum(16, np.floor(50 - 5 * np.log2(np.maximum(long, 1) / _SKETCHED)))
-    return (long - np.minimum(n[a], n[b]) <= np.floor(long * (1 - similarity) + 1e-9)) & ((long < _SKETCHED) | (differing(s, t, a, b) <= most))
+def most_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the SimHash in which candidates whose longer line has n characters may differ."""
+    return np.where(n < _SKETCHED, 256, np.maximum(24, np.floor(87 - 8 * np.log2(np.maximum(n, 1) / _SKETCHED)))).astype(np.int32)
 
 
-def _columns(table, *names):
-    """Columns of a table; the SimHash's words s and t as bits, not numbers."""
-    out = [table.column(c).to_numpy() for c in names]
-    return [x.view(np.uint64) if c in ("s", "t") else x for c, x in zip(names, out)]
+class Lines:
+    """Lengths and SimHashes of some lines, to ask which pairs of places are candidates."""
 
+    def __init__(self, n: np.ndarray, words: list[np.ndarray], similarity: float):
+        self.n = n.astype(np.int32)
+        self.words = [x.view(np.uint64) for x in words]
+        # both fall or grow with the length, so the longer line's are the pair's
+        self.edits = np.floor(n * (1 - similarity) + 1e-9).astype(np.int32)
+        self.bits = most_bits(n)
 
-def neighbours(n, s, t, similarity: float, width: int = 6, best: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """For each line of a run its nearest ones among those beside it in four orders of the SimHash."""
-    a, b, bits = [], [], []
-    words = s, t
+    def differing(self, a, b) -> np.ndarray:
+        return sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int32) for x in self.words)
+
+    def near(self, a, b) -> np.ndarray:
+        """Which of the pairs (places in a, places in b) are candidates; their positions."""
+        at = np.flatnonzero(np.abs(self.n[a] - self.n[b]) <= np.maximum(self.edits[a], self.edits[b]))
+        a, b = a[at], b[at]
+        return at[self.differing(a, b) <= np.minimum(self.bits[a], self.bits[b])]
+
+
+def neighbours(lines: Lines, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """For each line of a run the nearest one before it among those beside it in four orders of the SimHash."""
+    a, b = [], []
     for turn in range(4):
-        x, y = words[turn // 2], words[1 - turn // 2]
-        x = (x << K.U64(32)) | (x >> K.U64(32)) if turn % 2 else x
-        order = np.lexsort((y, x))
+        order = np.argsort(lines.words[turn], kind="stable")
         for step in range(1, min(width, len(order) - 1) + 1):
             i, j = order[:-step], order[step:]
             i, j = np.maximum(i, j), np.minimum(i, j)
-            ok = near(n, s, t, i, j, similarity)
-            i, j = i[ok], j[ok]
-            a.append(i)
-            b.append(j)
-            bits.append(differing(s, t, i, j))
+            ok = lines.near(i, j)
+            a.append(i[ok])
+            b.append(j[ok])
     if not a:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b, bits = (np.concatenate(x) for x in (a, b, bits))
-    order = np.lexsort((b, bits, a))
+    a, b = np.concatenate(a), np.concatenate(b)
+    order = np.lexsort((lines.differing(a, b), a))
     a, b = a[order], b[order]
     new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    a, b = a[new], b[new]
-    rank = np.arange(len(a)) - np.searchsorted(a, a)
-    return a[rank < best], b[rank < best]
+    new[1:] = a[1:] != a[:-1]
+    return a[new], b[new]
+
+
+def unconnected(lines: Lines, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All candidate pairs of lines of different groups, by places."""
+    by_group = np.lexsort((lines.n, g))
+    past = np.searchsorted(g[by_group], g[by_group], side="right")
+    by_length = np.argsort(lines.n, kind="stable")
+    n = lines.n[by_length]
+    # the way with fewer pairs to look at: those of other groups, or those of near lengths
+    longest = np.searchsorted(n, n * 10 // 9 + 2, side="right") if len(n) and np.all(lines.edits * 9 <= lines.n) else np.full(len(n), len(n))
+    if (len(g) - past).sum() <= (longest - np.arange(len(n)) - 1).sum():
+        order, first, last = by_group, past, np.full(len(g), len(g))
+    else:
+        order, first, last = by_length, np.arange(len(g)) + 1, longest
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    left, step = np.flatnonzero(first < last), 0
+    while len(left):
+        x, y = order[left], order[first[left] + step]
+        some = np.flatnonzero(g[x] != g[y])
+        x, y = x[some], y[some]
+        ok = lines.near(x, y)
+        a.append(x[ok])
+        b.append(y[ok])
+        step += 1
+        left = left[first[left] + step < last[left]]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _lines(table: pa.Table, similarity: float) -> tuple[np.ndarray, Lines]:
+    h, n, *words = (table.column(c).to_numpy() for c in ("h", "n", *_WORDS))
+    return h, Lines(n, words, similarity)
 
 
 def _pairs(h, a, b):
@@ -358,34 +405,18 @@ def _pairs(h, a, b):
 
 def _neighbours(similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        h, n, s, t = _columns(table, "h", "n", "s", "t")
-        return _pairs(h, *neighbours(n, s, t, similarity))
+        h, lines = _lines(table, similarity)
+        return _pairs(h, *neighbours(lines))
 
     return run
 
 
-def unconnected(n, s, t, g, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """All candidate pairs of lines of different groups, by places."""
-    order = np.lexsort((n, g))
-    g = g[order]
-    end = np.searchsorted(g, g, side="right")
-    a, b = [], []
-    left, step = np.arange(len(order)), 0
-    while len(left):
-        left = left[end[left] + step < len(order)]
-        right = end[left] + step
-        ok = near(n, s, t, order[left], order[right], similarity)
-        a.append(order[left[ok]])
-        b.append(order[right[ok]])
-        step += 1
-    return np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)])
-
-
 def _unconnected(similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        h, n, s, t, g, block = _columns(table, "h", "n", "s", "t", "g", "block")
-        a, b = unconnected(n, s, t, g, similarity)
-        if len(block) and block.min() != block.max():  # pairs within a block are another task's
+        h, lines = _lines(table, similarity)
+        g, block = table.column("g").to_numpy(), table.column("block").to_numpy()
+        a, b = unconnected(lines, g)
+        if table.column("p")[0] != table.column("q")[0]:  # pairs within a block are another task's
             a, b = a[block[a] != block[b]], b[block[a] != block[b]]
         return _pairs(h, a, b)
 
@@ -431,32 +462,36 @@ def _alike(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame:
 def _groups(norms: DataFrame, lines: int, texts: int, similarity: float, short_run: int, block: int) -> DataFrame:
     """(h, g): lines that are like others with the least of their group."""
     parts = max(8, -(-texts * 24 // 1_000_000))
-    keys = norms.mapInArrow(_to_keys(gram_size(lines), parts), "part int, key binary, hs binary")
-    runs = keep(keys.groupBy("part").applyInArrow(_runs(short_run, block), "a long, b long, run long, block int, blocks int"), "line-runs")
+    keys = norms.mapInArrow(_to_keys(gram_size(lines), parts), "part int, key binary, hs binary, codes binary")
+    runs = keep(keys.groupBy("part").applyInArrow(_runs(code_gap(similarity), short_run, block), "a long, b long, run long, block int, blocks int"), "line-runs")
     short = runs.where("run is null").select("a", "b").distinct()
     wanted = keep(runs.select(F.explode(F.array("a", "b")).alias("h")).where("h is not null").distinct(), "line-wanted")
     some = norms.join(F.broadcast(wanted), "h") if fits(wanted, 16) else norms.join(wanted, "h")
-    sketches = keep(some.select("h", "norm").mapInArrow(_sketches, "h long, n int, s long, t long").dropDuplicates(["h"]), "line-sketches")
+    words = ", ".join(f"{w} long" for w in _WORDS)
+    sketches = keep(some.select("h", "norm").mapInArrow(_sketches, f"h long, n int, {words}").dropDuplicates(["h"]), "line-sketches")
 
     def ends(df, small):
         for x in ("a", "b"):
-            own = sketches.select(F.col("h").alias(x), F.col("n").alias("n" + x), F.col("s").alias("s" + x), F.col("t").alias("t" + x))
+            own = sketches.select(F.col("h").alias(x), *[F.col(c).alias(c + x) for c in ("n", *_WORDS)])
             df = df.join(F.broadcast(own) if small else own, x)
         return df
 
     long = F.greatest("na", "nb")
-    close = ends(short, fits(sketches, 40)).where(long - F.least("na", "nb") <= F.floor(long * (1 - similarity) + 1e-9))
-    bits = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("ta").bitwiseXOR(F.col("tb")))
-    close = close.where((long < _SKETCHED) | (bits <= F.greatest(F.lit(16), F.floor(50 - 5 * F.log2(long / _SKETCHED))))).select("a", "b")
+    close = ends(short, fits(sketches, 56)).where(long - F.least("na", "nb") <= F.floor(long * (1 - similarity) + 1e-9))
+    bits = sum((F.bit_count(F.col(w + "a").bitwiseXOR(F.col(w + "b"))) for w in _WORDS), F.lit(0))
+    close = close.where((long < _SKETCHED) | (bits <= F.greatest(F.lit(24), F.floor(87 - 8 * F.log2(long / _SKETCHED))))).select("a", "b")
     members = runs.where("run is not null").select(F.col("a").alias("h"), "run", "block", "blocks").join(sketches, "h")
     beside = members.groupBy("run", "block").applyInArrow(_neighbours(similarity), "a long, b long")
     edges = _alike(keep(close.union(beside).distinct(), "line-pairs"), norms, similarity)
     groups = connected_components(edges)
-    of = members.join(groups.select(F.col("node").alias("h"), "root"), "h", "left").select("h", "n", "s", "t", "run", "block", "blocks", F.coalesce("root", "h").alias("g"))
+    of = members.join(groups.select(F.col("node").alias("h"), "root"), "h", "left").select("h", "n", *_WORDS, "run", "block", "blocks", F.coalesce("root", "h").alias("g"))
     # a pair of blocks is one task's; a run of one group only has nothing left to compare
     mixed = of.groupBy("run").agg((F.min("g") < F.max("g")).alias("mixed")).where("mixed").select("run")
     of = of.join(mixed, "run").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = of.groupBy("run", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).applyInArrow(_unconnected(similarity), "a long, b long")
+    of = of.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    # by number, as their work is more than their size, by which partitions would be joined
+    of = of.repartition(int(norms.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run", "p", "q")
+    rest = of.groupBy("run", "p", "q").applyInArrow(_unconnected(similarity), "a long, b long")
     rest = keep(rest.distinct(), "line-pairs")
     if rest.isEmpty():
         return groups.select(F.col("node").alias("h"), F.col("root").alias("g"))

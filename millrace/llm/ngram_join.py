@@ -5,8 +5,9 @@ n-grams have one global order, from rare to frequent: by the corpus's count of
 the n-gram's bucket (2^18 counters), then by hash.
 
 *Search.* Sets of n n-grams that reach the Jaccard threshold t with another
-share at least three of their first n - ceil(t n) + 3 in that order (or all that
-the sizes ask for, where that is less). So only these are shuffled. What shares
+share at least 16 of their first n - ceil(t n) + 16 in that order (all that the
+sizes ask for where that is less; more where the sizes are alike, as what comes
+after a prefix can't make up for it). So only these are shuffled. What shares
 an n-gram is a run. Pairs of short runs are counted; long runs, such as n-grams
 of a template, give pairs of neighbours in size only, as many as they have
 entries. Pairs with counts enough connect entries to groups.
@@ -33,8 +34,8 @@ from .store import fits, fresh, keep
 
 N = 3
 THRESHOLD = 0.5
-#: N-grams that candidates share in their prefixes.
-SHARED = 3
+#: N-grams that candidates share in their prefixes. With few, chance connects what isn't alike.
+SHARED = 16
 #: Entries of a run all of whose pairs are counted at once.
 SHORT_RUN = 8
 #: Entries of a long run that are in one task at a time.
@@ -102,8 +103,15 @@ def prefix_size(n: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def needed(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
-    """Prefix n-grams that two sets within the threshold share at least."""
-    return np.minimum(SHARED, np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)).astype(np.int32)
+    """Prefix n-grams that two sets within the threshold share at least.
+
+    Of the set whose prefix ends first in the global order all n-grams in common
+    up to there are in both prefixes, and what comes after it can add no more
+    than it has left.
+    """
+    overlap = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9).astype(np.int64)
+    left = np.maximum(na - prefix_size(na, threshold), nb - prefix_size(nb, threshold))
+    return np.maximum(np.minimum(SHARED, overlap), overlap - left).astype(np.int32)
 
 
 def _prefixes(n: int, threshold: float, counts: np.ndarray, parts: int):
@@ -196,22 +204,24 @@ def _across(threshold: float):
     """Pairs of entries of different groups in a long run, one n-gram in common each."""
 
     def run(table: pa.Table) -> pa.Table:
-        fp, g, size, block = (table.column(c).to_numpy() for c in ("fp", "g", "size", "block"))
+        fp, g, size, most, block = (table.column(c).to_numpy() for c in ("fp", "g", "size", "most", "block"))
         order = np.lexsort((size, g))
-        g, size = g[order], size[order].astype(np.int64)
+        g, size, most = g[order], size[order].astype(np.int64), most[order]
         end = np.searchsorted(g, g, side="right")
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         left, step = np.arange(len(order)), 0
         while len(left):
             left = left[end[left] + step < len(order)]
             right = end[left] + step
-            ok = np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right]) - 1e-9
-            a.append(left[ok])
-            b.append(right[ok])
+            ok = np.flatnonzero(np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right]) - 1e-9)
+            x, y = left[ok], right[ok]
+            ok = np.minimum(most[x], most[y]) >= needed(size[x], size[y], threshold)
+            a.append(x[ok])
+            b.append(y[ok])
             step += 1
         a, b = np.concatenate(a), np.concatenate(b)
         need = needed(size[a], size[b], threshold)
-        if len(block) and block.min() != block.max():  # pairs within a block are another task's
+        if table.column("p")[0] != table.column("q")[0]:  # pairs within a block are another task's
             apart = block[order[a]] != block[order[b]]
             a, b, need = a[apart], b[apart], need[apart]
         x, y = fp[order[a]], fp[order[b]]
@@ -388,25 +398,35 @@ def _run(docs: DataFrame, n: int, threshold: float, most_bytes: int, short_run:
     parts = max(8, int(grams * (1 - threshold)) // 1_000_000)
     prefixes = own.select("text").mapInArrow(_prefixes(n, threshold, _counts(scan), parts), "part int, key binary, fps binary, sizes binary")
     runs = keep(prefixes.groupBy("part").applyInArrow(_runs(threshold, short_run, block), _RUNS), "set-runs")
-    counted = runs.where("kind < 2").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need"))
+    zero = F.when(F.col("kind") == 0, F.col("hits")).otherwise(0)
+    counted = keep(runs.where("kind < 2").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.sum(zero).alias("short"), F.max("need").alias("need")), "set-pairs")
     groups = connected_components(counted.where("hits >= need").select("a", "b")).select(F.col("node").alias("fp"), "root")
     found = _joined(own, entries, groups.select("fp", "root", F.lit(0).cast("long").alias("g")), n, threshold, most_bytes, False)
+    of = F.broadcast(groups) if fits(groups, 16) else groups
 
-    def group_of(df, name, at):
-        of = groups.select(F.col("fp").alias(at), F.col("root").alias(name))
-        return df.join(F.broadcast(of) if small else of, at, "left").withColumn(name, F.coalesce(name, at))
+    def group_of(df):
+        return df.join(of.withColumnRenamed("root", "g"), "fp", "left").withColumn("g", F.coalesce("g", "fp"))
 
-    small = fits(groups, 16)
-    long = group_of(runs.where("kind = 2").select(F.col("a").alias("fp"), F.col("b").alias("run"), F.col("hits").alias("size"), "block", "blocks"), "g", "fp")
+    long = group_of(runs.where("kind = 2").select(F.col("a").alias("fp"), F.col("b").alias("run"), F.col("hits").alias("size"), "block", "blocks"))
     mixed = long.groupBy("run").agg((F.min("g") < F.max("g")).alias("mixed")).where("mixed").select("run")
-    long = long.join(mixed, "run").withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    across = long.groupBy("run", F.least("block", "beside").alias("p"), F.greatest("block", "beside").alias("q")).applyInArrow(_across(threshold), "a long, b long, hits int, need int")
-    short = group_of(group_of(runs.where("kind = 0"), "ga", "a"), "gb", "b").where("ga <> gb").select("a", "b", "hits", "need")
-    rest = across.union(short).groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need")
+    long = keep(long.join(mixed, "run"), "set-long")
+    # what an entry has in long runs, with what it shares with any one entry in short runs, bounds what it shares with another
+    most = counted.where("short > 0").select(F.explode(F.array("a", "b")).alias("fp"), "short").groupBy("fp").agg(F.max("short").alias("short"))
+    enough = long.groupBy("fp").agg(F.count(F.lit(1)).alias("own"), F.first("size").alias("size")).join(most, "fp", "left")
+    enough = enough.select("fp", "size", (F.col("own") + F.coalesce("short", F.lit(0))).alias("most"))
+    enough = keep(enough.where(F.col("most") >= F.least(F.lit(SHARED), F.ceil(threshold * F.col("size") - 1e-9))).select("fp", "most"), "set-enough")
+    long = long.join(F.broadcast(enough) if fits(enough, 16) else enough, "fp")
+    long = long.withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    long = long.withColumn("p", F.least("block", "beside")).withColumn("q", F.greatest("block", "beside"))
+    # by number, as their work is more than their size, by which partitions would be joined
+    long = long.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run", "p", "q")
+    across = long.groupBy("run", "p", "q").applyInArrow(_across(threshold), "a long, b long, hits int, need int")
+    across = across.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need"))
+    rest = across.join(counted.select("a", "b", "short"), ["a", "b"], "left").where(F.col("hits") + F.coalesce("short", F.lit(0)) >= F.col("need"))
     rest = keep(rest.select("a", "b"), "set-rest")
     if not rest.isEmpty():
         more = connected_components(rest).select(F.col("node").alias("fp"), "root")
-        found = found.union(_joined(own, entries, group_of(more, "g", "fp").select("fp", "root", "g"), n, threshold, most_bytes, True))
+        found = found.union(_joined(own, entries, group_of(more).select("fp", "root", "g"), n, threshold, most_bytes, True))
     total = found.groupBy("fp").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("fp").alias("a"), F.col("other").alias("b")))
     return members, entries, total.join(classes.select(F.col("node").alias("fp"), "root"), "fp")

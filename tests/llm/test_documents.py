@@ -224,4 +224,6 @@ def test_leak_cases(spark):
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3]
     assert decontam.contaminated(df.limit(0), bench).count() == 0 == decontam.contaminated(df, bench.limit(0)).count()
     assert decontam.drop_contaminated(df, bench.limit(0)).count() == 6
+    named = decontam.drop_contaminated(df.withColumn("_mr_dk", F.lit("own")).withColumn("GRAM", F.lit(3)), bench)
+    assert sorted((r.doc_id, r["_mr_dk"], r["GRAM"]) for r in named.collect()) == [(k, "own", 3) for k in (1, 2, 3)]
     assert decontam.contaminated(df.withColumn("gram", F.lit(1)), bench.withColumn("gram", F.lit(2))).count() == 4

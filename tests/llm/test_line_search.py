@@ -48,10 +48,9 @@ def test_recall_with_the_keys_of_large_corpora(lines):
         for line, key in line_dedup.line_keys(chars, first, line_dedup.gram_size(lines)):
             for at, k in zip(line, key.tolist()):
                 keys[at].add(k)
-        s, t = line_dedup.simhash(chars, first).T
+        both = line_dedup.Lines(np.diff(first), list(line_dedup.simhash(chars, first).T), 0.9)
         a = np.arange(0, len(texts), 2)
-        near = line_dedup.near(np.diff(first), s, t, a, a + 1, 0.9)
-        found = sum(bool(keys[k] & keys[k + 1]) and ok for k, ok in zip(a, near))
+        found = sum(bool(keys[k] & keys[k + 1]) for k in a[both.near(a, a + 1)])
         assert found >= 0.9 * len(base), (length, found)
 
 
