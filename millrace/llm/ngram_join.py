@@ -2,7 +2,7 @@
 
 A document is the set of its word n-gram hashes. Equal sets are one entry. The
 n-grams have one global order, from rare to frequent: by the corpus's count of
-the n-gram's bucket (2^18 counters), then by hash.
+the n-gram's bucket (2^22 counters, on a scale of logarithms), then by hash.
 
 *Search.* Sets of n n-grams that reach the Jaccard threshold t with another
 share at least 16 of their first n - ceil(t n) + 16 in that order (all that the
@@ -42,7 +42,11 @@ SHORT_RUN = 8
 BLOCK = 8192
 #: N-grams (8 bytes each) that a trie's task takes; larger groups are taken apart into pairs of blocks.
 GROUP_BYTES = 8 << 20
-_BUCKETS, _COUNTERS = 1 << 18, 1 << 14
+_BUCKETS, _COUNTERS = 1 << 22, 1 << 16
+
+
+def bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams >> K.U64(42)).astype(np.int64)
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,10 +70,11 @@ def _scan(n):
     """Each text's set (dk, doc_id, fp, size), and at a task's end the counters of its n-grams."""
 
     def run(it):
-        counts = np.zeros(_BUCKETS, np.int64)
+        counts = np.zeros(_BUCKETS, np.uint8)
         for batch, data, offsets in K.batches(it):
             grams, at, fp = sets_of(data, offsets, n)
-            counts += np.bincount((grams >> K.U64(46)).astype(np.int64), minlength=_BUCKETS)
+            at_, more = np.unique(bucket(grams), return_counts=True)
+            counts[at_] = np.minimum(255, counts[at_] + more)
             some = np.flatnonzero(fp)
             none = pa.nulls(len(some))
             yield pa.RecordBatch.from_pydict({
@@ -86,15 +91,17 @@ def _scan(n):
 def _total(table: pa.Table) -> pa.Table:
     total = np.zeros(_COUNTERS, np.int64)
     for x in table.column("counts"):
-        total += np.frombuffer(x.as_buffer(), np.int64)
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        total += np.frombuffer(x.as_buffer(), np.uint8)
+    # an eighth of a doubling a step
+    codes = np.minimum(255, np.round(8 * np.log2(total + 1))).astype(np.uint8)
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([codes.tobytes()], pa.binary())})
 
 
 def _counts(scan: DataFrame) -> np.ndarray:
-    """The corpus's counters: 2 MB, whatever the corpus."""
-    total = np.zeros(_BUCKETS, np.int64)
+    """Logarithms of the corpus's counters: 4 MB, whatever the corpus."""
+    total = np.zeros(_BUCKETS, np.uint8)
     for row in scan.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_total, "block int, counts binary").collect():
-        total[row.block * _COUNTERS : (row.block + 1) * _COUNTERS] = np.frombuffer(bytes(row.counts), np.int64)
+        total[row.block * _COUNTERS : (row.block + 1) * _COUNTERS] = np.frombuffer(bytes(row.counts), np.uint8)
     return total
 
 
@@ -139,7 +146,7 @@ def _prefixes(n: int, threshold: float, counts: np.ndarray, parts: int):
             doc = np.repeat(np.arange(len(size)), size)
             mine = new[doc]
             grams, doc = grams[mine], doc[mine]
-            order = np.lexsort((grams, counts[(grams >> K.U64(46)).astype(np.int64)], doc))
+            order = np.lexsort((grams, counts[bucket(grams)], doc))
             grams, doc = grams[order], doc[order]
             rank = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(size)))[doc]
             first = rank < prefix_size(size, threshold)[doc]
@@ -422,7 +429,7 @@ def _run(docs: DataFrame, n: int, threshold: float, most_bytes: int, short_run:
     long = long.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run", "p", "q")
     across = long.groupBy("run", "p", "q").applyInArrow(_across(threshold), "a long, b long, hits int, need int")
     across = across.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("need").alias("need"))
-    rest = across.join(counted.select("a", "b", "short"), ["a", "b"], "left").where(F.col("hits") + F.coalesce("short", F.lit(0)) >= F.col("need"))
+    rest = across.join(counted.where("short > 0").select("a", "b", "short"), ["a", "b"], "left").where(F.col("hits") + F.coalesce("short", F.lit(0)) >= F.col("need"))
     rest = keep(rest.select("a", "b"), "set-rest")
     if not rest.isEmpty():
         more = connected_components(rest).select(F.col("node").alias("fp"), "root")
