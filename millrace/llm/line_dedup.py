@@ -21,8 +21,12 @@ Blocks of a SimHash can't be the keys at this similarity: edits of a tenth of th
 characters change 0.34 of the 4-character grams and some 19 of 64 bits, and 20
 blocks of three bits select nothing.
 
-What shares a key is a run. All pairs of a short run are candidates. A long run,
-such as versions of one template, gives no pairs at first: its lines are compared
+What shares a key is a run. A gram that edits have left alone has as many
+characters more or fewer before it in one line than in the other as there were
+edits at least, and so behind it; so pairs in which that is more than the
+similarity allows aren't candidates by this key, which are most of those that
+share a gram by chance. The others of a run are candidates where they are few.
+A run with many, such as versions of one template, gives no pairs at first: its lines are compared
 with their neighbours in the order of their SimHashes, which connects what is
 alike by a number of edges in proportion to the lines; then pairs of lines that
 aren't connected yet are compared, all of them. So groups are those of all pairs.
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .edit import within
 from .graph import connected_components
-from .store import fits, fresh, keep
+from .store import fits, fresh, keep, scratch
 
 SIMILARITY = 0.9
 #: Normalised lines of fewer bytes would match only equal ones; there is no such floor.
@@ -48,8 +52,16 @@ CLASSES = (10, 20, 30, 48, 96, 192)
 #: Characters from which on candidates' 256-bit SimHashes must be near. Bits that may differ are 87
 #: at this length and 8 less for each doubling, 24 at least: 0.985 of random edits at 0.9 stay below.
 _SKETCHED = 48
-#: Lines of a run all of whose pairs are candidates at once.
+#: Lines of a run all of whose pairs are candidates at once; larger runs' too where they have no more pairs a line.
 SHORT_RUN = 8
+#: Lines up to which a run's pairs are counted.
+_COUNTED = 256
+#: Of a key's place in a line: parts of the line, and the code of a gram that has several places.
+_PLACES, _ANYWHERE = 254, 255
+#: Lengths are coded by steps of this ratio, from 9 characters on.
+_STEP = 1.025
+#: Bits of a line's hash that runs have; lines are joined to them by these, so equal ones only add candidates.
+_ID = (1 << 40) - 1
 #: Lines of a long run that are in one task at a time.
 BLOCK = 16_384
 _table: np.ndarray | None = None
@@ -83,42 +95,52 @@ def gather(chars: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.n
     return chars[np.arange(len(row)) + np.repeat(first[:-1][rows] - begin[:-1], n)], begin, row
 
 
-def grams(chars: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """42-bit hashes of all k-character grams of gathered lines, and the lines' places."""
+def grams(chars: np.ndarray, begin: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """40-bit hashes of all k-character grams of gathered lines, with the code of the gram's place in 8 bits more; and the lines' places."""
     if len(chars) < k:
         return np.empty(0, np.uint64), np.empty(0, np.int32)
     total = np.zeros(len(chars) + 1, np.uint64)
     np.cumsum((chars.astype(np.uint64) + K.U64(1)) * K.powers(K._P, len(chars))[: len(chars)], out=total[1:])
     h = (total[k:] - total[:-k]) * K.powers(K._PINV, len(chars))[: len(chars) - k + 1]
     inside = np.flatnonzero(row[: len(row) - k + 1] == row[k - 1 :])
-    return K.mix(h[inside]) >> K.U64(22), row[inside]
+    own = row[inside]
+    place = (inside - begin[own]) * _PLACES // np.diff(begin)[own]
+    return (K.mix(h[inside]) >> K.U64(24) << K.U64(8)) | place.astype(np.uint64), own
 
 
-def least_grams(h: np.ndarray, row: np.ndarray, rows: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` least distinct 42-bit hashes of each row (0: all)."""
+def least_grams(h: np.ndarray, row: np.ndarray, rows: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` least distinct hashes of each row (0: all), their rows and places."""
 
     def least(h, row):
-        code = np.sort((row.astype(np.uint64) << K.U64(42)) | h)
-        code = code[np.append(True, code[1:] != code[:-1])] if len(code) else code
-        row = (code >> K.U64(42)).astype(np.int64)
-        if most:
-            rank = np.arange(len(code)) - np.searchsorted(row, np.arange(rows))[row]
-            code, row = code[rank < most], row[rank < most]
-        return code & K.U64((1 << 42) - 1), row
+        out = []
+        # 16 bits for the row
+        for lo in range(0, rows, 1 << 16):
+            some = (row >= lo) & (row < lo + (1 << 16)) if rows > 1 << 16 else slice(None)
+            code = np.sort(((row[some] - lo).astype(np.uint64) << K.U64(48)) | h[some])
+            new = np.ones(len(code) + 1, bool)
+            new[1:-1] = code[1:] >> K.U64(8) != code[:-1] >> K.U64(8)
+            place = np.where(new[1:], code & K.U64(255), K.U64(_ANYWHERE)).astype(np.uint8)[new[:-1]]
+            code = code[new[:-1]]
+            at = (code >> K.U64(48)).astype(np.int64) + lo
+            if most:
+                rank = np.arange(len(code)) - np.searchsorted(at, np.arange(lo, min(rows, lo + (1 << 16))))[at - lo]
+                code, at, place = code[rank < most], at[rank < most], place[rank < most]
+            out.append((code >> K.U64(8) & K.U64((1 << 40) - 1), at, place))
+        return out[0] if len(out) == 1 else tuple(np.concatenate(x) for x in zip(*out))
 
     if not most or not len(h):
         return least(h, row)
     n = np.bincount(row, minlength=rows)
     # most hashes can't be among the least; where too few are left, as grams repeat, all are taken
     part = np.where(n > 3 * most, 3.0 * most / np.maximum(n, 1), 1.0)
-    cut = (part * (1 << 42)).astype(np.uint64)
+    cut = (part * (1 << 40)).astype(np.uint64) << K.U64(8)
     some = h < cut[row]
-    found, at = least(h[some], row[some])
-    again = (np.bincount(at, minlength=rows) < most) & (part < 1)
+    found = least(h[some], row[some])
+    again = (np.bincount(found[1], minlength=rows) < most) & (part < 1)
     if again.any():
-        more, there = least(h[again[row]], row[again[row]])
-        found, at = np.concatenate([found[~again[at]], more]), np.concatenate([at[~again[at]], there])
-    return found, at
+        more = least(h[again[row]], row[again[row]])
+        found = tuple(np.concatenate([x[~again[found[1]]], y]) for x, y in zip(found, more))
+    return found
 
 
 def simhash(chars: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -152,6 +174,12 @@ def simhash(chars: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 def line_keys(chars: np.ndarray, first: np.ndarray, size: int):
     """(line, key) arrays of every key of every line."""
+    for line, key, _ in placed_keys(chars, first, size):
+        yield line, key
+
+
+def placed_keys(chars: np.ndarray, first: np.ndarray, size: int):
+    """(line, key, place) arrays of every key of every line."""
     length = np.diff(first)
     low, high = (np.searchsorted(CLASSES, x, side="right") - 1 for x in (length, length * 10 // 9))
     for kind in range(len(CLASSES)):
@@ -161,10 +189,11 @@ def line_keys(chars: np.ndarray, first: np.ndarray, size: int):
         own, begin, row = gather(chars, first, rows)
         if kind:
             k, most = class_grams(kind, size)
-            key, at = least_grams(*grams(own, row, k), len(rows), most)
+            key, at, place = least_grams(*grams(own, begin, row, k), len(rows), most)
         else:
             key, at = halves(own, begin)
-        yield rows[at], K.mix(key ^ (K.U64(kind + 1) << K.U64(56)))
+            place = np.full(len(at), _ANYWHERE, np.uint8)
+        yield rows[at], K.mix(key ^ (K.U64(kind + 1) << K.U64(56))), place
 
 
 def halves(chars: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,24 +260,36 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def length_code(n: np.ndarray) -> np.ndarray:
-    """A byte that grows by one for each 4 percent of length."""
-    return np.minimum(255, np.floor(np.log(np.maximum(n, 1)) / math.log(1.04))).astype(np.uint8)
+    """A byte that grows by one for each step of length; 255 has no end."""
+    return np.minimum(255, np.floor(np.log(np.maximum(n / 9, 1)) / math.log(_STEP))).astype(np.uint8)
 
 
 def code_gap(similarity: float) -> int:
     """By how much the codes of like lines may differ."""
-    return math.ceil(-math.log(similarity) / math.log(1.04)) if 0 < similarity else 255
+    return math.ceil(-math.log(similarity) / math.log(_STEP)) if 0 < similarity else 255
+
+
+def placed(code_a, place_a, code_b, place_b, similarity: float) -> np.ndarray:
+    """Which pairs may be alike by the places of a key they share, as far as codes tell; b are the longer ones."""
+    # in parts of the longer line: what is before the key and what is behind it
+    ratio = _STEP ** (code_a.astype(np.int16) - code_b)
+    x, y = place_a / _PLACES, place_b / _PLACES
+    apart = np.abs(x * ratio - y) + np.abs((1 - x) * ratio - (1 - y))
+    return (apart <= 1 - similarity + (_STEP - 1) + 2 / _PLACES + 1e-6) | (np.maximum(place_a, place_b) == _ANYWHERE) | (np.maximum(code_a, code_b) == 255)
 
 
 def _to_keys(size: int, parts: int):
-    def flush(h, key, code):
-        part = (key % K.U64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
+    def flush(h, key, code, place):
+        # by key within a part, byte by byte, as high bytes then pack well
+        part, short = (key % K.U64(parts)).astype(np.int32), key >> K.U64(40)
+        order = np.argsort((part.astype(np.uint64) << K.U64(24)) | short)
         ends = np.searchsorted(part[order], np.arange(parts + 1))
-        short, h, code = (key[order] >> K.U64(32)).astype(np.uint32), h[order], code[order]
+        short = short[order].view(np.uint8).reshape(-1, 8)[:, :3]
+        h = np.ascontiguousarray(h[order].view(np.uint8).reshape(-1, 8)[:, :5])
+        code, place = code[order], place[order]
         for p in range(0, parts, 256):
             some = [q for q in range(p, min(parts, p + 256)) if ends[q] < ends[q + 1]]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in (("key", short), ("hs", h), ("codes", code))})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in (("hs", h), ("codes", code), ("places", place))} | {"key": pa.array([short[ends[q] : ends[q + 1]].T.tobytes() for q in some], pa.binary())})
 
     def run(it):
         held, n = [], 0
@@ -256,8 +297,8 @@ def _to_keys(size: int, parts: int):
             h = K.ints(batch, "h")
             chars, first = code_points(data, offsets)
             code = length_code(np.diff(first))
-            for line, key in line_keys(chars, first, size):
-                held.append((h[line], key, code[line]))
+            for line, key, place in placed_keys(chars, first, size):
+                held.append((h[line], key, code[line], place))
                 n += len(line)
             if n >= 2_000_000:
                 yield from flush(*(np.concatenate(x) for x in zip(*held)))
@@ -268,43 +309,64 @@ def _to_keys(size: int, parts: int):
     return run
 
 
-def _runs(gap: int, short_run: int, block: int):
-    """Pairs (a, b) of short runs; lines (a) of long runs with the run and the block of the run that has them.
+def run_pairs(number: np.ndarray, size: np.ndarray, code: np.ndarray, place: np.ndarray, similarity: float, short_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (places i, j) of short runs, and which runs are short; a run's lines ascend by length."""
+    gap = code_gap(similarity)
+    counted = size <= max(short_run, _COUNTED)
+    end = np.repeat(np.cumsum(size), size)
+    left, step = np.flatnonzero(np.repeat(counted & (size > 1), size)), 1
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(left):
+        left = left[left + step < end[left]]
+        left = left[code[left + step] - code[left] <= gap]
+        ok = left[placed(code[left], place[left], code[left + step], place[left + step], similarity)]
+        a.append(ok)
+        b.append(ok + step)
+        step += 1
+    a, b = np.concatenate(a), np.concatenate(b)
+    pairs = np.bincount(number[a], minlength=len(size))
+    short = counted & ((size <= short_run) | (2 * pairs <= size * (short_run - 1)))
+    some = short[number[a]]
+    return a[some], b[some], short
+
+
+def _runs(similarity: float, short_run: int, block: int):
+    """Pairs (a, b) of short runs; lines (a) of long runs with the run, the block of the run that has them and the key's place.
 
     A run is what shares a key without a step in length that is too large for a pair.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        key, h, code = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("key", np.uint32), ("hs", np.int64), ("codes", np.uint8)))
-        order = np.lexsort((h, code, key))
-        key, h, code = key[order], h[order], code[order].astype(np.int64)
+        hs, code, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8) for c in ("hs", "codes", "places"))
+        key, h = np.zeros((len(code), 4), np.uint8), np.zeros((len(code), 8), np.uint8)
+        key[:, :3] = np.concatenate([np.frombuffer(x, np.uint8).reshape(3, -1).T for x in table.column("key").to_pylist()])
+        h[:, :5] = hs.reshape(-1, 5)
+        key, h = key.view(np.uint32).ravel(), h.view(np.int64).ravel()
+        order = np.argsort((key.astype(np.uint64) << K.U64(40)) | (code.astype(np.uint64) << K.U64(32)) | (h & 0xFFFFFFFF).astype(np.uint64), kind="stable")
+        key, h, code, place = key[order], h[order], code[order].astype(np.int16), place[order]
         new = np.ones(len(h), bool)
         new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
-        key, h, code = key[new], h[new], code[new]
-        begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (code[1:] - code[:-1] > gap)))
+        key, h, code, place = key[new], h[new], code[new], place[new]
+        begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (code[1:] - code[:-1] > code_gap(similarity))))
         size = np.diff(np.append(begin, len(key)))
         number = np.repeat(np.arange(len(size)), size)
-        a, b = [], []
-        for step in range(1, min(short_run, len(key))):
-            some = np.repeat((size > step) & (size <= short_run), size)
-            at = np.flatnonzero(some[:-step] & (number[:-step] == number[step:]) & (code[step:] - code[:-step] <= gap))
-            a.append(h[at])
-            b.append(h[at + step])
-        a, b = (np.concatenate(x or [h[:0]]) for x in (a, b))
+        i, j, short = run_pairs(number, size, code, place, similarity, short_run)
+        a, b = np.minimum(h[i], h[j]), np.maximum(h[i], h[j])
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         a, b = a[new], b[new]
-        long = np.repeat(size > short_run, size)
+        long = np.repeat(~short, size)
         part = table.column("part")[0].as_py()
         number = (np.int64(part) << 32) | np.repeat(begin, size)[long]
         inner = (np.arange(len(key)) - np.repeat(begin, size))[long] // block
         blocks = np.repeat(-(-size // block), size)[long]
         pad = pa.nulls(len(a), pa.int64())
+        few = pad.cast(pa.int32())
         return pa.table({
             "a": np.concatenate([a, h[long]]), "b": pa.chunked_array([pa.array(b), pa.nulls(len(number), pa.int64())]),
-            "run": pa.chunked_array([pad, pa.array(number)]), "block": pa.chunked_array([pad.cast(pa.int32()), pa.array(inner.astype(np.int32))]), "blocks": pa.chunked_array([pad.cast(pa.int32()), pa.array(blocks.astype(np.int32))]),
+            "run": pa.chunked_array([pad, pa.array(number)]), "block": pa.chunked_array([few, pa.array(inner.astype(np.int32))]), "blocks": pa.chunked_array([few, pa.array(blocks.astype(np.int32))]), "place": pa.chunked_array([few, pa.array(place[long].astype(np.int32))]),
         })
 
     return run
@@ -315,7 +377,7 @@ def _sketches(it):
         chars, begin = code_points(data, offsets)
         n = np.diff(begin)
         four = simhash(chars, begin).view(np.int64)
-        yield pa.RecordBatch.from_pydict({"h": batch.column(0), "n": n.astype(np.int32)} | {w: np.ascontiguousarray(four[:, k]) for k, w in enumerate(_WORDS)})
+        yield pa.RecordBatch.from_pydict({"id": pa.array(K.ints(batch, "h") & _ID), "h": batch.column(0), "n": n.astype(np.int32)} | {w: np.ascontiguousarray(four[:, k]) for k, w in enumerate(_WORDS)})
 
 
 _WORDS = ("s0", "s1", "s2", "s3")
@@ -327,10 +389,11 @@ def most_bits(n: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """Lengths and SimHashes of some lines, to ask which pairs of places are candidates."""
+    """Lengths and SimHashes of some lines, and places of a key they share, to ask which pairs of places are candidates."""
 
-    def __init__(self, n: np.ndarray, words: list[np.ndarray], similarity: float):
+    def __init__(self, n: np.ndarray, words: list[np.ndarray], similarity: float, place: np.ndarray | None = None):
         self.n = n.astype(np.int32)
+        self.place = place
         self.words = [x.view(np.uint64) for x in words]
         # both fall or grow with the length, so the longer line's are the pair's
         self.edits = np.floor(n * (1 - similarity) + 1e-9).astype(np.int32)
@@ -342,9 +405,18 @@ class Lines:
     def near(self, a, b) -> np.ndarray:
         """Which of the pairs (places in a, places in b) are candidates; their positions."""
         at = np.flatnonzero(np.abs(self.n[a] - self.n[b]) <= np.maximum(self.edits[a], self.edits[b]))
+        if self.place is not None:
+            at = at[self.placed(a[at], b[at])]
         a, b = a[at], b[at]
         return at[self.differing(a, b) <= np.minimum(self.bits[a], self.bits[b])]
 
+    def placed(self, a, b) -> np.ndarray:
+        """Which pairs may be alike by the key's places."""
+        x, y = self.place[a], self.place[b]
+        before, longer = np.abs(x * self.n[a] - y * self.n[b]), np.maximum(self.n[a], self.n[b])
+        behind = np.abs((_PLACES - x) * self.n[a] - (_PLACES - y) * self.n[b])
+        return (before + behind <= np.maximum(self.edits[a], self.edits[b]) * _PLACES + 2 * longer) | (np.maximum(x, y) == _ANYWHERE)
+
 
 def neighbours(lines: Lines, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """For each line of a run the nearest one before it among those beside it in four orders of the SimHash."""
@@ -394,8 +466,8 @@ def unconnected(lines: Lines, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lines(table: pa.Table, similarity: float) -> tuple[np.ndarray, Lines]:
-    h, n, *words = (table.column(c).to_numpy() for c in ("h", "n", *_WORDS))
-    return h, Lines(n, words, similarity)
+    h, n, place, *words = (table.column(c).to_numpy() for c in ("h", "n", "place", *_WORDS))
+    return h, Lines(n, words, similarity, place.astype(np.int64))
 
 
 def _pairs(h, a, b):
@@ -462,29 +534,30 @@ def _alike(pairs: DataFrame, norms: DataFrame, similarity: float) -> DataFrame:
 def _groups(norms: DataFrame, lines: int, texts: int, similarity: float, short_run: int, block: int) -> DataFrame:
     """(h, g): lines that are like others with the least of their group."""
     parts = max(8, -(-texts * 24 // 1_000_000))
-    keys = norms.mapInArrow(_to_keys(gram_size(lines), parts), "part int, key binary, hs binary, codes binary")
-    runs = keep(keys.groupBy("part").applyInArrow(_runs(code_gap(similarity), short_run, block), "a long, b long, run long, block int, blocks int"), "line-runs")
+    keys = norms.mapInArrow(_to_keys(gram_size(lines), parts), "part int, hs binary, codes binary, places binary, key binary")
+    runs = keep(keys.groupBy("part").applyInArrow(_runs(similarity, short_run, block), "a long, b long, run long, block int, blocks int, place int"), "line-runs")
     short = runs.where("run is null").select("a", "b").distinct()
-    wanted = keep(runs.select(F.explode(F.array("a", "b")).alias("h")).where("h is not null").distinct(), "line-wanted")
-    some = norms.join(F.broadcast(wanted), "h") if fits(wanted, 16) else norms.join(wanted, "h")
+    wanted = keep(runs.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct(), "line-wanted")
+    some = norms.withColumn("id", F.col("h").bitwiseAND(F.lit(_ID)))
+    some = some.join(F.broadcast(wanted), "id") if fits(wanted, 16) else some.join(wanted, "id")
     words = ", ".join(f"{w} long" for w in _WORDS)
-    sketches = keep(some.select("h", "norm").mapInArrow(_sketches, f"h long, n int, {words}").dropDuplicates(["h"]), "line-sketches")
+    sketches = keep(some.select("h", "norm").mapInArrow(_sketches, f"id long, h long, n int, {words}").dropDuplicates(["h"]), "line-sketches")
 
     def ends(df, small):
         for x in ("a", "b"):
-            own = sketches.select(F.col("h").alias(x), *[F.col(c).alias(c + x) for c in ("n", *_WORDS)])
+            own = sketches.select(F.col("id").alias(x), *[F.col(c).alias(c + x) for c in ("h", "n", *_WORDS)])
             df = df.join(F.broadcast(own) if small else own, x)
         return df
 
     long = F.greatest("na", "nb")
-    close = ends(short, fits(sketches, 56)).where(long - F.least("na", "nb") <= F.floor(long * (1 - similarity) + 1e-9))
+    close = ends(short, fits(sketches, 64)).where(long - F.least("na", "nb") <= F.floor(long * (1 - similarity) + 1e-9))
     bits = sum((F.bit_count(F.col(w + "a").bitwiseXOR(F.col(w + "b"))) for w in _WORDS), F.lit(0))
-    close = close.where((long < _SKETCHED) | (bits <= F.greatest(F.lit(24), F.floor(87 - 8 * F.log2(long / _SKETCHED))))).select("a", "b")
-    members = runs.where("run is not null").select(F.col("a").alias("h"), "run", "block", "blocks").join(sketches, "h")
+    close = close.where((long < _SKETCHED) | (bits <= F.greatest(F.lit(24), F.floor(87 - 8 * F.log2(long / _SKETCHED))))).select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    members = runs.where("run is not null").select(F.col("a").alias("id"), "run", "block", "blocks", "place").join(sketches, "id").drop("id")
     beside = members.groupBy("run", "block").applyInArrow(_neighbours(similarity), "a long, b long")
     edges = _alike(keep(close.union(beside).distinct(), "line-pairs"), norms, similarity)
     groups = connected_components(edges)
-    of = members.join(groups.select(F.col("node").alias("h"), "root"), "h", "left").select("h", "n", *_WORDS, "run", "block", "blocks", F.coalesce("root", "h").alias("g"))
+    of = members.join(groups.select(F.col("node").alias("h"), "root"), "h", "left").select("h", "n", "place", *_WORDS, "run", "block", "blocks", F.coalesce("root", "h").alias("g"))
     # a pair of blocks is one task's; a run of one group only has nothing left to compare
     mixed = of.groupBy("run").agg((F.min("g") < F.max("g")).alias("mixed")).where("mixed").select("run")
     of = of.join(mixed, "run").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -517,17 +590,19 @@ def _masks(it):
 def _removals(docs: DataFrame, similarity: float, fuzzy_bytes: int, short_run: int, block: int) -> DataFrame:
     """(dk, gone, n_gone): which lines to remove from each document."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("dk")).where("text is not null")
-    scan = keep(keyed.mapInArrow(_scan(fuzzy_bytes), "dk long, doc_id long, line int, h long, norm string"), "lines")
-    norms = scan.where("norm is not null").select("h", "norm")
-    counts = scan.agg(F.count("h").alias("lines"), F.count("norm").alias("texts")).first()
-    groups = _groups(norms, counts.lines, counts.texts, similarity, short_run, block)
-    if fits(groups, 16):
-        groups = F.broadcast(groups)
-    of = scan.select("dk", "doc_id", "line", "h").join(groups, "h", "left").select("dk", "doc_id", "line", F.coalesce("g", "h").alias("g"))
-    kept = of.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "dk", "line")).alias("kept")).where("n > 1")
-    gone = of.join(kept.select("g", F.col("kept.dk").alias("kd"), F.col("kept.line").alias("kl")), "g").where("dk <> kd or line <> kl")
-    lists = gone.groupBy("dk").agg(F.collect_list("line").alias("lines"))
-    return keep(lists.mapInArrow(_masks, "dk long, gone array<boolean>, n_gone int"), "line-removals")
+    with scratch(docs.sparkSession):
+        scan = keep(keyed.mapInArrow(_scan(fuzzy_bytes), "dk long, doc_id long, line int, h long, norm string"), "lines")
+        norms = scan.where("norm is not null").select("h", "norm")
+        counts = scan.agg(F.count("h").alias("lines"), F.count("norm").alias("texts")).first()
+        groups = _groups(norms, counts.lines, counts.texts, similarity, short_run, block)
+        if fits(groups, 16):
+            groups = F.broadcast(groups)
+        of = scan.select("dk", "doc_id", "line", "h").join(groups, "h", "left").select("dk", "doc_id", "line", F.coalesce("g", "h").alias("g"))
+        kept = of.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "dk", "line")).alias("kept")).where("n > 1")
+        gone = of.join(kept.select("g", F.col("kept.dk").alias("kd"), F.col("kept.line").alias("kl")), "g").where("dk <> kd or line <> kl")
+        lists = gone.groupBy("dk").agg(F.collect_list("line").alias("lines"))
+        removals = keep(lists.mapInArrow(_masks, "dk long, gone array<boolean>, n_gone int"), "line-removals", stays=True)
+    return removals
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_bytes: int = FUZZY_BYTES, short_run: int = SHORT_RUN, block: int = BLOCK) -> DataFrame:

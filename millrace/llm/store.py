@@ -6,20 +6,44 @@ executor then costs its own tasks and never a recomputation from the source.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.shared import shared_folder
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("_scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables kept within are removed at the end, but those that stay."""
+    paths: list[str] = []
+    before = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder's path; nothing is created yet."""
     return shared_folder(spark, name)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
     path = folder(spark, name)
+    paths = _scratch.get()
+    if paths is not None and not stays:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

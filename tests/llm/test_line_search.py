@@ -118,3 +118,63 @@ def test_short_lines(spark):
     assert {first, first + 1} <= want and first + 2 not in want
     got = removed(spark, lines)
     assert {first, first + 1} <= got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_a_shared_passage_at_other_places_makes_no_candidates():
+    """Lines with one gram in common, at places that no alike lines have it, give no pairs; edited copies still do."""
+    r = random.Random(15)
+    passage = sentence(r, 8)[:24]
+    texts = []
+    for at in range(0, 240, 40):
+        rest = "".join(r.choices("abcdefghijklmnopqrst", k=276))
+        texts.append(rest[:at] + passage + rest[at:])
+    texts.append(edits(r, texts[2], 30))
+    chars, first = line_dedup.code_points(*K.buffers(K.plain(pa.array(texts))))
+    keyed = {}
+    for line, key, place in line_dedup.placed_keys(chars, first, 15):
+        for at, k, p in zip(line.tolist(), key.tolist(), place.tolist()):
+            keyed.setdefault(k, []).append((at, p))
+    code, pairs, shared = line_dedup.length_code(np.diff(first)), set(), set()
+    for own in keyed.values():
+        own.sort(key=lambda x: code[x[0]])
+        at, place = np.array([x[0] for x in own]), np.array([x[1] for x in own], np.uint8)
+        i, j, _ = line_dedup.run_pairs(np.zeros(len(own), np.int64), np.array([len(own)]), code[at].astype(np.int16), place, 0.9, 8)
+        pairs |= {tuple(sorted((int(at[a]), int(at[b])))) for a, b in zip(i, j)}
+        shared |= {(x, y) for x, _ in own for y, _ in own if x < y}
+    assert pairs == {(2, 6)} and len(shared) > 1
+
+
+def test_places_lose_no_pair_of_edited_lines():
+    """A gram that survives edits passes the test of places, whatever the length and where the edits are."""
+    r = random.Random(16)
+    seen = 0
+    for length in (20, 33, 50, 97, 130, 260, 700, 3000, 9000):
+        for _ in range(12):
+            a = "".join(r.choices("abcdefghijklmnopqrst", k=length))
+            d = length // 10
+            b = r.choice([lambda: edits(r, a, d), lambda: a[d:], lambda: a[: length - d], lambda: a[: length // 3] + a[length // 3 + d :]])()
+            chars, first = line_dedup.code_points(*K.buffers(K.plain(pa.array([a, b]))))
+            code, n = line_dedup.length_code(np.diff(first)), np.diff(first)
+            of = ({}, {})
+            for line, key, place in line_dedup.placed_keys(chars, first, 15):
+                for at, k, p in zip(line, key.tolist(), place.tolist()):
+                    of[at][k] = p
+            lo, hi = (0, 1) if n[0] <= n[1] else (1, 0)
+            for k in of[0].keys() & of[1].keys():
+                x, y = np.array([of[lo][k]], np.uint8), np.array([of[hi][k]], np.uint8)
+                assert line_dedup.placed(code[[lo]], x, code[[hi]], y, 0.9).all(), (length, x, y)
+                both = line_dedup.Lines(n[[lo, hi]], [np.zeros(2, np.int64)] * 4, 0.9, np.concatenate([x, y]).astype(np.int64))
+                assert both.placed(np.array([0]), np.array([1])).all(), (length, x, y)
+                seen += 1
+    assert seen > 500
+
+
+def test_working_tables_go(spark):
+    """Only the table that the result reads is left in the shared folder."""
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/millrace/"
+    before = set(glob.glob(folder + "*"))
+    out = line_dedup.dedup_lines(table(spark, ["one line of some length here", "one line of some length there", "another"]))
+    (left,) = set(glob.glob(folder + "*")) - before
+    assert "line-removals" in left and sum(x.n_removed for x in out.collect()) == 1
