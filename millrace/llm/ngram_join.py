@@ -1,14 +1,18 @@
 """Set-similarity join of documents on their word n-grams, by prefix trees.
 
 A document is the set of its word n-gram hashes. Equal sets are one entry. The
-n-grams have one global order, from rare to frequent: by the corpus's count of
-the n-gram's bucket (2^22 counters, on a scale of logarithms), then by hash.
+n-grams have one global order, from rare to frequent: by a level of the number
+of sets that have the n-gram, then by hash. Numbers are counted for all n-grams by
+36 bits of their hashes, which are shuffled sorted, as differences of two bytes;
+Bloom filters, one for each level, carry them to the sets. All filters together
+have a bounded size; where they would be larger, the lowest levels are left out.
 
 *Search.* Sets of n n-grams that reach the Jaccard threshold t with another
 share at least 16 of their first n - ceil(t n) + 16 in that order (all that the
 sizes ask for where that is less; more where the sizes are alike, as what comes
-after a prefix can't make up for it). So only these are shuffled. What shares
-an n-gram is a run. Pairs of short runs are counted; long runs, such as n-grams
+after a prefix can't make up for it). So only these are shuffled, and of these
+none that only one set has, as the lowest level tells; a set that has fewer than
+it must share is like no other. What shares an n-gram is a run. Pairs of short runs are counted; long runs, such as n-grams
 of a template, give pairs of neighbours in size only, as many as they have
 entries. Pairs with counts enough connect entries to groups.
 
@@ -42,11 +46,12 @@ SHORT_RUN = 8
 BLOCK = 8192
 #: N-grams (8 bytes each) that a trie's task takes; larger groups are taken apart into pairs of blocks.
 GROUP_BYTES = 8 << 20
-_BUCKETS, _COUNTERS = 1 << 22, 1 << 16
-
-
-def bucket(grams: np.ndarray) -> np.ndarray:
-    return (grams >> K.U64(42)).astype(np.int64)
+#: Bytes of the filters that tell how many sets have an n-gram: one for each n-gram and level.
+FILTER_BYTES = 48 << 20
+#: From which number of sets on an n-gram is in a level.
+LEVELS = np.array([2, 3] + [k << e for e in range(1, 30) for k in (2, 3)])
+#: Bits of an n-gram's hash by which it is counted: a slice's number and a place in it. N-grams that share them only add candidates.
+_SLICES, _PLACE = 1 << 10, 26
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,43 +71,150 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return grams, at, np.where(size > 0, print_, K.U64(0))
 
 
-def _scan(n):
-    """Each text's set (dk, doc_id, fp, size), and at a task's end the counters of its n-grams."""
+def packed(places: np.ndarray) -> bytes:
+    """Ascending numbers as differences of 16 bits, 65535 for that much without a number."""
+    step = np.diff(places, prepend=0)
+    ends = np.cumsum(step // 65535 + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 65535, np.uint16)
+    out[ends - 1] = step % 65535
+    return out.tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    step = np.frombuffer(data, np.uint16)
+    return np.cumsum(step, dtype=np.int64)[step != 65535]
+
+
+def _once_a_task():
+    """Which sets (by hash) a task hasn't just had."""
+    given = np.zeros(1 << 18, np.uint64)
+
+    def new(fp):
+        slot = (fp & K.U64(len(given) - 1)).astype(np.int64)
+        some = (fp != 0) & (given[slot] != fp)
+        given[slot[some]] = fp[some]
+        return some
+
+    return new
+
+
+def _to_slices(n: int, groups: int):
+    """The counted bits of all n-grams of each set that this task hasn't just had."""
+
+    def flush(held):
+        code = np.sort(np.concatenate(held))
+        at = np.searchsorted(code >> K.U64(_PLACE), np.arange(_SLICES + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(at))
+        places = (code & K.U64((1 << _PLACE) - 1)).astype(np.int64)
+        out = [packed(places[at[k] : at[k + 1]]) for k in some]
+        yield pa.RecordBatch.from_pydict({"part": (some * groups // _SLICES).astype(np.int32), "slice": some.astype(np.int32), "grams": pa.array(out, pa.binary())})
 
     def run(it):
-        counts = np.zeros(_BUCKETS, np.uint8)
-        for batch, data, offsets in K.batches(it):
+        new, held, rows = _once_a_task(), [], 0
+        for _, data, offsets in K.batches(it):
             grams, at, fp = sets_of(data, offsets, n)
-            at_, more = np.unique(bucket(grams), return_counts=True)
-            counts[at_] = np.minimum(255, counts[at_] + more)
-            some = np.flatnonzero(fp)
-            none = pa.nulls(len(some))
-            yield pa.RecordBatch.from_pydict({
-                "dk": K.ints(batch, "dk")[some], "doc_id": K.ints(batch, "doc_id")[some], "fp": fp[some].view(np.int64), "size": np.diff(at)[some].astype(np.int32),
-                "block": none.cast(pa.int32()), "counts": none.cast(pa.binary()),
-            })
-        blocks = _BUCKETS // _COUNTERS
-        none = pa.nulls(blocks, pa.int64())
-        yield pa.RecordBatch.from_pydict({"dk": none, "doc_id": none, "fp": none, "size": none.cast(pa.int32()), "block": pa.array(range(blocks), pa.int32()), "counts": pa.array([x.tobytes() for x in counts.reshape(blocks, -1)], pa.binary())})
+            held.append(grams[np.repeat(new(fp), np.diff(at))] >> K.U64(64 - 10 - _PLACE))
+            rows += len(held[-1])
+            if rows >= 4_000_000:
+                yield from flush(held)
+                held, rows = [], 0
+        if rows:
+            yield from flush(held)
 
     return run
 
 
-def _total(table: pa.Table) -> pa.Table:
-    total = np.zeros(_COUNTERS, np.int64)
-    for x in table.column("counts"):
-        total += np.frombuffer(x.as_buffer(), np.uint8)
-    # an eighth of a doubling a step
-    codes = np.minimum(255, np.round(8 * np.log2(total + 1))).astype(np.uint8)
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([codes.tobytes()], pa.binary())})
+def _numbers(table: pa.Table) -> pa.Table:
+    """Of each slice the places that several sets have, their levels (from 1 on), and how many n-grams and places there are of each level."""
+    own, cells = table.column("slice").to_numpy(), table.column("grams")
+    out = {"slice": [], "grams": [], "levels": [], "places": [], "sets": []}
+    for k in np.unique(own):
+        place = np.sort(np.concatenate([unpacked(cells[int(c)].as_buffer()) for c in np.flatnonzero(own == k)]))
+        begin = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        count = np.diff(np.append(begin, len(place)))
+        level = np.searchsorted(LEVELS, count, side="right")
+        several = level > 0
+        out["slice"].append(int(k))
+        out["grams"].append(packed(place[begin[several]]))
+        out["levels"].append(level[several].astype(np.uint8).tobytes())
+        out["places"].append(np.bincount(level, minlength=len(LEVELS) + 1).tolist())
+        out["sets"].append(np.bincount(level, weights=count, minlength=len(LEVELS) + 1).astype(np.int64).tolist())
+    return pa.table({name: pa.array(x, kind) for (name, x), kind in zip(out.items(), (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))})
+
+
+class Numbers:
+    """How many sets have an n-gram, by Bloom filters of words of 64 bits: never too few, as far as levels go."""
+
+    def __init__(self, places: np.ndarray, most_bytes: int):
+        at_least = np.cumsum(places[::-1])[::-1]
+        words = -(-at_least // (8 * _SLICES))  # of a slice in each level's filter, at eight n-grams a word
+        bytes_ = np.cumsum(words[::-1])[::-1] * 8 * _SLICES
+        some = np.array([k for k in range(1, len(places)) if words[k] and bytes_[k] <= most_bytes], np.int64)
+        #: The levels that have a filter. Where all have, what is in none of them is one set's alone.
+        self.levels = some
+        self.alone = not places[1 : some[0] if len(some) else None].any()
+        self.words = words[some]
+        self.begin = np.cumsum(self.words) - self.words
+        self.wide = int(self.words.sum())
+        self.bits = np.zeros((_SLICES, self.wide), np.uint64)
 
+    @staticmethod
+    def _probe(code):
+        h = K.mix(code + K.U64(12345))
+        one = K.U64(1)
+        mask = np.left_shift(one, h & K.U64(63))
+        for k in (6, 12, 18):
+            mask |= np.left_shift(one, h >> K.U64(k) & K.U64(63))
+        return h >> K.U64(32), mask
+
+    def slice_bits(self, number: int, places: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.wide, np.uint64)
+        h, mask = self._probe((np.uint64(number) << K.U64(_PLACE)) | places.astype(np.uint64))
+        for level, begin, words in zip(self.levels, self.begin, self.words):
+            some = levels >= level
+            np.bitwise_or.at(out, begin + (h[some] * K.U64(words) >> K.U64(32)).astype(np.int64), mask[some])
+        return out
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """Each n-gram's number of filters that have it."""
+        found = np.zeros(len(grams), np.uint8)
+        code = grams >> K.U64(64 - 10 - _PLACE)
+        h, mask = self._probe(code)
+        base = (code >> K.U64(_PLACE)).astype(np.int64) * self.wide
+        bits, some = self.bits.ravel(), np.arange(len(grams))
+        for k, (begin, words) in enumerate(zip(self.begin, self.words), 1):
+            own = mask[some]
+            some = some[bits[base[some] + begin + (h[some] * K.U64(words) >> K.U64(32)).astype(np.int64)] & own == own]
+            if not len(some):
+                break
+            found[some] = k
+        return found
+
+
+def _filters(numbers: Numbers):
+    def run(it):
+        for batch in it:
+            own, grams, levels = (batch.column(k) for k in range(3))
+            out = [numbers.slice_bits(own[k].as_py(), unpacked(grams[k].as_buffer()), np.frombuffer(levels[k].as_buffer(), np.uint8)).tobytes() for k in range(len(batch))]
+            yield pa.RecordBatch.from_pydict({"slice": own, "bits": pa.array(out, pa.binary())})
+
+    return run
 
-def _counts(scan: DataFrame) -> np.ndarray:
-    """Logarithms of the corpus's counters: 4 MB, whatever the corpus."""
-    total = np.zeros(_BUCKETS, np.uint8)
-    for row in scan.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_total, "block int, counts binary").collect():
-        total[row.block * _COUNTERS : (row.block + 1) * _COUNTERS] = np.frombuffer(bytes(row.counts), np.uint8)
-    return total
+
+def _count(texts: DataFrame, n: int, most_bytes: int) -> tuple[Numbers, int]:
+    """The filters, and how many n-grams of sets may be shuffled."""
+    groups = min(_SLICES, 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slices = texts.mapInArrow(_to_slices(n, groups), "part int, slice int, grams binary")
+    counted = keep(slices.groupBy("part").applyInArrow(_numbers, "slice int, grams binary, levels binary, places array<long>, sets array<long>"), "set-numbers")
+    places, sets = np.zeros((2, len(LEVELS) + 1), np.int64)
+    for row in counted.select("places", "sets").collect():
+        places += row.places
+        sets += row.sets
+    numbers = Numbers(places, most_bytes)
+    if numbers.wide:
+        for row in counted.select("slice", "grams", "levels").mapInArrow(_filters(numbers), "slice int, bits binary").collect():
+            numbers.bits[row.slice] = np.frombuffer(bytes(row.bits), np.uint64)
+    return numbers, int(sets[1:].sum() if numbers.alone else sets.sum())
 
 
 def prefix_size(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -121,8 +233,12 @@ def needed(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
     return np.maximum(np.minimum(SHARED, overlap), overlap - left).astype(np.int32)
 
 
-def _prefixes(n: int, threshold: float, counts: np.ndarray, parts: int):
-    """Rows of packed (key, entry, size) for the first n-grams of each set that this task hasn't just had."""
+_SETS = "dk long, doc_id long, fp long, size int, part int, key binary, fps binary, sizes binary"
+
+
+def _prefixes(n: int, threshold: float, numbers: Numbers, parts: int):
+    """Each text's set (dk, doc_id, fp, size); and rows of packed (key, entry, size) for the first n-grams
+    of each set that this task hasn't just had, but those that no other set has."""
 
     def flush(key, fp, size):
         part = (key % K.U64(parts)).astype(np.int32)
@@ -132,26 +248,34 @@ def _prefixes(n: int, threshold: float, counts: np.ndarray, parts: int):
         fp, size = fp[order], size[order].view(np.uint8).reshape(-1, 4)  # byte by byte, as most high bytes are 0 and pack well
         for p in range(0, parts, 256):
             some = [q for q in range(p, min(parts, p + 256)) if ends[q] < ends[q + 1]]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in (("key", short), ("fps", fp))} | {"sizes": pa.array([size[ends[q] : ends[q + 1]].T.tobytes() for q in some], pa.binary())})
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_pydict({"dk": none, "doc_id": none, "fp": none, "size": none.cast(pa.int32()), "part": pa.array(some, pa.int32())} | {name: pa.array([x[ends[q] : ends[q + 1]].tobytes() for q in some], pa.binary()) for name, x in (("key", short), ("fps", fp))} | {"sizes": pa.array([size[ends[q] : ends[q + 1]].T.tobytes() for q in some], pa.binary())})
 
     def run(it):
-        given = np.zeros(1 << 18, np.uint64)
-        held, rows = [], 0
-        for _, data, offsets in K.batches(it):
+        new, held, rows = _once_a_task(), [], 0
+        for batch, data, offsets in K.batches(it):
             grams, at, fp = sets_of(data, offsets, n)
             size = np.diff(at)
-            slot = (fp & K.U64(len(given) - 1)).astype(np.int64)
-            new = (fp != 0) & (given[slot] != fp)
-            given[slot[new]] = fp[new]
-            doc = np.repeat(np.arange(len(size)), size)
-            mine = new[doc]
-            grams, doc = grams[mine], doc[mine]
-            order = np.lexsort((grams, counts[bucket(grams)], doc))
+            some = np.flatnonzero(fp)
+            none = pa.nulls(len(some), pa.binary())
+            yield pa.RecordBatch.from_pydict({"dk": K.ints(batch, "dk")[some], "doc_id": K.ints(batch, "doc_id")[some], "fp": fp[some].view(np.int64), "size": size[some].astype(np.int32), "part": none.cast(pa.int32()), "key": none, "fps": none, "sizes": none})
+            mine = np.repeat(new(fp), size)
+            grams, doc = grams[mine], np.repeat(np.arange(len(size)), size)[mine]
+            level = numbers.of(grams)
+            first = prefix_size(size, threshold)
+            if numbers.alone:
+                shared = level > 0
+                grams, doc, level = grams[shared], doc[shared], level[shared]
+                # a prefix begins with what no other set has
+                first = first - (size - np.bincount(doc, minlength=len(size)))
+                enough = (first >= np.minimum(SHARED, np.ceil(threshold * size - 1e-9)))[doc]
+                grams, doc, level = grams[enough], doc[enough], level[enough]
+            order = np.argsort((doc << 8) | level, kind="stable")  # n-grams of a set ascend
             grams, doc = grams[order], doc[order]
             rank = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(size)))[doc]
-            first = rank < prefix_size(size, threshold)[doc]
-            doc = doc[first]
-            held.append((K.mix(grams[first]), fp[doc], size[doc].astype(np.uint32)))
+            begin = rank < first[doc]
+            doc = doc[begin]
+            held.append((K.mix(grams[begin]), fp[doc], size[doc].astype(np.uint32)))
             rows += len(doc)
             if rows >= 2_000_000:
                 yield from flush(*(np.concatenate(x) for x in zip(*held)))
@@ -395,15 +519,15 @@ def _once(f):
     return run
 
 
-def _run(docs: DataFrame, n: int, threshold: float, most_bytes: int, short_run: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _run(docs: DataFrame, n: int, threshold: float, most_bytes: int, short_run: int, block: int, filter_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with a set (dk, doc_id, fp), entries (fp, rows) and what links (fp, links, root)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("dk")).where("doc_id is not null and text is not null")
-    scan = keep(own.mapInArrow(_scan(n), "dk long, doc_id long, fp long, size int, block int, counts binary"), "sets")
+    numbers, grams = _count(own.select("text"), n, filter_bytes)
+    parts = max(8, grams // 1_000_000)
+    scan = keep(own.mapInArrow(_prefixes(n, threshold, numbers, parts), _SETS), "sets")
     members = scan.where("fp is not null").select("dk", "doc_id", "fp", "size")
     entries = keep(members.groupBy("fp").agg(F.min("dk").alias("dk"), F.count(F.lit(1)).alias("rows"), F.first("size").alias("size")), "set-entries")
-    grams = entries.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
-    parts = max(8, int(grams * (1 - threshold)) // 1_000_000)
-    prefixes = own.select("text").mapInArrow(_prefixes(n, threshold, _counts(scan), parts), "part int, key binary, fps binary, sizes binary")
+    prefixes = scan.where("part is not null").select("part", "key", "fps", "sizes")
     runs = keep(prefixes.groupBy("part").applyInArrow(_runs(threshold, short_run, block), _RUNS), "set-runs")
     zero = F.when(F.col("kind") == 0, F.col("hits")).otherwise(0)
     counted = keep(runs.where("kind < 2").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.sum(zero).alias("short"), F.max("need").alias("need")), "set-pairs")
@@ -439,13 +563,13 @@ def _run(docs: DataFrame, n: int, threshold: float, most_bytes: int, short_run:
     return members, entries, total.join(classes.select(F.col("node").alias("fp"), "root"), "fp")
 
 
-def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most_bytes: int = GROUP_BYTES, short_run: int = SHORT_RUN, block: int = BLOCK) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most_bytes: int = GROUP_BYTES, short_run: int = SHORT_RUN, block: int = BLOCK, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row (doc_id, class_id, n_links) for each document.
 
     ``n_links`` is the number of other rows whose n-gram sets have Jaccard >=
     ``threshold`` with the row's. Links connect documents to classes;
-    ``class_id`` is the least doc_id of the class. ``most_bytes``, ``short_run``
-    and ``block`` don't change the result.
+    ``class_id`` is the least doc_id of the class. ``most_bytes``, ``short_run``,
+    ``block`` and ``filter_bytes`` don't change the result.
 
     Defined cases: a text of 1..n-1 words is one n-gram of all its words; null,
     empty and wordless texts have no set, link to nothing and are a class of
@@ -453,7 +577,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, most_b
     are rows of their own, whether their texts differ or not. Other columns are
     ignored, whatever their names. An empty table gives no rows.
     """
-    members, entries, linked = _run(docs, n, threshold, most_bytes, short_run, block)
+    members, entries, linked = _run(docs, n, threshold, most_bytes, short_run, block, filter_bytes)
     of = entries.select("fp", "rows").join(linked, "fp", "left").select("fp", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("links"), F.coalesce("root", "fp").alias("root"))
     rows = members.select("doc_id", "fp").join(of, "fp")
     least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -472,7 +596,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     Documents without a set, rows with a null doc_id and rows that repeat the
     least doc_id stay. Columns pass through, whatever their names.
     """
-    members, entries, linked = _run(docs, n, threshold, GROUP_BYTES, SHORT_RUN, BLOCK)
+    members, entries, linked = _run(docs, n, threshold, GROUP_BYTES, SHORT_RUN, BLOCK, FILTER_BYTES)
     some = entries.where("rows > 1").select("fp").union(linked.select("fp")).distinct()
     rows = members.join(some, "fp").join(linked.select("fp", "root"), "fp", "left").select("dk", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))

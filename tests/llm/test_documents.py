@@ -145,6 +145,40 @@ def test_join_against_brute_force(spark, most_bytes, short_run, block):
     assert as_rows(ngram_join.ngram_join(table(spark, texts), most_bytes=most_bytes, short_run=short_run, block=block)) == want
 
 
+@pytest.mark.parametrize("filter_bytes", [0, 20_000, 40_000])
+def test_join_without_filters_of_low_levels(spark, filter_bytes):
+    r = random.Random(21)
+    base = [sentence(r, r.choice([3, 20, 80, 300])) for _ in range(12)]
+    texts = base + [edited(r, x, len(x.split()) // r.choice([10, 15, 30])) for x in base for _ in range(5)]
+    got = ngram_join.ngram_join(table(spark, texts), filter_bytes=filter_bytes)
+    assert as_rows(got) == brute_classes(list(enumerate(texts)), ngram_join.N, ngram_join.THRESHOLD)
+
+
+def test_only_ngrams_of_several_sets_are_shuffled(spark):
+    """Of texts with n-grams of their own but a few, nothing goes to the runs; of a text and its copy, what both have does."""
+    import numpy as np
+    import pyarrow as pa
+
+    from millrace.llm import kernel as K
+
+    r = random.Random(22)
+    common = sentence(r, 6)
+    texts = [sentence(r, 200) + " " + common for _ in range(40)]
+    texts.append(edited(r, texts[0], 6))
+    docs = table(spark, texts).selectExpr("doc_id", "text", "doc_id dk")
+    numbers, _ = ngram_join._count(docs.select("text"), 3, ngram_join.FILTER_BYTES)
+    rows = docs.mapInArrow(ngram_join._prefixes(3, 0.5, numbers, 8), ngram_join._SETS).collect()
+    sent = np.concatenate([np.frombuffer(bytes(x.fps), np.int64) for x in rows if x.part is not None])
+    fp = {x.doc_id: x.fp for x in rows if x.part is None}
+    assert len(fp) == len(texts) and set(sent.tolist()) <= {fp[0], fp[40]} and len(sent) >= 2 * ngram_join.SHARED
+    sets = [ngram_join.sets_of(*K.buffers(K.plain(pa.array([x]))), 3)[0] for x in texts]
+    grams, count = np.unique(np.concatenate(sets), return_counts=True)
+    level = numbers.of(grams)
+    assert np.all(level >= np.searchsorted(ngram_join.LEVELS, count, side="right")) and (level[count == 1] > 0).mean() < 0.1
+    places = np.unique(r.sample(range(1 << 26), 500) + [0, 65534, 65535, 65536])
+    assert np.array_equal(ngram_join.unpacked(ngram_join.packed(places)), places)
+
+
 def test_trie_is_exact():
     import numpy as np
 
