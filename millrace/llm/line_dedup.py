@@ -553,14 +553,19 @@ def _groups(norms: DataFrame, lines: int, texts: int, similarity: float, short_r
     close = ends(short, fits(sketches, 64)).where(long - F.least("na", "nb") <= F.floor(long * (1 - similarity) + 1e-9))
     bits = sum((F.bit_count(F.col(w + "a").bitwiseXOR(F.col(w + "b"))) for w in _WORDS), F.lit(0))
     close = close.where((long < _SKETCHED) | (bits <= F.greatest(F.lit(24), F.floor(87 - 8 * F.log2(long / _SKETCHED))))).select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
-    members = runs.where("run is not null").select(F.col("a").alias("id"), "run", "block", "blocks", "place").join(sketches, "id").drop("id")
+    members = runs.where("run is not null").select(F.col("a").alias("id"), "run", "block", "blocks", "place")
+    # written, as they are needed twice; lines of runs are joined to their groups where they are
+    members = keep(members.join(F.broadcast(sketches) if fits(sketches, 64) else sketches, "id").drop("id"), "line-members")
     beside = members.groupBy("run", "block").applyInArrow(_neighbours(similarity), "a long, b long")
-    edges = _alike(keep(close.union(beside).distinct(), "line-pairs"), norms, similarity)
+    pairs = keep(close.union(beside).distinct(), "line-pairs")
+    edges = _alike(pairs, norms, similarity)
     groups = connected_components(edges)
-    of = members.join(groups.select(F.col("node").alias("h"), "root"), "h", "left").select("h", "n", "place", *_WORDS, "run", "block", "blocks", F.coalesce("root", "h").alias("g"))
+    roots = groups.select(F.col("node").alias("h"), "root")
+    of = members.join(F.broadcast(roots) if fits(groups, 16) else roots, "h", "left").select("h", "n", "place", *_WORDS, "run", "block", "blocks", F.coalesce("root", "h").alias("g"))
     # a pair of blocks is one task's; a run of one group only has nothing left to compare
     mixed = of.groupBy("run").agg((F.min("g") < F.max("g")).alias("mixed")).where("mixed").select("run")
-    of = of.join(mixed, "run").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed = keep(mixed, "line-mixed")
+    of = of.join(F.broadcast(mixed) if fits(mixed, 8) else mixed, "run").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     of = of.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     # by number, as their work is more than their size, by which partitions would be joined
     of = of.repartition(int(norms.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run", "p", "q")

@@ -178,3 +178,25 @@ def test_working_tables_go(spark):
     out = line_dedup.dedup_lines(table(spark, ["one line of some length here", "one line of some length there", "another"]))
     (left,) = set(glob.glob(folder + "*")) - before
     assert "line-removals" in left and sum(x.n_removed for x in out.collect()) == 1
+
+
+def test_lines_of_long_runs_are_joined_once(spark, monkeypatch):
+    """Their lengths and SimHashes are joined to them once; small tables of groups and runs then come to them, not they to these."""
+    plans = []
+    keep = line_dedup.keep
+
+    def seen(df, name, *more, **named):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, name, *more, **named)
+
+    monkeypatch.setattr(line_dedup, "keep", seen)
+    r = random.Random(31)
+    base = sentence(r, 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {x.doc_id for x in line_dedup.dedup_lines(table(spark, [base] + [edits(r, base, 2) for _ in range(12)]), short_run=2).collect() if x.n_removed}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == set(range(1, 13))
+    beside, rest = (plan for name, plan in plans if name == "line-pairs")
+    assert "SortMergeJoin" not in rest and "BroadcastHashJoin" in rest
