@@ -101,6 +101,19 @@ def best_threshold(score: np.ndarray, y: np.ndarray, negatives: float = 1.0) ->
     return float((s[k] + s[k + 1]) / 2)
 
 
+def _fitted(negatives: float):
+    """One row with the model of a task's examples; none without examples."""
+
+    def run(it):
+        found = sorted(row for batch in it for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "x", "y"))))
+        if found:
+            model = ftrl([(np.frombuffer(x, np.int32), y) for _, x, y in found], negatives=negatives)
+            yield pa.RecordBatch.from_pydict({"at": pa.array([model.index.tobytes()], pa.binary()), "weight": pa.array([model.weight.tobytes()], pa.binary()), "bias": [model.bias], "threshold": [model.threshold]})
+        K.release()
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model:
     """A model from at most ``per_class`` labelled documents of each class, and of
     those as many in the order of their ids' hashes as have ``class_bytes`` of
@@ -115,10 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_by
     by = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x"))
     before = F.coalesce(F.sum(F.octet_length("x")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # at most per_class ids a class, each with its rows
-    some = rows.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.octet_length("x") <= class_bytes)).select("doc_id", "y", "x").toArrow()
-    found = sorted(zip(some.column("doc_id").to_pylist(), some.column("x").to_pylist(), some.column("y").to_pylist()))
-    ratio = skew(labels, "toxic", per_class, rare=1)
-    return ftrl([(np.frombuffer(x, np.int32), y) for _, x, y in found], negatives=ratio)
+    some = rows.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.octet_length("x") <= class_bytes)).select("doc_id", "y", "x")
+    # one task's work, so that neither the examples nor the coordinates take the driver's memory
+    model = some.coalesce(1).mapInArrow(_fitted(skew(labels, "toxic", per_class, rare=1)), "at binary, weight binary, bias double, threshold double").first()
+    return ftrl([]) if model is None else Model(np.frombuffer(model["at"], np.int64), np.frombuffer(model["weight"], np.float32), model["bias"], model["threshold"])
 
 
 def _scores(model: Model):

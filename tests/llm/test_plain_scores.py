@@ -1,6 +1,7 @@
 """Models and scores against plain Python, and the fits' defined cases."""
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -198,3 +199,22 @@ def test_examples_are_bounded_in_bytes(spark):
     whole, few, one = (toxicity.fit(docs, labels, class_bytes=n) for n in (1 << 20, 400, 1))
     assert all(math.isfinite(m.bias) for m in (whole, few, one))
     assert docs.where(F.col("doc_id") < 0).count() == 0
+
+
+def test_toxicity_is_fitted_by_a_task(spark, monkeypatch):
+    """The driver neither gathers the examples nor fits; the model is that of all examples, in the order of their ids."""
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(30)}" for _ in range(12)) + (" bad worse" if k % 3 == 0 else "") for k in range(90)]
+    data, offsets = raw(texts)
+    at, unit = toxicity.features(K.Words(data, offsets))
+    want = toxicity.ftrl([(np.unique(at[unit == k]).astype(np.int32), int(k % 3 == 0)) for k in range(len(texts))])
+    real, driver = toxicity.ftrl, os.getpid()
+
+    def elsewhere(*args, **options):
+        assert os.getpid() != driver
+        return real(*args, **options)
+
+    monkeypatch.setattr(toxicity, "ftrl", elsewhere)
+    got = toxicity.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(len(texts))], "doc_id bigint, toxic int"))
+    assert got.index.tolist() == want.index.tolist() and len(got.index) > 0
+    assert got.weight.tolist() == want.weight.tolist() and got.bias == want.bias
