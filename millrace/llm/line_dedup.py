@@ -64,14 +64,16 @@ _STEP = 1.025
 _ID = (1 << 40) - 1
 #: Lines of a long run that are in one task at a time.
 BLOCK = 16_384
+_LOW = np.uint64(0x0F0F0F0F0F0F0F0F)
 _table: np.ndarray | None = None
 
 
 def _signs() -> np.ndarray:
-    """4096 random rows of 256 one-byte 0/1 lanes."""
+    """4096 random rows of 256 four-bit 0/1 lanes, lane k in the low half of byte k, or in the high half of byte k - 128; and a row of zeros."""
     global _table
     if _table is None:
-        _table = np.random.default_rng(20240229).integers(0, 2, size=(4096, 256), dtype=np.uint8)
+        lanes = np.random.default_rng(20240229).integers(0, 2, size=(4096, 256), dtype=np.uint8)
+        _table = np.concatenate([lanes[:, :128] | lanes[:, 128:] << 4, np.zeros((1, 128), np.uint8)]).view(np.uint64)
     return _table
 
 
@@ -95,50 +97,54 @@ def gather(chars: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.n
     return chars[np.arange(len(row)) + np.repeat(first[:-1][rows] - begin[:-1], n)], begin, row
 
 
-def grams(chars: np.ndarray, begin: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """40-bit hashes of all k-character grams of gathered lines, with the code of the gram's place in 8 bits more; and the lines' places."""
+def grams(chars: np.ndarray, begin: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """40-bit hashes of all k-character grams of gathered lines, with 8 bits more for the code of a place; the lines' places, and where the grams begin."""
     if len(chars) < k:
-        return np.empty(0, np.uint64), np.empty(0, np.int32)
+        return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64)
     total = np.zeros(len(chars) + 1, np.uint64)
     np.cumsum((chars.astype(np.uint64) + K.U64(1)) * K.powers(K._P, len(chars))[: len(chars)], out=total[1:])
-    h = (total[k:] - total[:-k]) * K.powers(K._PINV, len(chars))[: len(chars) - k + 1]
+    h = total[k:] - total[:-k]
+    h *= K.powers(K._PINV, len(chars))[: len(h)]
     inside = np.flatnonzero(row[: len(row) - k + 1] == row[k - 1 :])
-    own = row[inside]
-    place = (inside - begin[own]) * _PLACES // np.diff(begin)[own]
-    return (K.mix(h[inside]) >> K.U64(24) << K.U64(8)) | place.astype(np.uint64), own
+    h = K.mix(h[inside])
+    h >>= K.U64(24)
+    h <<= K.U64(8)
+    return h, row[inside], inside
 
 
-def least_grams(h: np.ndarray, row: np.ndarray, rows: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``most`` least distinct hashes of each row (0: all), their rows and places."""
+def least_grams(h: np.ndarray, row: np.ndarray, inside: np.ndarray, begin: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` least distinct hashes of each line's grams (0: all), their lines and places."""
+    rows, length = len(begin) - 1, np.diff(begin).astype(np.float64)
 
-    def least(h, row):
-        out = []
+    def least(at):
+        # as integers would give them: a product below 2^52 is exact, and a quotient never rounds up to the next whole number
+        row_, out = row[at], []
+        h_ = h[at] | ((inside[at] - begin[row_]) * float(_PLACES) / length[row_]).astype(np.uint64)
         # 16 bits for the row
         for lo in range(0, rows, 1 << 16):
-            some = (row >= lo) & (row < lo + (1 << 16)) if rows > 1 << 16 else slice(None)
-            code = np.sort(((row[some] - lo).astype(np.uint64) << K.U64(48)) | h[some])
+            some = (row_ >= lo) & (row_ < lo + (1 << 16)) if rows > 1 << 16 else slice(None)
+            code = np.sort(((row_[some] - lo).astype(np.uint64) << K.U64(48)) | h_[some])
             new = np.ones(len(code) + 1, bool)
             new[1:-1] = code[1:] >> K.U64(8) != code[:-1] >> K.U64(8)
             place = np.where(new[1:], code & K.U64(255), K.U64(_ANYWHERE)).astype(np.uint8)[new[:-1]]
             code = code[new[:-1]]
-            at = (code >> K.U64(48)).astype(np.int64) + lo
+            own = (code >> K.U64(48)).astype(np.int64) + lo
             if most:
-                rank = np.arange(len(code)) - np.searchsorted(at, np.arange(lo, min(rows, lo + (1 << 16))))[at - lo]
-                code, at, place = code[rank < most], at[rank < most], place[rank < most]
-            out.append((code >> K.U64(8) & K.U64((1 << 40) - 1), at, place))
+                rank = np.arange(len(code)) - np.searchsorted(own, np.arange(lo, min(rows, lo + (1 << 16))))[own - lo]
+                code, own, place = code[rank < most], own[rank < most], place[rank < most]
+            out.append((code >> K.U64(8) & K.U64((1 << 40) - 1), own, place))
         return out[0] if len(out) == 1 else tuple(np.concatenate(x) for x in zip(*out))
 
     if not most or not len(h):
-        return least(h, row)
+        return least(slice(None))
     n = np.bincount(row, minlength=rows)
     # most hashes can't be among the least; where too few are left, as grams repeat, all are taken
     part = np.where(n > 3 * most, 3.0 * most / np.maximum(n, 1), 1.0)
     cut = (part * (1 << 40)).astype(np.uint64) << K.U64(8)
-    some = h < cut[row]
-    found = least(h[some], row[some])
+    found = least(np.flatnonzero(h < cut[row]))
     again = (np.bincount(found[1], minlength=rows) < most) & (part < 1)
     if again.any():
-        more = least(h[again[row]], row[again[row]])
+        more = least(np.flatnonzero(again[row]))
         found = tuple(np.concatenate([x[~again[found[1]]], y]) for x, y in zip(found, more))
     return found
 
@@ -146,30 +152,42 @@ def least_grams(h: np.ndarray, row: np.ndarray, rows: int, most: int) -> tuple[n
 def simhash(chars: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """(lines, 4) words: each line's 256-bit SimHash of its 4-character grams; 0 where it has none."""
     rows = len(begin) - 1
-    total = np.zeros((rows, 256), np.int32)
     n = np.maximum(np.diff(begin) - 3, 0)
+    out = np.zeros((rows, 4), np.uint64)
     if not n.any():
-        return np.zeros((rows, 4), np.uint64)
+        return out
     c = chars.astype(np.uint32)
     h = c[:-3] * np.uint32(0x9E3779B1) + c[1:-2] * np.uint32(0x85EBCA77) + c[2:-1] * np.uint32(0xC2B2AE3D) + c[3:] * np.uint32(0x27D4EB2F)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    feature = (h >> np.uint32(20)).astype(np.int64)
-    signs = _signs().view(np.uint64)
-    # a lane holds at most 255, so a line is summed in runs of 255 grams
-    runs = -(-n // 255)
-    of = np.repeat(np.arange(rows), runs)
-    start = begin[of] + (np.arange(len(of)) - (np.cumsum(runs) - runs)[of]) * 255
-    stop = np.minimum(start + 255, (begin[:-1] + n)[of])
-    for lo in range(0, len(start), 256):
-        a, b, own = start[lo : lo + 256], stop[lo : lo + 256], of[lo : lo + 256]
-        size = b - a
-        at = np.cumsum(size) - size
-        places = np.arange(int(size.sum())) + np.repeat(a - at, size)
-        lanes = np.add.reduceat(signs[feature[places]], at, axis=0).view(np.uint8).reshape(len(a), 256)
-        here, first = np.unique(own, return_index=True)
-        total[here] += np.add.reduceat(lanes.astype(np.int32), first, axis=0)
-    return np.packbits(2 * total > n[:, None], axis=1).view(np.uint64).reshape(rows, 4)
+    feature = (h >> np.uint32(20)).astype(np.int32)
+    signs = _signs()
+    # a lane holds at most 15, so a line is summed in runs of 15 grams, a gram of each run at a time; row 4096 is zero
+    runs = -(-n // 15)
+    ends = np.cumsum(runs)
+    # by whole lines, some 512 runs at a time, as their sums then stay in the cache
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]), 512)), rows))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        some = runs[lo:hi]
+        of = np.repeat(np.arange(lo, hi), some)
+        if not len(of):
+            continue
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(some) - some, some)
+        at = begin[of] + nth * 15 + np.arange(15)[:, None]
+        own = feature.take(at, mode="clip")
+        own[at >= (begin[:-1] + n)[of]] = 4096
+        lanes = signs.take(own[0], axis=0)
+        for step in range(1, 15):
+            lanes += signs.take(own[step], axis=0)
+        # in a byte a lane holds 17 runs
+        first = np.flatnonzero(nth % 17 == 0)
+        total = np.add.reduceat(np.concatenate([lanes & _LOW, lanes >> np.uint64(4) & _LOW], axis=1), first, axis=0).view(np.uint8).astype(np.int32)
+        here = of[first]
+        if nth.max() >= 17:
+            new = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
+            total, here = np.add.reduceat(total, new, axis=0), here[new]
+        out[here] = np.packbits(2 * total > n[here][:, None], axis=1).view(np.uint64)
+    return out
 
 
 def line_keys(chars: np.ndarray, first: np.ndarray, size: int):
@@ -189,7 +207,7 @@ def placed_keys(chars: np.ndarray, first: np.ndarray, size: int):
         own, begin, row = gather(chars, first, rows)
         if kind:
             k, most = class_grams(kind, size)
-            key, at, place = least_grams(*grams(own, begin, row, k), len(rows), most)
+            key, at, place = least_grams(*grams(own, begin, row, k), begin, most)
         else:
             key, at = halves(own, begin)
             place = np.full(len(at), _ANYWHERE, np.uint8)
@@ -418,19 +436,18 @@ class Lines:
         return (before + behind <= np.maximum(self.edits[a], self.edits[b]) * _PLACES + 2 * longer) | (np.maximum(x, y) == _ANYWHERE)
 
 
-def neighbours(lines: Lines, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """For each line of a run the nearest one before it among those beside it in four orders of the SimHash."""
+def neighbours(lines: Lines, unit: np.ndarray, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """For each line of a unit (a run's block) the nearest one before it among those beside it in four orders of the SimHash."""
     a, b = [], []
     for turn in range(4):
-        order = np.argsort(lines.words[turn], kind="stable")
-        for step in range(1, min(width, len(order) - 1) + 1):
+        order = np.lexsort((lines.words[turn], unit))
+        for step in range(1, width + 1):
             i, j = order[:-step], order[step:]
-            i, j = np.maximum(i, j), np.minimum(i, j)
+            same = unit[i] == unit[j]
+            i, j = np.maximum(i[same], j[same]), np.minimum(i[same], j[same])
             ok = lines.near(i, j)
             a.append(i[ok])
             b.append(j[ok])
-    if not a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = np.concatenate(a), np.concatenate(b)
     order = np.lexsort((lines.differing(a, b), a))
     a, b = a[order], b[order]
@@ -439,18 +456,26 @@ def neighbours(lines: Lines, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-def unconnected(lines: Lines, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All candidate pairs of lines of different groups, by places."""
-    by_group = np.lexsort((lines.n, g))
-    past = np.searchsorted(g[by_group], g[by_group], side="right")
-    by_length = np.argsort(lines.n, kind="stable")
-    n = lines.n[by_length]
+def unconnected(lines: Lines, g: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All candidate pairs of lines of one unit and different groups, by places."""
+    rows = np.arange(len(g))
+    by_group, by_length = np.lexsort((lines.n, g, unit)), np.lexsort((lines.n, unit))
+    # either order has the units in the same places
+    of = unit[by_length]
+    end = np.searchsorted(of, of, side="right")
+    x = g[by_group]
+    past = np.append(np.flatnonzero((x[1:] != x[:-1]) | (of[1:] != of[:-1])) + 1, len(g))
+    past = np.repeat(past, np.diff(np.append(0, past)))
+    longest = end
+    if np.all(lines.edits * 9 <= lines.n):
+        n = lines.n[by_length].astype(np.int64)
+        _, dense = np.unique(of, return_inverse=True)
+        longest = np.searchsorted(dense << 33 | n, dense << 33 | (n * 10 // 9 + 2), side="right")
     # the way with fewer pairs to look at: those of other groups, or those of near lengths
-    longest = np.searchsorted(n, n * 10 // 9 + 2, side="right") if len(n) and np.all(lines.edits * 9 <= lines.n) else np.full(len(n), len(n))
-    if (len(g) - past).sum() <= (longest - np.arange(len(n)) - 1).sum():
-        order, first, last = by_group, past, np.full(len(g), len(g))
-    else:
-        order, first, last = by_length, np.arange(len(g)) + 1, longest
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+    fewer = np.add.reduceat(end - past, first) <= np.add.reduceat(longest - rows - 1, first) if len(of) else np.empty(0, bool)
+    fewer = np.repeat(fewer, np.diff(np.append(first, len(of))))
+    order, first, last = np.where(fewer, by_group, by_length), np.where(fewer, past, rows + 1), np.where(fewer, end, longest)
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     left, step = np.flatnonzero(first < last), 0
     while len(left):
@@ -465,6 +490,18 @@ def unconnected(lines: Lines, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
+def _units(table: pa.Table, *names: str) -> np.ndarray:
+    """A number for each row's unit, which the columns name."""
+    parts = [table.column(c).to_numpy() for c in names]
+    order = np.lexsort(parts)
+    new = np.zeros(len(order), bool)
+    for x in parts:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def _lines(table: pa.Table, similarity: float) -> tuple[np.ndarray, Lines]:
     h, n, place, *words = (table.column(c).to_numpy() for c in ("h", "n", "place", *_WORDS))
     return h, Lines(n, words, similarity, place.astype(np.int64))
@@ -478,7 +515,7 @@ def _pairs(h, a, b):
 def _neighbours(similarity: float):
     def run(table: pa.Table) -> pa.Table:
         h, lines = _lines(table, similarity)
-        return _pairs(h, *neighbours(lines))
+        return _pairs(h, *neighbours(lines, _units(table, "run", "block")))
 
     return run
 
@@ -486,11 +523,11 @@ def _neighbours(similarity: float):
 def _unconnected(similarity: float):
     def run(table: pa.Table) -> pa.Table:
         h, lines = _lines(table, similarity)
-        g, block = table.column("g").to_numpy(), table.column("block").to_numpy()
-        a, b = unconnected(lines, g)
-        if table.column("p")[0] != table.column("q")[0]:  # pairs within a block are another task's
-            a, b = a[block[a] != block[b]], b[block[a] != block[b]]
-        return _pairs(h, a, b)
+        g, block, p, q = (table.column(c).to_numpy() for c in ("g", "block", "p", "q"))
+        a, b = unconnected(lines, g, _units(table, "run", "p", "q"))
+        # pairs within a block are those of the unit that has it twice
+        ok = (p[a] == q[a]) | (block[a] != block[b])
+        return _pairs(h, a[ok], b[ok])
 
     return run
 
@@ -556,7 +593,10 @@ def _groups(norms: DataFrame, lines: int, texts: int, similarity: float, short_r
     members = runs.where("run is not null").select(F.col("a").alias("id"), "run", "block", "blocks", "place")
     # written, as they are needed twice; lines of runs are joined to their groups where they are
     members = keep(members.join(F.broadcast(sketches) if fits(sketches, 64) else sketches, "id").drop("id"), "line-members")
-    beside = members.groupBy("run", "block").applyInArrow(_neighbours(similarity), "a long, b long")
+    # small runs are many, so a call has a bin of them
+    partitions = int(norms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = max(4 * partitions, members.count() // 20_000)
+    beside = members.groupBy(F.pmod(F.xxhash64("run", "block"), F.lit(bins)).alias("bin")).applyInArrow(_neighbours(similarity), "a long, b long")
     pairs = keep(close.union(beside).distinct(), "line-pairs")
     edges = _alike(pairs, norms, similarity)
     groups = connected_components(edges)
@@ -568,8 +608,8 @@ def _groups(norms: DataFrame, lines: int, texts: int, similarity: float, short_r
     of = of.join(F.broadcast(mixed) if fits(mixed, 8) else mixed, "run").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     of = of.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     # by number, as their work is more than their size, by which partitions would be joined
-    of = of.repartition(int(norms.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run", "p", "q")
-    rest = of.groupBy("run", "p", "q").applyInArrow(_unconnected(similarity), "a long, b long")
+    of = of.withColumn("bin", F.pmod(F.xxhash64("run", "p", "q"), F.lit(bins))).repartition(partitions, "bin")
+    rest = of.groupBy("bin").applyInArrow(_unconnected(similarity), "a long, b long")
     rest = keep(rest.distinct(), "line-pairs")
     if rest.isEmpty():
         return groups.select(F.col("node").alias("h"), F.col("root").alias("g"))
@@ -603,7 +643,10 @@ def _removals(docs: DataFrame, similarity: float, fuzzy_bytes: int, short_run: i
         if fits(groups, 16):
             groups = F.broadcast(groups)
         of = scan.select("dk", "doc_id", "line", "h").join(groups, "h", "left").select("dk", "doc_id", "line", F.coalesce("g", "h").alias("g"))
-        kept = of.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "dk", "line")).alias("kept")).where("n > 1")
+        # most lines are alone; no more than their hashes is shuffled
+        several = keep(of.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "line-several")
+        of = of.join(F.broadcast(several) if fits(several, 8) else several, "g")
+        kept = of.groupBy("g").agg(F.min(F.struct("doc_id", "dk", "line")).alias("kept"))
         gone = of.join(kept.select("g", F.col("kept.dk").alias("kd"), F.col("kept.line").alias("kl")), "g").where("dk <> kd or line <> kl")
         lists = gone.groupBy("dk").agg(F.collect_list("line").alias("lines"))
         removals = keep(lists.mapInArrow(_masks, "dk long, gone array<boolean>, n_gone int"), "line-removals", stays=True)

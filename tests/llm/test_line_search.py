@@ -200,3 +200,42 @@ def test_lines_of_long_runs_are_joined_once(spark, monkeypatch):
     assert got == set(range(1, 13))
     beside, rest = (plan for name, plan in plans if name == "line-pairs")
     assert "SortMergeJoin" not in rest and "BroadcastHashJoin" in rest
+
+
+def test_runs_are_searched_together():
+    """A call has many runs: only pairs within one, of different groups, and all of them that are near."""
+    r = random.Random(21)
+    texts, unit = [], []
+    for k in range(30):
+        base = sentence(r, 14)
+        texts += [edits(r, base, r.choice([0, 2, 5, 9])) + "x" * r.randrange(4) for _ in range(r.choice([1, 2, 3, 20]))]
+        unit += [k // 2] * (len(texts) - len(unit))
+    order = r.sample(range(len(texts)), len(texts))
+    unit, g = np.array(unit)[order], np.array([r.randrange(5) for _ in texts])
+    chars, first = line_dedup.code_points(*K.buffers(K.plain(pa.array([texts[k] for k in order]))))
+    lines = line_dedup.Lines(np.diff(first), list(line_dedup.simhash(chars, first).T), 0.9)
+    i, j = np.triu_indices(len(texts), 1)
+    at = lines.near(i, j)
+    near = {(int(a), int(b)) for a, b in zip(i[at], j[at]) if unit[a] == unit[b]}
+    got = [tuple(sorted((int(a), int(b)))) for a, b in zip(*line_dedup.unconnected(lines, g, unit))]
+    assert len(got) == len(set(got)) > 50 and set(got) == {(a, b) for a, b in near if g[a] != g[b]}
+    beside = {tuple(sorted((int(a), int(b)))) for a, b in zip(*line_dedup.neighbours(lines, unit))}
+    assert beside <= near and len(beside) > 50
+    none = np.empty(0, np.int64)
+    empty = line_dedup.Lines(none, [none] * 4, 0.9)
+    assert all(len(x) == 0 for x in (*line_dedup.unconnected(empty, none, none), *line_dedup.neighbours(empty, none)))
+
+
+def test_simhash_counts_every_gram():
+    """Lines of any length, around the ends of the lanes' sums, against plain sums."""
+    r = random.Random(22)
+    texts = ["".join(r.choices("abcdef é中", k=n)) for n in (0, 3, 4, 5, 17, 18, 19, 33, 34, 257, 258, 259, 273, 513, 514, 4000, 0, 9_000)]
+    chars, first = line_dedup.code_points(*K.buffers(K.plain(pa.array(texts))))
+    signs = np.random.default_rng(20240229).integers(0, 2, size=(4096, 256), dtype=np.uint8)
+    for text, got in zip(texts, line_dedup.simhash(chars, first)):
+        c = [ord(x) for x in text]
+        total, n = np.zeros(256, np.int64), max(0, len(c) - 3)
+        for p in range(n):
+            h = sum(x * m for x, m in zip(c[p : p + 4], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))) & 0xFFFFFFFF
+            total += signs[((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 20]
+        assert np.packbits(2 * total > n).tobytes() == got.tobytes()
