@@ -129,8 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_by
     before = F.coalesce(F.sum(F.octet_length("x")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # at most per_class ids a class, each with its rows
     some = rows.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.octet_length("x") <= class_bytes)).select("doc_id", "y", "x")
-    # one task's work, so that neither the examples nor the coordinates take the driver's memory
-    model = some.coalesce(1).mapInArrow(_fitted(skew(labels, "toxic", per_class, rare=1)), "at binary, weight binary, bias double, threshold double").first()
+    # one task's work, so that neither the examples nor the coordinates take the driver's memory; written, so that it reads no more than these
+    model = keep(some, "toxic-sample").coalesce(1).mapInArrow(_fitted(skew(labels, "toxic", per_class, rare=1)), "at binary, weight binary, bias double, threshold double").first()
     return ftrl([]) if model is None else Model(np.frombuffer(model["at"], np.int64), np.frombuffer(model["weight"], np.float32), model["bias"], model["threshold"])
 
 
