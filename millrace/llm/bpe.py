@@ -1,9 +1,11 @@
 """Byte-pair encoding and decoding with a public vocabulary.
 
-A text is cut into pieces by the vocabulary's pattern. A piece's symbols form a
+A text is cut into pieces by the vocabulary's pattern. A long piece's symbols form a
 doubly linked list; a priority queue holds the ranks of neighbouring pairs, and
-entries whose symbols have merged meanwhile are skipped as stale. Each distinct
-piece is encoded once per task. Decoding concatenates vocabulary strings.
+entries whose symbols have merged meanwhile are skipped as stale. Short pieces, as
+most are, are encoded many at a time: a round merges the pair of least rank of each,
+and only the two pairs beside it are ranked anew. A worker remembers the pieces that
+it has met lately. Decoding concatenates vocabulary strings.
 """
 
 import base64
@@ -27,8 +29,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 _ODD = frozenset("\x1c\x1d\x1e\x1f" + "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) in ("No", "Nl")))
 _ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-#: Distinct pieces that a task remembers before it starts anew.
+#: Distinct pieces that a worker remembers: half of them the last it has met, half those before.
 CACHE = 300_000
+#: Bytes from which on a piece is encoded by itself, and new pieces from which on the others are encoded together.
+_LONG, _FEW = 64, 32
+_NONE = np.int64(1 << 62)
 
 
 def load(path: str) -> dict[bytes, int]:
@@ -72,6 +77,90 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[s] for s in symbol if s is not None]
 
 
+class Pairs:
+    """Ranks of pairs of symbols, which are known by their ranks: a hash table with linear probing."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = [(a << 32 | b, rank) for s, rank in ranks.items() for k in range(1, len(s)) if (a := ranks.get(s[:k])) is not None and (b := ranks.get(s[k:])) is not None]
+        self.bits = max(8, (4 * len(found)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        key, rank = np.array(found, np.int64).reshape(-1, 2).T
+        at = self._slots(key)
+        while len(key):
+            # of those that want a slot the last written has it
+            free = self.keys[at] < 0
+            self.keys[at[free]] = key[free]
+            own = self.keys[at] == key
+            self.ranks[at[own]] = rank[own]
+            key, rank, at = key[~own], rank[~own], at[~own] + 1 & len(self.keys) - 1
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs, -1 for those that don't merge."""
+        key = a << 32 | b
+        at = self._slots(key)
+        out, have = self.ranks[at], self.keys[at]
+        left = np.flatnonzero((have != key) & (have >= 0))
+        out[have != key] = -1
+        while len(left):
+            at[left] = at[left] + 1 & len(self.keys) - 1
+            have = self.keys[at[left]]
+            hit = have == key[left]
+            out[left[hit]] = self.ranks[at[left[hit]]]
+            left = left[~hit & (have >= 0)]
+        return out
+
+
+def encode_pieces(pieces: list[bytes], byte_ranks: np.ndarray, pairs: Pairs) -> list[bytes]:
+    """Token ids of pieces of a byte or more, as the bytes of 32-bit integers."""
+    size = np.array([len(p) for p in pieces], np.int64)
+    symbol = byte_ranks[np.frombuffer(b"".join(pieces), np.uint8)]
+    out: list[bytes] = [b""] * len(pieces)
+    own = np.arange(len(pieces))  # the piece of each run of symbols
+
+    def ranked(at, last):
+        """A pair's rank and its first symbol's place, by which the first of equal pairs is the least."""
+        got = np.full(len(at), _NONE)
+        inner = np.flatnonzero(~last)
+        rank = pairs(symbol[at[inner]], symbol[at[inner] + 1])
+        got[inner] = np.where(rank >= 0, rank, _NONE)
+        return got
+
+    last = np.zeros(len(symbol), bool)
+    last[np.cumsum(size) - 1] = True
+    rank = ranked(np.arange(len(symbol)), last)
+    while len(own):
+        begin = np.cumsum(size) - size
+        least = np.minimum.reduceat(rank, begin)
+        over = least == _NONE
+        if over.any():
+            raw, ends = symbol.astype(np.int32).tobytes(), begin + size
+            for k in np.flatnonzero(over).tolist():
+                out[own[k]] = raw[4 * begin[k] : 4 * ends[k]]
+            stay = np.repeat(~over, size)
+            symbol, rank, last = symbol[stay], rank[stay], last[stay]
+            own, size, least = own[~over], size[~over], least[~over]
+            if not len(own):
+                break
+            begin = np.cumsum(size) - size
+        place = np.flatnonzero(rank == np.repeat(least, size))
+        of = np.searchsorted(begin, place, side="right") - 1
+        place = place[np.append(True, of[1:] != of[:-1])]
+        symbol[place] = least
+        last[place] = last[place + 1]
+        stay = np.ones(len(symbol), bool)
+        stay[place + 1] = False
+        symbol, rank, last = symbol[stay], rank[stay], last[stay]
+        size -= 1
+        place -= np.arange(len(place))
+        rank[place] = ranked(place, last[place])
+        ahead = place[place > np.cumsum(size) - size] - 1
+        rank[ahead] = ranked(ahead, last[ahead])
+    return out
+
+
 class Codec:
     """Encoder and decoder over one vocabulary."""
 
@@ -85,23 +174,42 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(self.strings), np.uint8)
         self.ascii, self.fast, self.any = re.compile(_ASCII, re.ASCII), re.compile(_FAST), regex.compile(PATTERN)
         self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.byte_ranks = np.array([ranks.get(bytes([k]), -1) for k in range(256)], np.int64)
+        self.pairs: Pairs | None = None
 
-    def ids(self, text: str) -> np.ndarray:
+    def cut(self, text: str) -> list[str]:
         if text.isascii():
             odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-            pieces = (self.any if odd else self.ascii).findall(text)
-        else:
-            pieces = (self.fast if _ODD.isdisjoint(text) else self.any).findall(text)
-        known = self.pieces
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            for p in pieces:
-                if p not in known:
-                    known[p] = np.array(encode_piece(p.encode(), self.ranks), np.int32).tobytes()
-            return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
+            return (self.any if odd else self.ascii).findall(text)
+        return (self.fast if _ODD.isdisjoint(text) else self.any).findall(text)
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        cut = [self.cut(t) for t in texts]
+        if len(self.pieces) > CACHE // 2:
+            self.before, self.pieces = self.pieces, {}
+        known, before = self.pieces, self.before
+        some = []
+        for p in set().union(*cut).difference(known):
+            have = before.get(p)
+            if have is not None:
+                known[p] = have
+            else:
+                some.append(p)
+        raw = [p.encode() for p in some]
+        short = [k for k, p in enumerate(raw) if len(p) < _LONG] if len(raw) >= _FEW and self.byte_ranks.min() >= 0 else []
+        if short:
+            if self.pairs is None:
+                self.pairs = Pairs(self.ranks)
+            known.update(zip([some[k] for k in short], encode_pieces([raw[k] for k in short], self.byte_ranks, self.pairs)))
+        for p, x in zip(some, raw):
+            if p not in known:
+                known[p] = np.array(encode_piece(x, self.ranks), np.int32).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32) for pieces in cut]
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the vocabulary strings of ``ids``, one after another."""
@@ -130,7 +238,7 @@ def _encode(path, check):
             null = batch.column(batch.schema.get_field_index("text")).is_null().to_numpy(zero_copy_only=False)
             raw = data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(offsets, offsets[1:])]
-            ids = [c.ids(t) for t in texts]
+            ids = c.all_ids(texts)
             at = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=at[1:])
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))

@@ -188,6 +188,23 @@ def test_bpe_pieces_by_brute_force(codec):
         assert bpe.encode_piece(piece, codec.ranks) == [codec.ranks[p] for p in parts]
 
 
+def test_bpe_short_pieces_are_encoded_together(codec, monkeypatch):
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choice("aeiou thnsr é猫0.") for _ in range(r.randrange(1, n))) for _ in range(60)) for n in (4, 12, 30, 50) for _ in range(5)]
+    texts += ["", "a", "x" * 300, " " * 90 + "b", "nnnnnnnn" * 6]
+    want = [[t for p in codec.cut(text) for t in bpe.encode_piece(p.encode(), codec.ranks)] for text in texts]
+    alone, one = [], bpe.encode_piece
+    monkeypatch.setattr(bpe, "encode_piece", lambda piece, ranks: alone.append(piece) or one(piece, ranks))
+    for cache in (bpe.CACHE, 100):
+        monkeypatch.setattr(bpe, "CACHE", cache)
+        own = bpe.Codec(codec.ranks)
+        assert [x.tolist() for x in own.all_ids(texts)] == want
+        assert alone and all(len(p) >= bpe._LONG for p in alone)
+        for text, ids in zip(texts * 2, want * 2):
+            assert own.all_ids([text])[0].tolist() == ids
+        alone.clear()
+
+
 def test_bpe_tables(spark):
     df = odd(spark)
     out = bpe.encode(df).select("doc_id", "text", "tokens", "n_tokens", "round_trip")
