@@ -56,9 +56,11 @@ def parse_txt(lines: DataFrame, bilingual: bool = False) -> DataFrame:
 
 def parse_tsv(lines: DataFrame, bilingual: bool = False, normalize_numeric_keys: bool = False) -> DataFrame:
     """Two columns under a header. Keys stay as written; with
-    ``normalize_numeric_keys`` whole numbers lose leading zeros."""
-    f = F.from_csv("value", F.lit("key STRING, text STRING"), {"sep": "\t", "escape": '"'})
-    rows = lines.where("pos > 0").select("file_ix", "pos", f["key"].alias("key"), f["text"].alias("text"))
+    ``normalize_numeric_keys`` whole numbers lose leading zeros. An empty field is null, but empty where it is quoted."""
+    # by default the escape's own escape is the character 0, which then is lost
+    f = F.from_csv("value", F.lit("key STRING, text STRING"), {"sep": "\t", "escape": '"', "charToEscapeQuoteEscaping": '"'})
+    key, text = (F.when(x.isNull() & quoted, "").otherwise(x) for x, quoted in ((f["key"], F.startswith("value", F.lit('""\t'))), (f["text"], F.endswith("value", F.lit('\t""')))))
+    rows = lines.where("pos > 0").select("file_ix", "pos", key.alias("key"), text.alias("text"))
     return rows.withColumn("key", F.when(F.col("key").rlike(r"^\d+$"), F.expr("cast(cast(key as decimal(38)) as string)")).otherwise(F.col("key"))) if normalize_numeric_keys else rows
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
+from millrace import catalog_queries
 from millrace.sources import captions as C
 from millrace.sources.text import count_lines, read_lines
 
@@ -123,3 +124,13 @@ def test_captions(spark, tmp_path):
         C.read_captions(spark, write(tmp_path, "{}"), "nope")
     with pytest.raises(PySparkException):
         read("txt", "one field\n")
+
+
+def test_tsv_keeps_every_character(spark, tmp_path):
+    texts = ["", "\0", "a\0b", "\0 ", " \n", "a\n", "back\\", None, "x" * 1_048_573 + "\0\nabc"]
+    spark.createDataFrame([(k, t, "src1", "en") for k, t in enumerate(texts)], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalog_queries.QUERIES["caption_tsv"](spark, str(tmp_path)).collect()
+    assert {r.key: r.text for r in rows} == {str(k): t and t.replace("\n", " ") for k, t in enumerate(texts)}
+    lines = spark.createDataFrame([(0, 1, '"a ""b"""\t"""\0"""'), (0, 2, "k\t"), (0, 3, '""\t"\0""x"'), (0, 4, '"q"\t""')], "file_ix int, pos int, value string")
+    got = [(r.key, r.text) for r in C.parse_tsv(lines).orderBy("pos").collect()]
+    assert got == [('a "b"', '"\0"'), ("k", None), ("", '\0"x'), ("q", "")]
