@@ -27,6 +27,8 @@ long runs included, are then joined in the same way. So no link is lost: the
 result is that of comparing all pairs.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +46,8 @@ SHARED = 16
 SHORT_RUN = 8
 #: Entries of a long run that are in one task at a time.
 BLOCK = 8192
+#: Pairs of a long run that its task gives out at a time.
+MOST_PAIRS = 1 << 20
 #: N-grams (8 bytes each) that a trie's task takes; larger groups are taken apart into pairs of blocks.
 GROUP_BYTES = 8 << 20
 #: Bytes of the filters that tell how many sets have an n-gram: one for each n-gram and level.
@@ -331,32 +335,41 @@ def _runs(threshold: float, short_run: int, block: int):
     return run
 
 
-def _across(threshold: float):
-    """Pairs of entries of different groups in a long run, one n-gram in common each."""
+def _across(threshold: float, most_pairs: int = MOST_PAIRS):
+    """Pairs of entries of different groups in a long run, one n-gram in common each, given out some ``most_pairs`` at a time,
+    as a pair of blocks may have thousands for each of its entries."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         fp, g, size, most, block = (table.column(c).to_numpy() for c in ("fp", "g", "size", "most", "block"))
         order = np.lexsort((size, g))
-        g, size, most = g[order], size[order].astype(np.int64), most[order]
+        fp, g, size, most, block = fp[order], g[order], size[order].astype(np.int64), most[order], block[order]
+        two = table.column("p")[0] != table.column("q")[0]  # pairs within a block are another task's
+
+        def pairs(held):
+            x, y = (np.concatenate(x) for x in zip(*held))
+            need = needed(size[x], size[y], threshold)
+            x, y = fp[x], fp[y]
+            return pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y), "hits": np.ones(len(x), np.int32), "need": need})
+
         end = np.searchsorted(g, g, side="right")
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        left, step = np.arange(len(order)), 0
+        left, step, held, n = np.arange(len(order)), 0, [], 0
         while len(left):
             left = left[end[left] + step < len(order)]
             right = end[left] + step
-            ok = np.flatnonzero(np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right]) - 1e-9)
+            ok = np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right]) - 1e-9
+            if two:
+                ok &= block[left] != block[right]
             x, y = left[ok], right[ok]
             ok = np.minimum(most[x], most[y]) >= needed(size[x], size[y], threshold)
-            a.append(x[ok])
-            b.append(y[ok])
+            held.append((x[ok].astype(np.int32), y[ok].astype(np.int32)))
+            n += len(held[-1][0])
             step += 1
-        a, b = np.concatenate(a), np.concatenate(b)
-        need = needed(size[a], size[b], threshold)
-        if table.column("p")[0] != table.column("q")[0]:  # pairs within a block are another task's
-            apart = block[order[a]] != block[order[b]]
-            a, b, need = a[apart], b[apart], need[apart]
-        x, y = fp[order[a]], fp[order[b]]
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "hits": np.ones(len(x), np.int32), "need": need})
+            if n >= most_pairs:
+                yield pairs(held)
+                held, n = [], 0
+        if n:
+            yield pairs(held)
 
     return run
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +263,18 @@ def test_leak_cases(spark):
     named = decontam.drop_contaminated(df.withColumn("_mr_dk", F.lit("own")).withColumn("GRAM", F.lit(3)), bench)
     assert sorted((r.doc_id, r["_mr_dk"], r["GRAM"]) for r in named.collect()) == [(k, "own", 3) for k in (1, 2, 3)]
     assert decontam.contaminated(df.withColumn("gram", F.lit(1)), bench.withColumn("gram", F.lit(2))).count() == 4
+
+
+def test_pairs_of_a_long_run_come_in_bounded_batches():
+    r = np.random.default_rng(3)
+    n, most = 2000, 50_000
+    fp, g, size, block = r.permutation(n), r.integers(0, 800, n), r.integers(100, 260, n).astype(np.int32), r.integers(0, 2, n).astype(np.int32)
+    for q in (0, 1):
+        one = np.zeros(n, np.int32)
+        table = pa.table({"fp": fp, "g": g, "size": size, "most": np.full(n, 200), "block": block, "p": one, "q": one + q})
+        out = list(ngram_join._across(0.5, most)(iter(table.to_batches())))
+        assert len(out) > 1 and max(len(x) for x in out) < most + n
+        got = sorted((a, b) for x in out for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist()))
+        i, j = np.triu_indices(n, 1)
+        ok = (g[i] != g[j]) & (np.minimum(size[i], size[j]) >= 0.5 * np.maximum(size[i], size[j])) & ((q == 0) | (block[i] != block[j]))
+        assert got == sorted(zip(np.minimum(fp[i], fp[j])[ok].tolist(), np.maximum(fp[i], fp[j])[ok].tolist()))
