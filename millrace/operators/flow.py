@@ -22,6 +22,10 @@ from ..shared import fresh
 
 #: Ranges of the order key for each shuffle partition.
 RANGES = 4
+#: Ranges at most.
+FINEST = 2048
+#: Rows for each task that numbers them, about.
+TASK_ROWS = 500_000
 
 
 def rank_of(index: Column, world: int) -> Column:
@@ -55,18 +59,22 @@ def running_offset(df: DataFrame, order: Sequence[str], weight: Column, name: st
     ``order`` are numbered in an arbitrary order.
     """
     spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * RANGES)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at, range_, own, sum_, base = fresh(df, "key", "range", "weight", "sum", "base")
     keyed = df.withColumn(at, F.col(order[0]).cast("double")).withColumn(own, weight)
-    bounds = keyed.agg(F.percentile_approx(at, [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0]
-    splits = [-float("inf"), *sorted({b for b in bounds or () if b == b and abs(b) != float("inf")}), float("inf")]
+    quantiles, rows = keyed.agg(F.expr(f"percentile_approx(`{at}`, array({', '.join(f'{k / FINEST}D' for k in range(1, FINEST))}), 10000)"), F.count(F.lit(1))).first()
+    parts = max(partitions, -(-rows // TASK_ROWS))
+    n = min(FINEST, parts * RANGES)
+    bounds = [quantiles[k * FINEST // n - 1] for k in range(1, n)] if quantiles else []
+    splits = [-float("inf"), *sorted({b for b in bounds if b == b and abs(b) != float("inf")}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol=at, outputCol=range_, handleInvalid="keep").transform(keyed) if len(splits) > 2 else keyed.withColumn(range_, F.lit(0))
     ranged = ranged.withColumn(range_, F.when(F.col(at).isNull(), -1).otherwise(F.col(range_)).cast("int")).drop(at)
     sums = ranged.groupBy(range_).agg(F.sum(own).alias(sum_))
     before = Window.orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)  # over at most n + 2 rows
     bases = sums.select(range_, F.coalesce(F.sum(sum_).over(before), F.lit(0)).alias(base))
     within = Window.partitionBy(range_).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(bases), range_)
+    # more rows take more tasks, not larger ones
+    out = (ranged.repartition(parts, range_) if rows > TASK_ROWS else ranged).join(F.broadcast(bases), range_)
     return out.withColumn(name, (F.col(base) + F.coalesce(F.sum(own).over(within), F.lit(0))).cast("long")).drop(range_, own, base)
 
 

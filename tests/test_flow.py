@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import catalog_queries
 from millrace.operators import flow
 from millrace.operators.tokenizers import CodePoints, Merges, get_tokenizer
 from millrace.plans.tasks import TextTask
@@ -142,3 +143,12 @@ def test_text_task(spark):
     eos = CodePoints()["</s>"]
     stream = [*map(ord, "hello"), eos, ord("x"), eos]
     assert [r.tokens for r in got] == [stream[k : k + 2] for k in range(0, len(stream), 2)]
+
+
+def test_tasks_that_number_rows_dont_grow(spark, monkeypatch):
+    monkeypatch.setattr(flow, "TASK_ROWS", 500, raising=False)
+    df = spark.range(0, 20_000, 1, 4).select((F.col("id") * 7919 % 20_000).alias("k"))
+    out = flow.dense_index(df, ["k"])
+    assert out.where("k <> idx").isEmpty()
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 2500
