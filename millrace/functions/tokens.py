@@ -6,10 +6,10 @@ command tokens.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -161,10 +161,26 @@ class IdSpace:
         return out
 
     def parse_udf(self, encode, image=None):
-        """``parse`` as a vectorised column function."""
-
-        @F.pandas_udf("array<int>")
-        def run(queries: pd.Series) -> pd.Series:
-            return queries.map(lambda q: None if q is None else self.parse(q, encode, image))
+        """``parse`` as a vectorised column function. Ids of about 1 MB of queries are held and given out at a time."""
+
+        @F.arrow_udf("array<int>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for queries in batches:
+                queries = queries.cast(pa.large_string())
+                for lo, hi in _slices(queries, 1 << 20):
+                    rows = [None if q is None else np.array(self.parse(q, encode, image), np.int32) for q in queries[lo:hi].to_pylist()]
+                    ends = np.cumsum([0, *(0 if x is None else len(x) for x in rows)]).astype(np.int32)
+                    values = np.concatenate([np.empty(0, np.int32), *(x for x in rows if x is not None)])
+                    yield pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([x is None for x in rows], pa.bool_()))
 
         return run
+
+
+def _slices(texts: pa.LargeStringArray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes; a longer text has its own."""
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
+        yield lo, hi
+        lo = hi

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -124,3 +125,13 @@ def test_wrap_and_parse(spark):
 @given(st.integers(0, 10**6), st.integers(1, 1000))
 def test_ceil_div_formula(a, n):
     assert (a + n - 1 - (a + n - 1) % n) // n == -(-a // n)
+
+
+def test_parse_holds_few_ids_at_a_time(spark):
+    space, queries = T.IdSpace(), [None, "", *("[CLS] " + "é" * 150_000 + f" {k} [MASK]*2" for k in range(20)), None]
+    run = space.parse_udf(lambda x: [ord(c) for c in x])
+    parts = list(run.func(iter([pa.array(queries), pa.array([], pa.string()), pa.array(queries)[3:5]])))
+    assert max(len(x.flatten()) for x in parts) < 1_000_000
+    assert [x for part in parts for x in part.to_pylist()] == [None if q is None else space.parse(q, lambda x: [ord(c) for c in x]) for q in queries + queries[3:5]]
+    rows = spark.createDataFrame([(k, q) for k, q in enumerate(queries)], "k int, q string").coalesce(1).select("k", run("q").alias("ids")).collect()
+    assert [r.ids for r in sorted(rows)] == [None if q is None else space.parse(q, lambda x: [ord(c) for c in x]) for q in queries]
